@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, sharding
+from . import chat, decontamination, licenses, mixing, secrets, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": mixing.op1_pareto_mix,
     "op2_chat_format": chat.op2_chat_format,
+    "op3_decontaminate": decontamination.op3_decontaminate,
+    "op4_secret_scan": secrets.op4_secret_scan,
+    "op6_license_scan": licenses.op6_license_scan,
     "op7_karmarkar_karp": sharding.op7_karmarkar_karp,
+    "op8_simhash": simhash.op8_simhash,
 }
 
 ORACLES: dict[str, str] = {
     "op1_pareto_mix": mixing.OP1_SQL,
     "op2_chat_format": chat.OP2_SQL,
+    "op3_decontaminate": decontamination.OP3_SQL,
 }
