@@ -109,7 +109,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", wi
     hits = find_hits(docs, items, window)
     if mode == "documents":
         bad = materialize(hits.where("contaminated").select(F.col("doc_id").alias("__bad")).distinct())
-        return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
     if mode != "spans":
         raise ValueError(f"mode is 'documents' or 'spans', not {mode!r}")
     marked = hits.where("n_hit > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.first("spans").alias("__spans"))

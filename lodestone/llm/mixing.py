@@ -36,8 +36,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     """(source, source_size) -> plus target: ``share`` of all words dealt by cyclic weights, at most ``cap`` times a size.
 
     What sources at their cap cannot take goes to the others by weight.  With the sources in order of size over weight,
-    the capped ones are a head of that order, so the level that the rest share is found by two running sums instead of
-    by repeated resharing.  One row a source; the single-partition window is over sources, not documents.
+    the capped ones are a head of that order, so the level that the rest share is found by two running sums (at the
+    first source that is not above its cap) instead of by repeated resharing.  One row a source; the single-partition window is over sources, not documents.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("_n") - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -49,10 +49,11 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
         .withColumn("_full", F.coalesce(F.sum("_cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_rest", F.sum("_w").over(order.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("_level", (F.lit(float(share)) * F.sum("source_size").over(everything) - F.col("_full")) / F.col("_rest"))
-        .withColumn("_free", F.col("_level") * F.col("_w") <= F.col("_cap"))
-        .withColumn("_final", F.min(F.when(F.col("_free"), F.col("_level"))).over(everything))
+        .withColumn("_k", F.row_number().over(order))
+        .withColumn("_first", F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.struct("_k", "_level"))).over(everything))
     )
-    target = F.when(F.col("_free"), F.col("_final") * F.col("_w")).otherwise(F.col("_cap").cast("double"))
+    free = F.coalesce(F.col("_k") >= F.col("_first._k"), F.lit(False))
+    target = F.when(free, F.col("_first._level") * F.col("_w")).otherwise(F.col("_cap").cast("double"))
     return levels.select("source", "source_size", target.alias("target"))
 
 
@@ -139,12 +140,11 @@ def copies_taken(weight: Column, u: Column) -> Column:
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, seed: str = "") -> DataFrame:
     """The documents of the mix: each row as often as it is taken, with the input's columns."""
     _, plan = mixing_plan(docs, weights, share, seed=seed)
-    names = docs.columns
-    hidden = plan.select(F.col("source").alias("__source"), "_per_word", "_cut")
-    wide = docs.join(broadcast_if_small(hidden), docs["source"].eqNullSafe(F.col("__source")))
-    wide = wide.withColumn("__copies", copies_taken(F.lit(1.0), unit_interval(F.col("doc_id"), seed)).cast("int"))
-    blank = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    return wide.where((F.col("__copies") > 0) & blank).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*names)
+    copies = copies_taken(F.lit(1.0), unit_interval(F.col("row.doc_id"), seed)).cast("int")
+    whole = docs.select(F.struct("*").alias("row"), F.col("source"))  # a struct: no column of docs can clash with the plan's
+    blank = F.coalesce(F.col("row.text").rlike(WORD), F.lit(False))
+    wide = _with_plan(whole, plan).where(blank).withColumn("copies", copies).where("copies > 0")
+    return wide.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,8 +164,9 @@ v AS (SELECT *, CASE (n - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE
 l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE
         - coalesce(sum(cap) OVER (ORDER BY source_size / wt, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
         / sum(wt) OVER (ORDER BY source_size / wt, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM v),
-f AS (SELECT *, lev * wt <= cap AS free, min(CASE WHEN lev * wt <= cap THEN lev END) OVER () AS fin FROM l),
-t AS (SELECT source, source_size, CASE WHEN free THEN fin * wt ELSE cap::DOUBLE END AS target FROM f),
+i AS (SELECT *, row_number() OVER (ORDER BY source_size / wt, n) AS k FROM l),
+f AS (SELECT *, min(CASE WHEN lev * wt <= cap THEN k END) OVER () AS first_k FROM i),
+t AS (SELECT source, source_size, CASE WHEN k >= first_k THEN max(CASE WHEN k = first_k THEN lev END) OVER () * wt ELSE cap::DOUBLE END AS target FROM f),
 e AS (SELECT d.doc_id, d.size, d.u, t.source, t.source_size, t.target,
         least(coalesce(CASE WHEN t.source_size > 0 THEN t.target / t.source_size END, 0.0), 3.0) AS copies
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),

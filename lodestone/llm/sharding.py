@@ -3,9 +3,10 @@
 Documents with equal texts form one indivisible group.  The groups are dealt to blocks of a few thousand; each block
 starts from one partial partition for each group (all bytes in one part, the others empty) and repeatedly combines the
 two partial partitions of largest spread, the parts of one in descending and of the other in ascending order, until one
-is left.  Blocks are partial partitions themselves, so the same differencing combines them, level by level, until a
-single one remains; its parts are the shards.  No task holds more than a block of groups, and the rows of a group that
-makes up a third of the input are never brought together: only their sum is.
+is left.  Groups too heavy for a block are placed before the others, and the blocks level out the load that they make:
+it takes part in the differencing as one more partial partition.  A few blocks are kept free of it and combined with the
+sum of all others at the end.  No task holds more than a block of groups, and the rows of a group that makes up a third
+of the input are never brought together: only their sum is.
 
 Slots number the rows of a shard without gaps: rows are dealt to buckets by a hash of doc_id, counted by shard and
 bucket, and numbered within a bucket after the counts of the buckets before it.
@@ -21,13 +22,16 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize, table
 
 SHARDS = 8
 BLOCK = 4096
+MOST_FREE = 256
+HEAVY = 1 / 64
+_PLACED = "gkey binary, block long, bytes long, part int"
 ROWS_A_BUCKET = 20_000
 
 
@@ -63,61 +67,68 @@ def differencing(parts: Iterable[Iterable[int]]) -> tuple[list[list[int]], list[
     return goes[:n], sums[-1]
 
 
-def _deal_groups(shards: int):
-    def deal(groups: pd.DataFrame) -> pd.DataFrame:
-        groups = groups.sort_values(["bytes", "gkey"], ascending=[False, True], kind="stable")
-        goes, _ = differencing([b] + [0] * (shards - 1) for b in groups["bytes"])
-        return pd.DataFrame({"gkey": groups["gkey"], "block": groups["block"], "bytes": groups["bytes"], "part": np.array([g[0] for g in goes], dtype="int32")})
-
-    return deal
-
-
-def _deal_blocks(shards: int):
-    def deal(blocks: pd.DataFrame) -> pd.DataFrame:
-        blocks = blocks.sort_values("block")
-        goes, _ = differencing(blocks["sums"])
-        return pd.DataFrame({"block": blocks["block"], "above": blocks["above"], "goes": goes})
-
-    return deal
-
+def _deal(shards: int):
+    """One block: its groups, and in each row the load that they have to level out (empty: none)."""
 
-def _sums(parts: DataFrame, block: Column, part: Column, shards: int) -> DataFrame:
-    """A row for each block: the bytes of each of its parts."""
-    cells = [F.coalesce(F.sum(F.when(part == s, F.col("bytes"))), F.lit(0)) for s in range(shards)]
-    return parts.groupBy(block.alias("block")).agg(F.array(*cells).alias("sums"))
-
-
-def _place_blocks(parts: DataFrame, blocks: int, shards: int, block_size: int) -> DataFrame:
-    """(block, goes): the shard of each part of each block, through as many levels of differencing as it takes."""
-    level = _sums(parts, F.col("block"), F.col("part"), shards)
-    done = None
-    while True:
-        count = math.ceil(blocks / block_size)
-        placed = level.withColumn("above", F.floor(F.col("block") / block_size).cast("long")).groupBy("above")
-        placed = materialize(placed.applyInPandas(_deal_blocks(shards), "block long, above long, goes array<int>").join(level, "block"))
-        if done is None:
-            done = placed.select("block", "above", "goes")
-        else:
-            upper = broadcast_if_small(placed.select(F.col("block").alias("_b"), F.col("goes").alias("_g"), F.col("above").alias("_a")))
-            done = done.join(upper, F.col("above") == F.col("_b")).select(
-                "block", F.col("_a").alias("above"), F.transform("goes", lambda i: F.get(F.col("_g"), i)).alias("goes")
-            )
-        if count <= 1:
-            return done.select("block", "goes")
-        flat = placed.select("above", F.explode(F.arrays_zip("goes", "sums")).alias("x")).select("above", F.col("x.goes").alias("part"), F.col("x.sums").alias("bytes"))
-        level, blocks = _sums(flat, F.col("above"), F.col("part"), shards), count
+    def run(groups: pd.DataFrame) -> pd.DataFrame:
+        groups = groups.sort_values(["bytes", "gkey"], ascending=[False, True], kind="stable")
+        load = groups["load"].iloc[0]
+        parts = [[b] + [0] * (shards - 1) for b in groups["bytes"]]
+        fixed = load is not None and len(load) > 0
+        goes, _ = differencing([*parts, list(load)] if fixed else parts)
+        place = [0] * shards
+        for part, to in enumerate(goes[-1] if fixed else range(shards)):
+            place[to] = part  # the load's parts are shards, so what lands on them takes their names
+        return pd.DataFrame({"gkey": groups["gkey"], "block": groups["block"], "bytes": groups["bytes"], "part": np.array([place[g[0]] for g in goes[: len(parts)]], dtype="int32")})
+
+    return run
+
+
+def _loads(parts: DataFrame, shards: int) -> list[int]:
+    """Bytes of each shard: one row of ``shards`` numbers."""
+    cells = [F.coalesce(F.sum(F.when(F.col("part") == s, F.col("bytes"))), F.lit(0)).cast("long") for s in range(shards)]
+    return list(parts.agg(*cells).first())
+
+
+def place_groups(groups: DataFrame, shards: int = SHARDS, block_size: int = BLOCK) -> DataFrame:
+    """(gkey, bytes), written -> (gkey, bytes, part): the shard of each group.
+
+    Groups above HEAVY of a block's mean bytes would unbalance any block, so they are placed first, by the same steps.
+    All blocks but a few then start from an equal share of that load, whose parts are named shards, and level it out.
+    The few free blocks are combined with the sum of all that at the end, which takes up the remainders.
+    """
+    count, total = groups.agg(F.count("*"), F.sum("bytes")).first()
+    blocks = max(1, math.ceil(count / block_size))
+    free = min(MOST_FREE, blocks // 4)
+    keyed = groups.withColumn("block", F.pmod(F.xxhash64("gkey"), F.lit(blocks)).cast("long"))
+    if blocks == 1:
+        one = keyed.withColumn("load", F.array().cast("array<long>")).groupBy("block")
+        return materialize(one.applyInPandas(_deal(shards), _PLACED).select("gkey", "bytes", "part"))
+    limit = max(1, int(total / blocks * max(HEAVY, 4 / block_size)))  # so at most a quarter of the groups is above it
+    heavy = place_groups(materialize(groups.where(F.col("bytes") > limit)), shards, block_size) if groups.where(F.col("bytes") > limit).limit(1).count() else None
+    load = _loads(heavy, shards) if heavy is not None else [0] * shards
+    share = F.array(*[F.lit(x // (blocks - free)).cast("long") for x in load])
+    light = keyed.where(F.col("bytes") <= limit).withColumn("load", F.when(F.col("block") >= free, share).otherwise(F.array().cast("array<long>")))
+    parts = materialize(light.groupBy("block").applyInPandas(_deal(shards), _PLACED))
+    if free:
+        named = _loads(parts.where(F.col("block") >= free), shards)
+        cells = [F.coalesce(F.sum(F.when(F.col("part") == s, F.col("bytes"))), F.lit(0)).cast("long") for s in range(shards)]
+        sums = parts.where(F.col("block") < free).groupBy("block").agg(F.array(*cells).alias("sums")).orderBy("block").collect()  # MOST_FREE rows at most
+        goes, _ = differencing([[a + b for a, b in zip(named, load, strict=True)], *(r.sums for r in sums)])
+        back = [goes[0].index(to) for to in range(shards)]
+        rename = {r.block: [back[to] for to in g] for r, g in zip(sums, goes[1:], strict=True)}
+        if rename:
+            names = parts.sparkSession.createDataFrame(sorted(rename.items()), "b long, names array<int>")
+            parts = parts.join(F.broadcast(names), F.col("block") == F.col("b"), "left").withColumn("part", F.coalesce(F.get("names", F.col("part")), "part"))
+    parts = parts.select("gkey", "bytes", "part")
+    return parts if heavy is None else parts.unionByName(heavy)
 
 
 def shard_rows(rows: DataFrame, shards: int = SHARDS, block_size: int = BLOCK) -> DataFrame:
     """Rows with gkey and size -> the same rows plus shard: groups by gkey stay whole, bytes are even."""
     groups = materialize(rows.groupBy("gkey").agg(F.sum("size").alias("bytes")))
-    blocks = max(1, math.ceil(groups.count() / block_size))
-    keyed = groups.withColumn("block", F.pmod(F.xxhash64("gkey"), F.lit(blocks)).cast("long"))
-    parts = keyed.groupBy("block").applyInPandas(_deal_groups(shards), "gkey binary, block long, bytes long, part int")
-    parts = materialize(parts)
-    places = broadcast_if_small(_place_blocks(parts, blocks, shards, block_size))
-    where = parts.join(places, "block").select("gkey", F.get("goes", F.col("part")).alias("shard"))
-    return rows.join(where, "gkey")
+    placed = place_groups(groups, shards, block_size).select("gkey", F.col("part").alias("shard"))
+    return rows.join(placed, "gkey")
 
 
 def number_rows(rows: DataFrame, total: int, shard: str = "shard", key: str = "doc_id") -> DataFrame:

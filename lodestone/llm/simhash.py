@@ -289,4 +289,4 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     """``docs`` without all but the least doc_id of each group; rows that share a doc_id are one document."""
     groups = near_duplicates(docs, shingle, similarity)
     gone = materialize(groups.where(F.col("doc_id") != F.col("group_id")).select(F.col("doc_id").alias("__gone")))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
