@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, licenses, mixing, secrets, sharding, simhash
+from . import chat, decontamination, language, licenses, mixing, secrets, sharding, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": mixing.op1_pareto_mix,
@@ -16,6 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_license_scan": licenses.op6_license_scan,
     "op7_karmarkar_karp": sharding.op7_karmarkar_karp,
     "op8_simhash": simhash.op8_simhash,
+    "op9_token_files": tokens.op9_token_files,
+    "op10_language_id": language.op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
