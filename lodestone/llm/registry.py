@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, language, licenses, mixing, secrets, sharding, simhash, tokens
+from . import chat, decontamination, language, licenses, mixing, neighbours, secrets, sharding, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": mixing.op1_pareto_mix,
     "op2_chat_format": chat.op2_chat_format,
     "op3_decontaminate": decontamination.op3_decontaminate,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_nearest": neighbours.op5_nearest,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_karmarkar_karp": sharding.op7_karmarkar_karp,
     "op8_simhash": simhash.op8_simhash,
