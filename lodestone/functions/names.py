@@ -36,7 +36,7 @@ def short_name(qualified: Column) -> Column:
 
 
 def normalize_qualified(name: Column) -> Column:
-    parts = F.filter(F.transform(F.split(F.replace(name, F.lit("/"), F.lit("::")), "::"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.replace(name, F.lit("/"), F.lit("::")), "::"), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), "::")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,14 +107,18 @@ def hydrate(facts: DataFrame, entities: DataFrame, repos: DataFrame) -> DataFram
 def mentions_of_names(texts: DataFrame, entities: DataFrame) -> DataFrame:
     """(text_id, entity_id) where the text, in lower case, holds the entity's name.
 
-    Names meet texts on the name's first word, which any text that holds the name holds too (or within a longer word);
-    so a text is cut into all its word starts instead of being compared with every name.
+    Names meet texts on their first three characters (fewer for shorter names), which a text that holds the name holds
+    too; so a text is cut into its distinct short runs instead of being compared with every name.
     """
-    words = texts.select("text_id", F.lower("text").alias("text"))
-    starts = words.select("text_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9_]+"), F.lit(0)))).alias("word"))
-    named = entities.select(F.col("id").alias("entity_id"), F.lower("name").alias("name")).where("name <> ''").withColumn("word", F.regexp_extract("name", "[a-z0-9_]+", 0))
-    whole = F.when(F.contains("text", F.col("name")), True)
-    return starts.join(named, "word").where(whole).select("text_id", "entity_id").distinct()
+    named = entities.select(F.col("id").alias("entity_id"), F.lower("name").alias("name")).where("name <> ''").withColumn("run", F.substring("name", 1, 3))
+    lower = texts.select("text_id", F.lower("text").alias("text")).where("text <> ''")
+    runs = [F.transform(F.sequence(F.lit(1), F.char_length("text")), _run_of(size)) for size in (1, 2, 3)]
+    cut = lower.select("text_id", "text", F.explode(F.array_distinct(F.concat(*runs))).alias("run"))
+    return cut.join(named, "run").where(F.contains("text", F.col("name"))).select("text_id", "entity_id").distinct()
+
+
+def _run_of(size: int) -> Callable[[Column], Column]:
+    return lambda i: F.substring(F.col("text"), i, F.lit(size))
 
 
 def match_repos(dependencies: DataFrame, repos: DataFrame) -> DataFrame:
