@@ -137,3 +137,21 @@ def _(g: G) -> DataFrame:
 def _(g: G) -> DataFrame:
     out = g.cross_repo_relationships.where("from_repo_id = 'r1'").select(F.col("to_repo_id").alias("id")).distinct()
     return g.repos.join(out, "id", "left_semi").select("name").distinct()
+
+
+@query("gr10_clusters")
+def _(g: G) -> DataFrame:
+    owned = O.filter_edges(g.relationships, ["owns"])
+    found = O.louvain(O.weighted(owned).join(owned.select(F.least("from_entity_id", "to_entity_id").alias("a"), F.greatest("from_entity_id", "to_entity_id").alias("b"), "repo_id").distinct(), ["a", "b"])).drop("repo_id")
+    return O.cohesion(O.weighted(owned), found).where("members >= 3").join(O.labels_of(found, g.entities), "community")
+
+
+@query("gr13_entity_graph", f"WITH {U}, n AS (SELECT 's3' AS node UNION SELECT b FROM u WHERE a = 's3') SELECT DISTINCT id, kind FROM relationships WHERE from_entity_id IN (SELECT node FROM n) AND to_entity_id IN (SELECT node FROM n)")
+def _(g: G) -> DataFrame:
+    return O.subgraph(g.relationships, O.traverse(g.relationships, seeds(g, "s3"), 1, None)).select("id", "kind")
+
+
+@query("set3_recursive_paths", "WITH RECURSIVE w AS (SELECT to_entity_id AS node, 1 AS depth FROM relationships WHERE from_entity_id = 'p40' AND kind = 'depends_on' UNION ALL SELECT r.to_entity_id, w.depth + 1 FROM w JOIN relationships r ON r.from_entity_id = w.node AND r.kind = 'depends_on' WHERE w.depth < 10) SELECT node, min(depth) AS depth FROM w GROUP BY node")
+def _(g: G) -> DataFrame:
+    steps = g.relationships.where("kind = 'depends_on'").select(F.col("from_entity_id").alias("src"), F.col("to_entity_id").alias("dst"))
+    return O.reach(steps, seeds(g, "p40"), 10).where("depth > 0").select("node", "depth")

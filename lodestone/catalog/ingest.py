@@ -150,3 +150,65 @@ def _(g: G) -> DataFrame:
     from lodestone.streaming.changes import counts_by_window
 
     return counts_by_window(g.jobs).select(F.col("window.start").alias("hour"), "status", "n")
+
+
+@query("flt13_predicates", "SELECT DISTINCT path, contains(path, 'test/') AS test, false AS manifest FROM entities WHERE path IS NOT NULL")
+def _(g: G) -> DataFrame:
+    paths = g.entities.where("path is not null").select("path").distinct()
+    return paths.select("path", FS.is_test(F.col("path")).alias("test"), FS.is_manifest(F.col("path")).alias("manifest"))
+
+
+@query("flt15_referenced_methods", "SELECT id FROM entities WHERE kind = 'function' AND (id IN (SELECT from_entity_id FROM relationships) OR id IN (SELECT to_entity_id FROM relationships) OR id IN (SELECT entity_id FROM facts))")
+def _(g: G) -> DataFrame:
+    from lodestone.operators.relational import endpoints
+
+    used = endpoints(g.relationships).unionByName(g.facts.select(F.col("entity_id").alias("id"))).distinct()
+    return g.entities.where("kind = 'function'").join(used, "id", "left_semi").select("id")
+
+
+@query("agg12_stack", "SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, lang LIMIT 3")
+def _(g: G) -> DataFrame:
+    return g.documents.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(3)
+
+
+@query("join16_import_edges", """
+    WITH f AS (SELECT path, id FROM (SELECT path, id, row_number() OVER (PARTITION BY path ORDER BY start_line NULLS LAST, qualified_name, id) AS k FROM entities WHERE path IS NOT NULL) WHERE k = 1),
+    m AS (SELECT name, min(id) AS id FROM entities WHERE kind = 'module' GROUP BY name)
+    SELECT DISTINCT f.id AS from_entity_id, m.id AS to_entity_id, 'imports' AS kind FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN f ON f.path = 'internal/svc/' || lower(n_name) || '.go' JOIN m ON m.name = n_name WHERE f.id <> m.id""")
+def _(g: G) -> DataFrame:
+    at = g.supplier.join(g.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    imports = at.select(F.concat(F.lit("internal/svc/"), F.lower("n_name"), F.lit(".go")).alias("path"), F.concat(F.lit("h.example/geo/"), "n_name").alias("import"))
+    return X.import_edges(imports, g.entities)
+
+
+def _manifest(g: G, base: str, line: str, head: str = "", tail: str = "", joiner: str = "\n") -> DataFrame:
+    """One manifest a brand, a line a part: the parts' keys and sizes as names and versions."""
+    text = F.format_string(line, F.col("p_partkey"), F.col("p_size"))
+    lines = F.array_sort(F.collect_list(text))
+    body = F.concat(F.lit(head), F.array_join(lines, joiner), F.lit(tail))
+    made = g.part.groupBy("p_brand").agg(body.alias("content"))
+    return made.select(F.concat("p_brand", F.lit("/" + base)).alias("path"), F.col("content").cast("binary").alias("content"))
+
+
+MANIFEST = "SELECT p_brand || '/{0}' AS path, {1} || CAST(p_partkey AS STRING) AS name, {2} || CAST(p_size AS STRING) AS version, {3} AS dev FROM part"
+
+
+def _register(name: str, reader: str, base: str, prefix: str, before: str, dev: str, **text: str) -> None:
+    @query(name, MANIFEST.format(base, f"'{prefix}'", f"'{before}'", dev))
+    def _(g: G) -> DataFrame:
+        from lodestone.sources import manifests
+
+        return getattr(manifests, reader)(_manifest(g, base, **text)).select("path", "name", "version", "dev")
+
+
+_register("d1_go_mod", "go_mod", "go.mod", "h.example/p", "v", "false", line="\th.example/p%d v%d", head="module m\n\nrequire (\n", tail="\n)\n")
+_register("d2_package_json", "package_json", "package.json", "p", "^", "true", line='"p%d": "^%d"', head='{"devDependencies": {', tail="}}", joiner=",")
+_register("d3_requirements", "requirements_txt", "requirements.txt", "p", "", "false", line="p%d==%d", head="# pinned\n")
+_register("d5_cargo", "toml", "Cargo.toml", "p", "", "false", line='p%d = "%d"', head="[dependencies]\n")
+_register("d6_gemfile", "gemfile", "Gemfile", "p", "", "false", line="gem 'p%d', '%d'")
+_register("d7_pom", "pom_xml", "pom.xml", "g:p", "", "true", line="<dependency><groupId>g</groupId><artifactId>p%d</artifactId><version>%d</version><scope>test</scope></dependency>")
+_register("d8_gradle", "build_gradle", "build.gradle", "g:p", "", "false", line="  implementation 'g:p%d:%d'")
+_register("d9_composer", "composer_json", "composer.json", "a/p", "", "false", line='"a/p%d": "%d"', head='{"require": {"php": "8", ', tail="}}", joiner=",")
+_register("d10_pubspec", "pubspec_yaml", "pubspec.yaml", "p", "^", "false", line="  p%d: ^%d", head="name: x\ndependencies:\n", tail="\n")
+_register("d11_mix", "mix_exs", "mix.exs", "p", "~> ", "false", line='{:p%d, "~> %d"}', joiner=", ")
+_register("d13_csproj", "csproj", "App.csproj", "P", "", "false", line='<PackageReference Include="P%d" Version="%d" />')

@@ -139,3 +139,29 @@ def _(g: G) -> DataFrame:
     WHERE r.from_entity_id IN (SELECT node FROM c) AND r.to_entity_id IN (SELECT node FROM c) ORDER BY 2 DESC, r.id LIMIT 20""")
 def _(g: G) -> DataFrame:
     return S.triplet_search(search_graph(g), g.query_vector).select("id", F.round("score", 6).alias("score"))
+
+
+@query("sr5_summary_fallback", f"""
+    WITH n AS (SELECT entity_id, max({COS}) AS s FROM facts f JOIN fact_vectors x ON f.id = x.id WHERE superseded_by IS NULL GROUP BY entity_id)
+    SELECT e.id, round(coalesce(n.s, CASE WHEN e.kind = 'service' THEN 0.5 * 0.8 END, 0), 6) AS similarity FROM entities e LEFT JOIN n ON e.id = n.entity_id""")
+def _(g: G) -> DataFrame:
+    near = S.entity_similarity(with_vectors(g), g.query_vector).select(F.col("entity_id").alias("id"), "similarity")
+    by_summary = F.when(F.col("kind") == "service", F.lit(0.5)) * 0.8
+    return g.entities.join(near, "id", "left").select("id", F.round(F.coalesce("similarity", by_summary, F.lit(0.0)), 6).alias("similarity"))
+
+
+@query("sr18_pending_flags", "SELECT f.id, coalesce(b.n, 0) > 0 AS flagged FROM facts f LEFT JOIN (SELECT fact_id, count(*) AS n FROM feedback WHERE status = 'pending' GROUP BY fact_id) b ON f.id = b.fact_id")
+def _(g: G) -> DataFrame:
+    pending = R.counts(R.lookup(g.feedback, status="pending"), "fact_id").select(F.col("fact_id").alias("id"), "n")
+    return g.facts.join(pending, "id", "left").select("id", (F.coalesce("n", F.lit(0)) > 0).alias("flagged"))
+
+
+@query("sr21_explain")
+def _(g: G) -> DataFrame:
+    return S.hybrid_search(search_graph(g), "que la", [S.SubQuery("que la", g.query_vector)], ["r1", "r2"], least=LEAST, explain=True)
+
+
+@query("sr22_context")
+def _(g: G) -> DataFrame:
+    found = S.hybrid_search(search_graph(g), "que la", [S.SubQuery("que la", g.query_vector)], limit=10, least=LEAST)
+    return S.context_text(found, g.facts)
