@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestone.session import materialize, shared_dir
 
-__all__ = ["ascii_lower", "broadcast_if_small", "materialize", "shared_dir", "table", "unit_interval"]
+__all__ = ["ascii_lower", "broadcast_if_small", "materialize", "shared_dir", "short_batches", "table", "unit_interval"]
+
+TEXTS_A_BATCH = 512
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -28,6 +30,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches have been brought down to TEXTS_A_BATCH rows: whole texts are long rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name, "10000"))
+    if now <= 0 or now > TEXTS_A_BATCH:
+        df.sparkSession.conf.set(name, str(TEXTS_A_BATCH))
+    return df
+
+
 def unit_interval(key: Column, salt: str = "") -> Column:
     """A number in (0, 1) that depends on ``key`` only: 52 bits of its MD5, centred in their cell."""
     digest = F.md5(F.concat(F.lit(salt), F.coalesce(key.cast("string"), F.lit(""))))

@@ -3,10 +3,10 @@
 Documents are dealt by ranges of doc_id and sorted, so each file covers a range and its row groups and page index serve
 selective reads: ``doc_id`` and ``n_tokens`` can be read without ``ids``, and a range of doc_id skips pages.
 
-Encoding is the tokenizers library's.  A text without two white-space characters in a row may be cut before any single
-space: the tokenizer's own pattern never looks back and ends every piece there.  So each distinct space-delimited chunk
-is encoded once and remembered (up to CACHE chunks a worker), and a text's ids are the concatenation of its chunks' ids.
-Other texts are encoded whole.
+Encoding is the tokenizers library's.  A text without two white-space characters in a row may be cut before any space or
+line feed: the tokenizer's own pattern never looks back and ends every piece there.  So each distinct chunk is encoded
+once and remembered (up to CACHE chunks a worker, kept between tasks), and a text's ids are the concatenation of its
+chunks' ids.  Other texts are encoded whole.
 
 Defined cases: null and empty texts have the end id only; rows that repeat a doc_id are written one after the other; an
 empty table gives no rows; strings that look like special tokens are ordinary text.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import shared_dir, short_batches, table
 
 END_ID = 0
-CACHE = 300_000
+CACHE = 150_000
+SLICE = 256
 ROW_GROUP_BYTES = 32 << 20
 _TWO_SPACES = re.compile(r"\s\s")
 
@@ -39,73 +41,118 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class ChunkEncoder:
-    """Texts to little-endian 32-bit ids, through a bounded table of chunks."""
+    """Texts to little-endian 32-bit ids, through two generations of at most ``cache`` known chunks each.
+
+    A chunk of letters is one piece of the tokenizer's pattern, so it goes straight to the tokenizer's model; letters with
+    a line feed before them or a comma or full stop after them are two such pieces.  All others are encoded in full.
+    """
 
     def __init__(self, path: str, cache: int = CACHE) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._cache, self._known = cache, {}
+        self._tokenize = self._tokenizer.model.tokenize
+        self._cache, self._known, self._older = cache, {}, {}
+        self._marks = dict(zip(",.\n", self._raw([",", ".", "\n"]), strict=True))
+        self._shown = {b: self._tokenizer.pre_tokenizer.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
+        # how the model's alphabet shows bytes above 127: read off letters whose UTF-8 form has them
+        self._shown |= self._high_bytes()
+
+    def _high_bytes(self) -> dict[int, str]:
+        """Byte -> character, from what the pre-tokenizer makes of every two- to four-byte lead and continuation."""
+        out: dict[int, str] = {}
+        for code in [*range(0x80, 0x800), *range(0x800, 0xD800, 0x40), *range(0xE000, 0x110000, 0x1000)]:
+            raw = chr(code).encode()
+            if any(b not in out for b in raw):
+                shown = "".join(x for x, _ in self._tokenizer.pre_tokenizer.pre_tokenize_str(chr(code)))
+                out.update(zip(raw, shown, strict=True))
+        return out
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Chunks are kept without the space before them.  A letters-only start and a comma or full stop are two pieces."""
-        wanted = dict.fromkeys(c[:-1] if len(c) > 1 and c[-1] in ",." and c[:-1].isalpha() else c for c in chunks)
-        new = [c for c in wanted if c not in self._known]
-        self._known.update(zip(new, self._raw([" " + c for c in new]), strict=True))
-        comma, stop = self._raw([",", "."])
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def _piece(self, word: str, before: str = "") -> bytes:
+        """Ids of one run of letters, with the space before it if there is one."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self._shown)
+        return array("I", [t.id for t in self._tokenize(before + shown)]).tobytes()
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Chunks are kept without a space before them."""
+        known, older, rest, space = self._known, self._older, [], self._shown[32]
         for c in chunks:
-            if c not in self._known:
-                self._known[c] = self._known[c[:-1]] + (comma if c[-1] == "," else stop)
+            if (ids := older.get(c)) is not None:
+                known[c] = ids
+            elif c.isalpha():
+                known[c] = self._piece(c, space)
+            elif c[-1:] in (",", ".") and (word := c[:-1]).isalpha():
+                if (ids := known.get(word) or older.get(word)) is None:
+                    ids = known[word] = self._piece(word, space)
+                known[c] = ids + self._marks[c[-1]]
+            elif c[:1] == "\n" and c[1:].isalpha():
+                known[c] = self._marks["\n"] + self._piece(c[1:])
+            else:
+                rest.append(c)
+        known.update(zip(rest, self._raw([c if c[:1] == "\n" else " " + c for c in rest]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
-        plain = [_TWO_SPACES.search(t) is None for t in texts]
-        parts = [t.split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
         out: list[bytes] = [b""] * len(texts)
-        heads = [i for i, p in enumerate(plain) if p]
-        for i, ids in zip(heads, self._raw([parts[i][0] for i in heads]), strict=True):
-            out[i] = ids
-        rest = [i for i, p in enumerate(plain) if not p]
-        for i, ids in zip(rest, self._raw([texts[i] for i in rest]), strict=True):
+        whole, heads, parts = [], [], []
+        for i, t in enumerate(texts):
+            if _TWO_SPACES.search(t) is None:
+                heads.append(i)
+                parts.append(t.replace("\n", " \n").split(" "))
+            else:
+                whole.append(i)
+        for i, ids in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        for i in heads:
-            chunks = parts[i][1:]
-            try:
-                ids = b"".join(map(self._known.__getitem__, chunks))
-            except KeyError:
-                if len(self._known) > self._cache:
-                    self._known.clear()
-                self._learn([c for c in dict.fromkeys(chunks) if c not in self._known])
-                ids = b"".join(map(self._known.__getitem__, chunks))
-            out[i] += ids
+        first = self._raw([p[0] for p in parts])
+        rest = [p[1:] for p in parts]
+        if len(self._known) > self._cache:
+            self._known, self._older = {}, self._known
+        self._learn(set().union(*rest).difference(self._known))
+        known = self._known.__getitem__
+        for i, ids, chunks in zip(heads, first, rest, strict=True):
+            out[i] = ids + b"".join(map(known, chunks))
         return out
 
 
+#: A worker's encoders, kept between the tasks that it runs.
+_encoders: dict[str, ChunkEncoder] = {}
+
+
 def _encode(path: str, end_id: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
+        encoder = _encoders.get(path) or _encoders.setdefault(path, ChunkEncoder(path))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [x + end for x in encoder.encode(part.column(1).to_pylist())]
-                sizes = np.fromiter((len(x) // 4 for x in found), dtype=np.int32, count=len(found))
-                values = np.frombuffer(b"".join(found), dtype="<u4").astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), ids], ["doc_id", "n_tokens", "ids"])
+            texts = batch.column(1)
+            found = [x + end for at in range(0, len(texts), SLICE) for x in encoder.encode(texts.slice(at, SLICE).to_pylist())]
+            sizes = np.fromiter((len(x) // 4 for x in found), dtype=np.int32, count=len(found))
+            values = np.frombuffer(b"".join(found), dtype="<i4")
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), ids], ["doc_id", "n_tokens", "ids"])
 
     return run
 
 
+def _by_ranges(rows: DataFrame) -> DataFrame:
+    """Deal rows to partitions by ranges of doc_id.  Bounds come from a scan of that column alone, where
+    repartitionByRange would read whole texts to sample them."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = [i / parts for i in range(1, parts)]
+    bounds = rows.approxQuantile("doc_id", cuts, 0.1 / parts) if cuts else []
+    above = F.size(F.filter(F.array(*[F.lit(int(b)) for b in dict.fromkeys(bounds)]), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
+    return rows.repartitionById(parts, F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(above))
+
+
 def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
     """Write doc_id, n_tokens and ids of every row, files and rows in ascending doc_id order."""
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ordered = _by_ranges(rows).sortWithinPartitions("doc_id")
     encoded = ordered.mapInArrow(_encode(path or tokenizer_path(), end_id), "doc_id long, n_tokens int, ids array<int>")
     writer = encoded.write.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "false")
     writer.option("parquet.block.size", str(row_group_bytes)).option("compression", "zstd").parquet(folder)

@@ -93,3 +93,14 @@ def test_pipeline_stages_on_odd_tables(spark, kind):
     docs = spark.createDataFrame(rows, schema) if kind == "null" else spark.createDataFrame([], schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() >= 0
+
+
+def test_rejection_keeps_mixed_languages_and_drops_noise(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {lang: docs.where(f"lang = '{lang}' and n_chars > 1500").orderBy("doc_id").first().text for lang in ("en", "fr", "de")}
+    rng = np.random.default_rng(6)
+    noise = "".join(rng.choice(list("bcdfghjklmnpqrstvwxzéßñ "), 2000))
+    rows = [(10**9, texts["en"][:700] + texts["de"][:700]), (10**9 + 1, texts["fr"][:900] + texts["en"][:500]), (10**9 + 2, noise)]
+    extra = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    found = language.identify_languages(docs.select("doc_id", "text", "lang").unionByName(extra)).where("doc_id >= 1000000000").collect()
+    assert {r.doc_id - 10**9: r.rejected for r in found} == {0: False, 1: False, 2: True}
