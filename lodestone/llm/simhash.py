@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, short_batches, table
 
 BITS = 64
 SHINGLE = 3
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.array([fingerprint(t, shingle) for t in batch["text"]], dtype=np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
 
 
 def block_masks(count: int, distance: int = MAX_DISTANCE) -> list[int]:
@@ -208,7 +208,7 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
             sets = [shingle_set(t, shingle) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "set_key": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "bands": [band_keys(s) for s in sets]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, set_key binary, bands array<long>")
+    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, set_key binary, bands array<long>")
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -216,7 +216,7 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"id": batch["doc_id"], "grams": [shingle_set(t, shingle) for t in batch["text"]]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "id long, grams array<long>")
+    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "id long, grams array<long>")
 
 
 def _forest(similarity: float):
