@@ -5,9 +5,11 @@ array of keys for each order holds those of all languages, beside a matrix with
 back-off weights) for each, so a look-up serves all languages.  A text is scored whole: its cross-entropy is the mean
 negative log-probability a character, the language with the lowest wins, ties going to the smaller name.
 
-Calibration: a fifth of the training sample is not trained on; its cross-entropies under the right model give a mean, a
-spread between documents and a spread a character, and a text above ``mean + TOLERANCE * (spread + spread a character /
-sqrt(length))`` of its best language is rejected.
+Rejection looks at the cross-entropy by pieces: each PIECE letters count under the language that predicts them best, so
+a text in several known languages is no worse than its parts.  Calibration: a fifth of the training sample is not trained
+on; stretches of it of each of LENGTHS give a median and a 90 % quantile by length, and a text above ``quantile + MARGIN *
+(quantile - median)`` of its best language at its length (interpolated in the logarithm) is rejected; unless its words
+without digits are at least a third of it and below the limit (a short text that holds a key).
 
 Training reads a bounded sample: SAMPLE_DOCS documents and SAMPLE_CHARS characters a language at most, those of least
 hash; at most MAX_LANGUAGES languages (more is an error).  The model's size is bounded by the sample's, so it is broadcast.
@@ -18,6 +20,7 @@ text everything is ``und``; every input row gives a row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +33,11 @@ from .common import materialize, short_batches, table
 
 ORDER = 4
 SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 400, 1_000_000, 400
-TOLERANCE = 15.0  # mixed-language texts stay below it, random characters do not
+LENGTHS, STRETCHES, PIECE, MARGIN = (2, 4, 8, 16, 32, 64, 128, 256), 4000, 32, 6.0
 SLICE = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = 32
+_MIXED = re.compile(r"\w*\d\w*")
 _letters: np.ndarray | None = None
 
 
@@ -98,7 +102,7 @@ class KneserNey:
         self.back: list[np.ndarray] = [np.empty((0, len(per_language)), dtype=np.float32)]  # weight of what follows unseen
         for n in range(1, ORDER + 1):
             self._add_order(n, per_language)
-        self.limits: np.ndarray = np.full((len(self.languages), 3), np.inf)
+        self.limits: np.ndarray = np.full((len(self.languages), len(LENGTHS)), np.inf)
 
     @staticmethod
     def _count(texts: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -177,26 +181,51 @@ class KneserNey:
             key ^= key >> np.uint64(29)
         return key
 
-    def sums(self, codes: np.ndarray, squares: bool = False) -> np.ndarray:
-        """Sums of log2-probabilities (and, on request, of their squares) over the positions of one normalised text."""
-        total = np.zeros((2, len(self.languages)))
+    def _found(self, codes: np.ndarray) -> Iterator[np.ndarray]:
+        """log2-probabilities by position and language of one normalised text, SLICE positions at a time."""
         for a in range(ORDER - 1, len(codes), SLICE):
             part = codes[a - (ORDER - 1) : a + SLICE]
-            found = self._lookup(ORDER, _keys(part, ORDER), (part, np.arange(ORDER - 1, len(part))))
-            total[0] += found.sum(axis=0, dtype=np.float64)
-            if squares:
-                total[1] += np.square(found, dtype=np.float64).sum(axis=0)
-        return total if squares else total[0]
+            yield self._lookup(ORDER, _keys(part, ORDER), (part, np.arange(ORDER - 1, len(part))))
+
+    def sums(self, codes: np.ndarray) -> np.ndarray:
+        """Sums of log2-probabilities over the positions of one normalised text."""
+        return self.both_sums(codes)[0]
+
+    def both_sums(self, codes: np.ndarray) -> tuple[np.ndarray, float]:
+        """Sums over the positions of one normalised text: of each language, and of each piece's best language."""
+        total, pieces = np.zeros(len(self.languages)), 0.0
+        for found in self._found(codes):
+            sums = np.add.reduceat(found, np.arange(0, len(found), PIECE), axis=0, dtype=np.float64)
+            total += sums.sum(axis=0)
+            pieces += sums.max(axis=1).sum()
+        return total, pieces
+
+    def _stretches(self, codes: np.ndarray, most: int) -> list[np.ndarray]:
+        """For each of LENGTHS: cross-entropies by pieces of up to ``most`` stretches that start with a word."""
+        until = np.concatenate([np.zeros((1, len(self.languages))), *self._found(codes)]).cumsum(axis=0, dtype=np.float64)
+        words, size = np.flatnonzero(codes[ORDER - 2 : -1] == _SPACE), len(until) - 1
+        out = []
+        for n in LENGTHS:
+            starts = words[words + n <= size]
+            starts = starts[np.unique(np.linspace(0, len(starts) - 1, most).astype(int))] if len(starts) else starts
+            ends = starts[:, None] + np.arange(0, n + 1, min(n, PIECE))
+            out.append(-(until[ends[:, 1:]] - until[ends[:, :-1]]).max(axis=2).sum(axis=1) / n)
+        return out
 
     def calibrate(self, held: dict[str, list[str]]) -> None:
         for column, name in enumerate(self.languages):
             texts = [c for c in map(normalise, held.get(name, [])) if len(c)]
-            if not texts:
-                continue
-            sums, n = np.array([self.sums(c, True)[:, column] for c in texts]), np.array([len(c) - ORDER + 1 for c in texts])
-            entropy, mean = -sums[:, 0] / n, -sums[:, 0].sum() / n.sum()
-            spread = np.sqrt(max(sums[:, 1].sum() / n.sum() - mean**2, 1e-9))
-            self.limits[column] = mean, max(float(entropy.std()), 0.1), spread
+            each = [self._stretches(c, max(1, STRETCHES // len(texts))) for c in texts]
+            for i in range(len(LENGTHS)):
+                values = np.concatenate([e[i] for e in each]) if each else np.empty(0)
+                if len(values):
+                    middle, high = np.quantile(values, (0.5, 0.9))
+                    self.limits[column, i] = high + MARGIN * (high - middle)
+                elif i:  # no stretch is that long
+                    self.limits[column, i] = self.limits[column, i - 1]
+
+    def _above(self, language: int, pieces: float, n: int) -> bool:
+        return bool(-pieces / n > np.interp(np.log2(n), np.log2(LENGTHS), self.limits[language]))
 
     def identify(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score in 0 to 1, cross-entropy in bits a character, rejected."""
@@ -207,13 +236,15 @@ class KneserNey:
                 names.append("und")
                 continue
             n = len(codes) - ORDER + 1
-            entropy = -self.sums(codes) / n
+            sums, pieces = self.both_sums(codes)
+            entropy = -sums / n
             best = int(entropy.argmin())
             names.append(self.languages[best])
             score[i] = 1 / np.exp2(-np.minimum((entropy - entropy[best]) * min(n, 200), 1000)).sum()
             bits[i] = entropy[best]
-            mean, spread, each = self.limits[best]
-            rejected[i] = bool(np.isfinite(mean)) and entropy[best] > mean + TOLERANCE * (spread + each / np.sqrt(n))
+            rejected[i] = self._above(best, pieces, n)
+            if rejected[i] and 3 * (m := len(rest := normalise(_MIXED.sub(" ", text))) - ORDER + 1) >= n:
+                rejected[i] = self._above(best, self.both_sums(rest)[1], m)
         return names, score, bits, rejected
 
 

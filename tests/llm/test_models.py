@@ -104,3 +104,19 @@ def test_rejection_keeps_mixed_languages_and_drops_noise(spark):
     extra = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
     found = language.identify_languages(docs.select("doc_id", "text", "lang").unionByName(extra)).where("doc_id >= 1000000000").collect()
     assert {r.doc_id - 10**9: r.rejected for r in found} == {0: False, 1: False, 2: True}
+
+
+def test_rejection_drops_short_foreign_texts_and_hex_dumps(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    foreign = {
+        "it": "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. Ahi quanto a dir qual era e cosa dura esta selva selvaggia e aspra e forte",
+        "pt": "As armas e os barões assinalados que da ocidental praia lusitana por mares nunca de antes navegados passaram ainda além da Taprobana, em perigos e guerras esforçados mais do que prometia",
+        "la": "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation",
+        "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+        "hex": "".join(np.random.default_rng(3).choice(list("0123456789abcdef"), 4000)),
+    }
+    texts = [t[:n] for t in foreign.values() for n in (50, 100, 150, 4000)]
+    extra = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    found = language.identify_languages(docs.unionByName(extra))
+    assert found.where("doc_id >= 1000000000 and not rejected").count() == 0
+    assert found.where("doc_id < 1000000000 and rejected and lang_pred <> 'und'").count() <= 0.002 * docs.count()
