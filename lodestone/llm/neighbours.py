@@ -9,13 +9,14 @@ merged and ranked by the exact inner product of the original vectors, in double
 
 Rows are dealt to blocks by a hash of the id, and each block indexes all its rows under the same hash functions; a chunk
 of queries visits every block.  So neither a crowded cell nor a repeated vector makes one task larger than another, no
-cell is capped, and a task holds one block and one chunk.  What leaves a task is one row of at most k hits a query.
+cell is capped, and a task holds one block and one chunk.  What leaves a task is one row of at most k hits a query.  A query
+that meets fewer than k of a block's rows takes the block's exact nearest, so after the merge no query has fewer than k.
 
 How many cells a query visits is set before, on a bounded sample (SAMPLE rows, PROBE_QUERIES of them as queries): the
 least number that finds RECALL of the sample's nearest rows, at the depth that corresponds to k in the whole table.
 
 Defined cases: rows whose vector is null, zero, of another length than most, or holds null or non-finite components take
-no part; a candidate with the query's own id is left out; with fewer than k candidates found, all are returned; rows
+no part; a candidate with the query's own id is left out; with fewer than k candidates in the table, all are returned; rows
 that repeat an id and a vector count once; an empty table gives no rows.
 """
 
@@ -102,8 +103,13 @@ def _visit(count: int, largest: float, k: int):
             return pd.DataFrame({"query_id": [], "block": [], "less": [], "ids": []})
         vectors, queries = (np.stack(x.to_numpy()).astype(np.float64) for x in (rows["v"], asked["query"]))
         ids, own = rows["id"].to_numpy(), asked["query_id"].to_numpy()
+        if len(np.unique(ids)) < len(ids):  # all rows of an id are in this block
+            first = np.unique(np.c_[ids.astype(np.int64).view(np.float64), vectors + 0.0].view(np.int64), axis=0, return_index=True)[1]
+            ids, vectors = ids[first], vectors[first]
         hashes = Hashes(vectors.shape[1] + 1)
-        met = candidates(hashes, vectors, queries, largest, count) & (own[:, None] != ids[None, :])
+        other = own[:, None] != ids[None, :]
+        met = candidates(hashes, vectors, queries, largest, count) & other
+        met = np.where(met.sum(axis=1, keepdims=True) < k, other, met)
         scores = np.where(met, queries @ vectors.T, -np.inf)
         best = [_best(scores[q], queries[q], vectors, ids, k) for q in range(len(queries))]
         return pd.DataFrame({"query_id": own, "block": rows["block"].iloc[0], "less": [b[0] for b in best], "ids": [b[1] for b in best]})

@@ -47,3 +47,16 @@ def test_unusable_vectors_ties_and_few_rows(spark):
     out = neighbours.nearest(frame, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.vec_id) for r in out] == [(0, 1), (0, 2), (0, 20), (20, 0), (20, 1), (20, 2)]
     assert neighbours.nearest(frame.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_every_query_gets_all_it_can(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(2000, 16))
+    vectors[7] *= 1000  # puts all others at one pole of the sphere
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    rows += [(7, vectors[7].tolist())] * 30  # repeats of a row take no places
+    for kept, k in ((rows, 20), (rows[:15], 20), (rows[:3], 20)):
+        frame = spark.createDataFrame(kept, "vec_id long, embedding array<double>")
+        ids = len({i for i, _ in kept})
+        out = {r.query_id: r.n for r in neighbours.nearest(frame, F.col("vec_id") % 2 == 0, k).groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).collect()}
+        assert out == {i: min(k, ids - 1) for i in range(0, ids, 2)}
