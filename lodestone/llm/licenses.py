@@ -5,11 +5,20 @@ b bigrams can reach a coefficient of t only against a unit with t / (2 - t) * b
 are an equi-join key: the template table holds one row for each template and size it may meet, so a unit meets only the
 templates that its size allows, and most units none.  The template table's size is fixed by the templates, not the data.
 
+A notice among other words, or in a comment block, is found by windows over the document's whole word sequence, of every
+length that can reach t.  Such a window misses fewer than b - t / (2 - t) * b + 1 of the template's bigrams, so it holds one
+of so many *anchors*, those with the longest words: windows are looked at only around anchors, which are an equi-join key as
+well.  A window counts only for a licence that no unit of the document matches.  A unit or window never counts for a template
+if a similar template of another licence fits it better.
+
 Defined cases: null and blank texts match nothing; every input row gives a row; ties go to the smaller licence id.
 """
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +40,28 @@ TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
@@ -38,41 +69,111 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 NOT_WORD = r"[^a-z0-9]+"
-
-
-def bigrams(text: Column) -> Column:
-    """Distinct bigrams of the normalised words; one word alone counts as a bigram, no word gives none."""
-    words = F.filter(F.split(F.lower(text), NOT_WORD, -1), lambda w: w != "")
-    return bigrams_of(words)
+WINDOW = "struct<key:string,grams:array<string>,at:int>"
 
 
 def bigrams_of(words: Column) -> Column:
+    """Distinct bigrams of the normalised words; one word alone counts as a bigram, no word gives none."""
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(words))
 
 
-def template_sizes(spark: SparkSession, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(size, license_id, template): the bigrams of each template under every unit size that can reach the threshold."""
-    rows = " UNION ALL ".join("SELECT '{}' AS license_id, '{}' AS text".format(*(x.replace("\\", "\\\\").replace("'", "\\'") for x in t)) for t in templates)
-    made = spark.sql(rows).select("license_id", bigrams(F.col("text")).alias("template"))
-    low = F.ceil(F.size("template") * (threshold / (2 - threshold)) - 1e-9)
-    high = F.floor(F.size("template") * ((2 - threshold) / threshold) + 1e-9)
-    return made.select("license_id", "template", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("size"))
+def _grams(text: str) -> list[str]:
+    words = [w for w in re.split(NOT_WORD, text.lower()) if w]
+    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:]))) if len(words) > 1 else words
+
+
+def _gate(gram: str) -> str:
+    """The word of a bigram that a text is first searched for."""
+    return max(gram.split(" "), key=lambda w: (len(w), w))
+
+
+class Templates:
+    """Bigrams, size bounds, anchors and similar templates of other licences, of each template."""
+
+    def __init__(self, templates: tuple[tuple[str, str], ...], threshold: float) -> None:
+        grams = [_grams(text) for _, text in templates]
+        self.rows, self.keys = [], []
+        for at, (name, _) in enumerate(templates):
+            own = grams[at]
+            low, high = math.ceil(len(own) * threshold / (2 - threshold) - 1e-9), math.floor(len(own) * (2 - threshold) / threshold + 1e-9)
+            rivals = [g for (other, _), g in zip(templates, grams) if other != name and 2 * len({*g} & {*own}) > 0.5 * (len(g) + len(own))]
+            self.rows.append((name, own, low, high, rivals))
+            anchors = sorted(own, key=lambda g: (-len(_gate(g)), g))[: len(own) - low + 1]
+            self.keys += [(f"#{size}", at) for size in range(low, high + 1)] + [(a, at) for a in anchors if " " in a]
+        self.anchors = sorted({key for key, _ in self.keys if not key.startswith("#")})
+        self.reach = max((high for _, _, _, high, _ in self.rows), default=0)
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """(key, license_id, template, low, high, rivals) under each unit size (as #size) and anchor that may meet a template."""
+        rows = [(key, *self.rows[at]) for key, at in self.keys]
+        return spark.createDataFrame(rows, "key string, license_id string, template array<string>, low int, high int, rivals array<array<string>>")
+
+
+def _dice(grams: Column, template: Column) -> Column:
+    return 2 * F.size(F.array_intersect(grams, template)) / (F.size(F.array_distinct(grams)) + F.size(template))
+
+
+def _windows(made: Templates, words: Column) -> Column:
+    """(key, grams, at) around each anchor in the words: the bigrams that a window through the anchor can reach."""
+    grams = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
+
+    def around(anchor: Column, grams: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: F.element_at(grams, i) == anchor)
+        return F.transform(places, lambda i: F.struct(anchor.alias("key"), F.slice(grams, F.greatest(i - made.reach, F.lit(1)), 2 * made.reach).alias("grams"), F.least(i, F.lit(made.reach + 1)).alias("at")))
+
+    # the one-element array makes the bigrams once for all anchors
+    found = F.flatten(F.transform(F.array(grams), lambda g: F.flatten(F.transform(F.array_intersect(g, _literal(made.anchors)), lambda a: around(a, g)))))
+    return F.when((F.size(words) > 1) & F.arrays_overlap(words, _literal(sorted({_gate(a) for a in made.anchors}))), found)
+
+
+def _literal(values: list[str]) -> Column:
+    return F.lit(values) if values else F.array().cast("array<string>")
+
+
+def _best_window(grams: Column, at: Column, template: Column, low: Column, high: Column) -> Column:
+    """The bigrams of the window around ``at`` with the largest coefficient; it starts and ends with bigrams of the template."""
+    near = F.slice(grams, F.greatest(at - high, F.lit(1)), 2 * high)
+    hits = F.transform(
+        F.array(near), lambda n: F.struct(n.alias("n"), F.filter(F.sequence(F.lit(1), F.size(n)), lambda i: F.array_contains(template, F.element_at(n, i))).alias("m"))
+    )
+
+    def of(hit: Column) -> Column:
+        n, m = hit["n"], hit["m"]
+        last = F.size(m) - low + 1
+        ends = lambda i: F.filter(F.slice(m, i + low - 1, F.size(m)), lambda j: j - F.element_at(m, i) < high)
+        spans = F.flatten(F.transform(F.sequence(F.lit(1), last), lambda i: F.transform(ends(i), lambda j: F.slice(n, F.element_at(m, i), j - F.element_at(m, i) + 1))))
+        return F.when(last >= 1, F.array_max(F.transform(spans, lambda w: F.struct(_dice(w, template).alias("d"), w.alias("w"))))["w"])
+
+    return F.element_at(F.transform(hits, of), 1)
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """For every row of ``docs``: doc_id, the best match (license_id, dice; null if none) and all licences found."""
+    made = Templates(templates, threshold)
     text = F.coalesce(F.col("text"), F.lit(""))
     units = F.array_distinct(F.concat(F.split(text, "\n", -1), F.split(text, r"\n[\x20\t\r]*\n", -1), F.array(text)))
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), units.alias("units")).select("doc_id", "_row", F.explode("units").alias("unit"))
-    rows = rows.select("doc_id", "_row", F.array_remove(F.split(F.lower("unit"), NOT_WORD, -1), "").alias("words"))
-    rows = rows.withColumn("grams", bigrams_of(F.col("words"))).withColumn("size", F.size("grams"))
-    joined = rows.join(F.broadcast(template_sizes(docs.sparkSession, templates, threshold)), "size", "left")
-    dice = 2 * F.size(F.array_intersect("grams", "template")) / (F.size("grams") + F.size("template"))
-    scored = joined.select("doc_id", "_row", "license_id", dice.alias("dice"))
-    good = F.col("dice") >= threshold
-    best = F.min(F.when(good, F.struct((-F.col("dice")).alias("d"), "license_id")))
-    found = scored.groupBy("_row", "doc_id").agg(best.alias("best"), F.array_sort(F.collect_set(F.when(good, F.col("license_id")))).alias("licenses"))
+    pieces = F.concat(
+        F.transform(units, lambda u: F.struct(u.alias("unit"), F.lit(None).cast(WINDOW).alias("window"))),
+        F.transform(F.coalesce(F.col("windows"), F.array().cast(f"array<{WINDOW}>")), lambda w: F.struct(F.lit(None).cast("string").alias("unit"), w.alias("window"))),
+    )
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), "text", _windows(made, F.array_remove(F.split(F.lower(text), NOT_WORD, -1), "")).alias("windows"))
+    rows = rows.select("doc_id", "_row", F.explode(pieces).alias("piece"))
+    rows = rows.select("doc_id", "_row", F.col("piece.window").alias("window"), F.array_remove(F.split(F.lower("piece.unit"), NOT_WORD, -1), "").alias("words"))
+    rows = rows.withColumn("grams", F.when(F.col("window").isNull(), bigrams_of(F.col("words")))).drop("words")
+    rows = rows.withColumn("key", F.coalesce(F.col("window.key"), F.concat(F.lit("#"), F.size("grams"))))
+    joined = rows.join(F.broadcast(made.frame(docs.sparkSession)), "key", "left")
+    best_window = _best_window(F.col("window.grams"), F.col("window.at"), F.col("template"), F.col("low"), F.col("high"))
+    joined = joined.withColumn("span", F.when(F.col("window").isNull(), F.col("grams")).when(F.col("template").isNotNull(), best_window))
+    scored = joined.withColumn("dice", _dice(F.col("span"), F.col("template")))
+    fits = (F.col("dice") >= threshold) & ~F.exists("rivals", lambda r: _dice(F.col("span"), r) > F.col("dice"))
+    scored = scored.select("doc_id", "_row", "license_id", "dice", fits.alias("good"), F.col("window").isNotNull().alias("wide"))
+    # of each licence: its best unit, or else its best window
+    hit = F.struct("license_id", "wide", (-F.col("dice")).alias("d"))
+    found = scored.groupBy("_row", "doc_id").agg(F.array_sort(F.collect_set(F.when(F.col("good"), hit))).alias("hits"))
+    ids = F.array_distinct(F.transform("hits", lambda h: h["license_id"]))
+    firsts = F.transform(ids, lambda i: F.element_at(F.filter("hits", lambda h: h["license_id"] == i), 1))
+    found = found.select("doc_id", ids.alias("licenses"), F.array_min(F.transform(firsts, lambda h: F.struct(h["d"].alias("d"), h["license_id"].alias("license_id")))).alias("best"))
     return found.select("doc_id", F.col("best.license_id").alias("license_id"), (-F.col("best.d")).alias("dice"), "licenses")
 
 

@@ -279,5 +279,28 @@ def test_licenses_match_brute_force(spark):
     assert rows[7].license_id == "MIT" and rows[8].license_id == "GPL-3.0"
 
 
+def test_licenses_within_other_words_and_comment_blocks(spark):
+    header = {n: t for n, t in licenses.TEMPLATES if len(t) > 200}
+    gpl, mit = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and len(t) > 200), header["MIT"]
+
+    def block(mark, text):
+        words = text.split()
+        return "\n".join([f"{mark} Copyright (c) 2020 Jane Doe", mark, *(f"{mark} " + " ".join(words[i : i + 9]) for i in range(0, len(words), 9)), mark, f"{mark} tail of the file", "import os"])
+
+    cases = [
+        ("This project is licensed under the MIT License.", ["MIT"]),
+        ("Copyright (c) 2020 Jane Doe. Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
+        (block("#", gpl), ["GPL-3.0"]),
+        (block(" *", mit), ["MIT"]),
+        (block("//", header["BSD-3-Clause"]), ["BSD-3-Clause"]),
+        ("word " * 500 + "licensed under CC BY-NC 4.0 " + "word " * 500, ["CC-BY-NC-4.0"]),
+        ("x " + next(t for n, t in licenses.TEMPLATES if n == "GPL-2.0" and len(t) > 200) + " y", ["GPL-2.0"]),
+        ("The license of the project is under the version of the MIT school.", []),
+        ("word " * 50, []),
+    ]
+    rows = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, [t for t, _ in cases])).collect()}
+    assert [rows[i].licenses for i in range(len(cases))] == [want for _, want in cases]
+
+
 def test_digest_columns():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
