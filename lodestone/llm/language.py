@@ -6,13 +6,13 @@ back-off weights) for each, so a look-up serves all languages.  A text is scored
 negative log-probability a character, the language with the lowest wins, ties going to the smaller name.
 
 Rejection looks at the cross-entropy by pieces: each PIECE letters count under the language that predicts them best, so
-a text in several known languages is no worse than its parts.  Calibration: a fifth of the training sample is not trained
-on; stretches of it of each of LENGTHS give a median and a 90 % quantile by length, and a text above ``quantile + MARGIN *
+a text in several known languages is no worse than its parts.  Calibration: a fifth of each language's sample, of a
+single document its end, is not trained on (without a stretch in it, a language has the limits of all); stretches of it of each of LENGTHS give a median and a 90 % quantile by length, and a text above ``quantile + MARGIN *
 (quantile - median)`` of its best language at its length (interpolated in the logarithm) is rejected; unless its words
 without digits are at least a third of it and below the limit (a short text that holds a key).
 
 Training reads a bounded sample: SAMPLE_DOCS documents and SAMPLE_CHARS characters a language at most, those of least
-hash; at most MAX_LANGUAGES languages (more is an error).  The model's size is bounded by the sample's, so it is broadcast.
+hash, of each its first DOC_CHARS characters; at most MAX_LANGUAGES languages (more is an error).  The model's size is bounded by the sample's, so it is broadcast.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0 and counts as rejected; without any labelled
 text everything is ``und``; every input row gives a row.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import materialize, short_batches, table
 
 ORDER = 4
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 400, 1_000_000, 400
+SAMPLE_DOCS, SAMPLE_CHARS, DOC_CHARS, MAX_LANGUAGES = 400, 1_000_000, 50_000, 400
 LENGTHS, STRETCHES, PIECE, MARGIN = (2, 4, 8, 16, 32, 64, 128, 256), 4000, 32, 6.0
 SLICE = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -213,16 +213,25 @@ class KneserNey:
         return out
 
     def calibrate(self, held: dict[str, list[str]]) -> None:
-        for column, name in enumerate(self.languages):
+        found: list[list[np.ndarray]] = []
+        for name in self.languages:
             texts = [c for c in map(normalise, held.get(name, [])) if len(c)]
             each = [self._stretches(c, max(1, STRETCHES // len(texts))) for c in texts]
-            for i in range(len(LENGTHS)):
-                values = np.concatenate([e[i] for e in each]) if each else np.empty(0)
-                if len(values):
-                    middle, high = np.quantile(values, (0.5, 0.9))
-                    self.limits[column, i] = high + MARGIN * (high - middle)
-                elif i:  # no stretch is that long
-                    self.limits[column, i] = self.limits[column, i - 1]
+            found.append([np.concatenate([e[i] for e in each]) if each else np.empty(0) for i in range(len(LENGTHS))])
+        pooled = self._limits([np.concatenate(x) for x in zip(*found)]) if found else self.limits
+        for column, own in enumerate(found):
+            self.limits[column] = self._limits(own) if len(own[0]) else pooled
+
+    @staticmethod
+    def _limits(values: list[np.ndarray]) -> np.ndarray:
+        out = np.full(len(LENGTHS), np.inf)
+        for i, of_length in enumerate(values):
+            if len(of_length):
+                middle, high = np.quantile(of_length, (0.5, 0.9))
+                out[i] = high + MARGIN * (high - middle)
+            elif i:  # no stretch is that long
+                out[i] = out[i - 1]
+        return out
 
     def _above(self, language: int, pieces: float, n: int) -> bool:
         return bool(-pieces / n > np.interp(np.log2(n), np.log2(LENGTHS), self.limits[language]))
@@ -256,23 +265,29 @@ def train(docs: DataFrame) -> KneserNey:
     """Fit on documents that are not held out; see the module's text for the sample's bounds."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
-    sizes = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    sizes = materialize(rows.select("lang", "doc_id").distinct().groupBy("lang").agg(F.count("*").alias("n")))
     if (languages := sizes.count()) > MAX_LANGUAGES:
         raise ValueError(f"{languages} languages; a model takes {MAX_LANGUAGES} at most")
     # only places that can be among a language's first are ranked, so a common language doesn't meet in one task
     share = sizes.select(F.col("lang").alias("l"), ((1 << 32) * F.lit(4.0 * SAMPLE_DOCS) / F.col("n")).alias("most"))
     near = rows.select("doc_id", "lang", "text", place.alias("place")).join(F.broadcast(share), F.col("lang") == F.col("l")).where(F.col("place") <= F.col("most"))
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
-    first = near.select("doc_id", "lang", F.char_length("text").alias("size"), "place").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_DOCS)
+    each = near.groupBy("doc_id", "lang", "place").agg(F.max(F.least(F.char_length("text"), F.lit(DOC_CHARS))).alias("size"))
+    first = each.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_DOCS)
     chosen = first.withColumn("until", F.sum("size").over(order)).where((F.col("until") <= SAMPLE_CHARS) | (F.col("nth") == 1))
     chosen = materialize(chosen.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct())
-    sample = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    sample = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).groupBy("doc_id", "lang").agg(F.min(F.substring("text", 1, DOC_CHARS)).alias("text"))
     fit: dict[str, list[str]] = {}
     held: dict[str, list[str]] = {}
-    for i, r in enumerate(sorted(sample.collect(), key=lambda r: (r.lang, r.doc_id))):  # bounded by the sample
-        (held if i % 5 == 4 else fit).setdefault(r.lang, []).append(r.text)
-    for name in held.keys() - fit.keys():
-        fit[name] = held[name]
+    for r in sorted(sample.collect(), key=lambda r: (r.lang, r.doc_id)):  # bounded by the sample
+        if len(normalise(r.text)):
+            fit.setdefault(r.lang, []).append(r.text)
+    for name, texts in fit.items():
+        if len(texts) > 1:
+            out = range(min(4, len(texts) - 1), len(texts), 5)
+            fit[name], held[name] = [t for i, t in enumerate(texts) if i not in out], [texts[i] for i in out]
+        elif len(normalise(texts[0][: (cut := len(texts[0]) * 4 // 5)])):
+            fit[name], held[name] = [texts[0][:cut]], [texts[0][cut:]]
     model = KneserNey(fit)
     model.calibrate(held)
     return model

@@ -120,3 +120,16 @@ def test_rejection_drops_short_foreign_texts_and_hex_dumps(spark):
     found = language.identify_languages(docs.unionByName(extra))
     assert found.where("doc_id >= 1000000000 and not rejected").count() == 0
     assert found.where("doc_id < 1000000000 and rejected and lang_pred <> 'und'").count() <= 0.002 * docs.count()
+
+
+def test_languages_with_few_or_very_long_documents_reject_too(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = "".join(np.random.default_rng(0).choice(list("0123456789abcdef"), 4000))
+    ids = [i for i in range(10**9, 10**9 + 50) if zlib.crc32(str(i).encode()) % 5]
+    long = docs.where("lang = 'en' and length(text) > 1500").orderBy("doc_id").first().text
+    rows = [(ids[0], junk, "zz"), (ids[1], "".join(np.random.default_rng(9).choice(list("abcdefghijklmnopqrstuvwxyz "), 4000)), "yy")]
+    model = language.train(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert {"yy", "zz"} < set(model.languages) and np.isfinite(model.limits).all()
+    one = language.train(spark.createDataFrame([(ids[2], long * 700, "en"), (ids[3], long, "en"), (ids[4], "ab", "xx")], "doc_id long, text string, lang string"))
+    assert np.isfinite(one.limits).all() and one.identify([long])[3].tolist() == [False]
+    assert one.identify(["Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar."])[3].tolist() == [True]
