@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import materialize, shared_dir
+from lodestone.session import materialize, release, remove, scratch
 
-__all__ = ["ascii_lower", "broadcast_if_small", "materialize", "shared_dir", "short_batches", "table", "unit_interval"]
+__all__ = ["ascii_lower", "broadcast_if_small", "materialize", "release", "remove", "scratch", "table", "text_slices", "unit_interval"]
 
-TEXTS_A_BATCH = 512
+SLICE_BYTES = 4 << 20
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -30,13 +36,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def short_batches(df: DataFrame) -> DataFrame:
-    """``df``, after the session's Arrow batches have been brought down to TEXTS_A_BATCH rows: whole texts are long rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(name, "10000"))
-    if now <= 0 or now > TEXTS_A_BATCH:
-        df.sparkSession.conf.set(name, str(TEXTS_A_BATCH))
-    return df
+def text_slices(batch: pa.RecordBatch, column: int | str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of about ``most`` bytes of text, a row at least: what a task makes of texts is bounded by a part."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+    for start, end in pairwise([0, *cuts.tolist(), len(sizes)]):
+        if end > start:
+            yield batch.slice(start, end - start)
 
 
 def unit_interval(key: Column, salt: str = "") -> Column:

@@ -24,12 +24,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, short_batches, table
+from .common import materialize, table, text_slices
 
 ORDER = 4
 SAMPLE_DOCS, SAMPLE_CHARS, DOC_CHARS, MAX_LANGUAGES = 400, 1_000_000, 50_000, 400
@@ -297,13 +296,15 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits (a character) and rejected of every row."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, score, bits, rejected = model.value.identify(batch["text"].tolist())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": names, "score": score, "bits": bits, "rejected": rejected})
+            for part in text_slices(batch):
+                names, score, bits, rejected = model.value.identify(part.column("text").to_pylist())
+                columns = [part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(score), pa.array(bits), pa.array(rejected)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score", "bits", "rejected"])
 
-    rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, bits double, rejected boolean")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits double, rejected boolean")
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
@@ -312,10 +313,11 @@ def drop_rejected(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rejected = model.value.identify(batch.column("text").to_pylist())[3]
-            yield batch.filter(pa.array(~rejected))
+            for part in text_slices(batch):
+                rejected = model.value.identify(part.column("text").to_pylist())[3]
+                yield part.filter(pa.array(~rejected))
 
-    return short_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,11 +29,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, short_batches, table
+from .common import materialize, table, text_slices
 
 BITS = 64
 SHINGLE = 3
@@ -70,11 +71,13 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (long) for every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.array([fingerprint(t, shingle) for t in batch["text"]], dtype=np.int64)})
+            for part in text_slices(batch):
+                found = np.array([fingerprint(t, shingle) for t in part.column("text").to_pylist()], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
 
-    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def block_masks(count: int, distance: int = MAX_DISTANCE) -> list[int]:
@@ -208,7 +211,7 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
             sets = [shingle_set(t, shingle) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "set_key": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "bands": [band_keys(s) for s in sets]})
 
-    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, set_key binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, set_key binary, bands array<long>")
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -216,7 +219,7 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"id": batch["doc_id"], "grams": [shingle_set(t, shingle) for t in batch["text"]]})
 
-    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "id long, grams array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "id long, grams array<long>")
 
 
 def _forest(similarity: float):

@@ -1,9 +1,15 @@
 """Token files, language models and the pipeline."""
 
+import glob
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -14,15 +20,51 @@ SF = "/root/testdata/sf0.001"
 EDGE = [None, "", " ", "a", " lead", "trail ", "two  spaces", "line\nbreak. next, \tmix", "it's 'quoted' don't, x.", "é ß, 12,3. <|endoftext|> end", "tab\tone", "　wide  nbsp", "a  b"]
 
 
+def plain_ids(texts, special_as_text=False):
+    plain = Tokenizer.from_file(tokens.tokenizer_path())
+    plain.encode_special_tokens = special_as_text
+    return [x.ids for x in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def encoded(encoder, texts):
+    flat, sizes = encoder.encode(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
+
+
 def test_chunks_give_the_tokenizers_own_ids(spark):
     texts = EDGE + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
-    plain = Tokenizer.from_file(tokens.tokenizer_path())
-    plain.encode_special_tokens = True
-    want = [np.array(x.ids, dtype="<u4").tobytes() for x in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-    for cache in (300_000, 5):
-        encoder = tokens.ChunkEncoder(tokens.tokenizer_path(), cache)
-        assert encoder.encode(texts) == want
-        assert encoder.encode(texts) == want
+    texts += ["word " * 60_000, "w" * 30_000, "é" * 9_000 + "\nnext"]
+    for special_as_text in (False, True):
+        want = plain_ids(texts, special_as_text)
+        for cache in (24 << 20, 2000, 0):
+            encoder = tokens.ChunkEncoder(tokens.tokenizer_path(), cache, special_as_text)
+            assert encoded(encoder, texts) == want
+            assert encoded(encoder, texts) == want
+            assert encoder._known.nbytes + encoder._values.nbytes <= cache
+    assert 50256 in encoded(tokens.ChunkEncoder(tokens.tokenizer_path()), ["a <|endoftext|> b"])[0]
+
+
+ATOMS = [*"aZé ß1٣²ǅ中́_'.,!?%-\n\t\r\x1c\x85\xa0\u2003", " a", "'s ", "don't", "<|endoftext|>", "🙂"]
+
+
+@given(st.lists(st.lists(st.sampled_from(ATOMS), max_size=40).map("".join), max_size=8))
+@settings(max_examples=60, deadline=None)
+def test_any_text_gives_the_tokenizers_own_ids(texts):
+    global _fuzzed
+    _fuzzed = _fuzzed or tokens.ChunkEncoder(tokens.tokenizer_path())
+    assert [encoded(_fuzzed, [t])[0] for t in texts] == plain_ids(texts)
+
+
+_fuzzed = None
+
+
+def test_letters_of_the_cut_are_letters_of_the_tokenizer():
+    """Words of one letter each, before and after a mark, of every letter that the pattern of simple chunks takes."""
+    letters = [c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
+    simple = pc.extract_regex(pa.array(letters), tokens._SIMPLE).is_valid().to_pylist()
+    texts = [f"a {c}b. {c}, x\n{c}" for c, s in zip(letters, simple, strict=True) if s]
+    assert len(texts) > 100_000
+    assert encoded(tokens.ChunkEncoder(tokens.tokenizer_path()), texts) == plain_ids(texts)
 
 
 def test_token_files_round_trip(spark, tmp_path):
@@ -30,12 +72,10 @@ def test_token_files_round_trip(spark, tmp_path):
     order = np.random.default_rng(5).permutation(len(texts)).tolist()
     frame = spark.createDataFrame([(i, texts[i], 7) for i in order], "doc_id long, text string, n_tokens int").repartition(3)
     tokens.write_tokens(frame, f"{tmp_path}/t")
-    plain = Tokenizer.from_file(tokens.tokenizer_path())
-    plain.encode_special_tokens = True
     at = 0
     rows = {r.doc_id: r for r in tokens.read_digests(spark, f"{tmp_path}/t").collect()}
-    for i, t in enumerate(texts):
-        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 0]
+    for i, own in enumerate(plain_ids(texts)):
+        ids = [*own, 0]
         assert (rows[i].start, rows[i].n_tokens) == (at, len(ids))
         assert rows[i].ids_crc32 == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
         at += len(ids)
@@ -43,6 +83,43 @@ def test_token_files_round_trip(spark, tmp_path):
     assert tokens.read_digests(spark, f"{tmp_path}/e").count() == 0
 
 
+def test_a_doc_id_with_a_third_of_the_rows_is_dealt_out(spark, tmp_path):
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 and i < 200 else i, f"text {i % 9}") for i in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    tokens.write_tokens(frame, f"{tmp_path}/t")
+    out = tokens.read_digests(spark, f"{tmp_path}/t").orderBy("start").collect()
+    assert len(out) == 900 and [r.start for r in out] == np.cumsum([0, *(r.n_tokens for r in out[:-1])]).tolist()
+    ids = [-1 if r.doc_id is None else r.doc_id for r in out]
+    assert ids == sorted(ids)
+    hot = spark.read.parquet(f"{tmp_path}/t").where("doc_id = 7").groupBy(F.input_file_name()).count().collect()
+    assert len(hot) > 1
+
+
+def test_files_are_delta_encoded_with_small_row_groups_and_page_indexes(spark, tmp_path):
+    texts = [f"some words of document {i} " * (20 + i % 7) for i in range(4000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    tokens.write_tokens(frame, f"{tmp_path}/t", row_group_bytes=64 << 10)
+    files = sorted(glob.glob(f"{tmp_path}/t/*.parquet"))
+    groups, bounds = 0, []
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        groups += meta.num_row_groups
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            columns = {group.column(c).path_in_schema: group.column(c) for c in range(group.num_columns)}
+            ids = next(c for name, c in columns.items() if name.startswith("ids"))
+            assert "DELTA_BINARY_PACKED" in ids.encodings and "DELTA_BINARY_PACKED" in columns["doc_id"].encodings
+            assert ids.has_column_index or columns["doc_id"].has_column_index
+            assert columns["doc_id"].has_offset_index and ids.has_offset_index
+            bounds.append((columns["doc_id"].statistics.min, columns["doc_id"].statistics.max))
+    assert groups > len(files) and sorted(bounds) == bounds
+    assert all(a[1] < b[0] for a, b in zip(bounds, bounds[1:]))
+    wanted = spark.read.parquet(f"{tmp_path}/t").where("doc_id between 100 and 120").select("doc_id", "n_tokens")
+    plan = wanted._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,100)" in plan and "ids" not in plan.split("ReadSchema")[1].split("\n")[0]
+    assert [r.n_tokens for r in wanted.orderBy("doc_id").collect()] == [len(x) + 1 for x in plain_ids(texts[100:121])]
+
+
 def test_kneser_ney_is_a_distribution():
     model = language.KneserNey({"a": ["the cat sat on the mat", "that hat"], "b": ["und der hund und die katze"]})
     alphabet = sorted(set("the cat sat on the mat that hat und der hund und die katze"))
