@@ -23,7 +23,6 @@ def test_recall_and_scores(spark, monkeypatch, scale):
     if scale:
         frame = frame.withColumn("embedding", F.transform("embedding", lambda x: x * (F.col("vec_id") % 7 + 1)))
         monkeypatch.setattr(neighbours, "BLOCK", 300)
-        monkeypatch.setattr(neighbours, "CHUNK", 30)
     rows = frame.orderBy("vec_id").collect()
     ids, vectors = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
     want = brute(ids, vectors, 20)
@@ -60,3 +59,61 @@ def test_every_query_gets_all_it_can(spark):
         ids = len({i for i, _ in kept})
         out = {r.query_id: r.n for r in neighbours.nearest(frame, F.col("vec_id") % 2 == 0, k).groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).collect()}
         assert out == {i: min(k, ids - 1) for i in range(0, ids, 2)}
+
+
+def test_lengths_are_apart_and_repeated_ids_count_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4 if i % 3 else 6).tolist()) for i in range(60)] + [(0, [1.0] * 6), (0, [1.0] * 6)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = neighbours.nearest(frame, F.col("vec_id") % 20 == 0, 5).collect()
+    by_length = {n: [(i, np.array(v)) for i, v in rows if len(v) == n] for n in (4, 6)}
+    for q in (0, 20, 40):
+        own = [(i, v) for i, v in rows if i == q]
+        want = sorted({(-float((np.array(x) * v).sum()), i) for _, x in own for i, v in by_length[len(x)] if i != q})[:5]
+        got = sorted([(-r.score, r.vec_id) for r in out if r.query_id == q])
+        assert [i for _, i in got] == [i for _, i in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
+
+
+def test_a_vector_of_a_third_of_the_rows_and_a_crowded_cell(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    near = rng.normal(size=16) + 1e-3 * rng.normal(size=(400, 16))  # one cell
+    vectors = [*rng.normal(size=(400, 16)), *near, *[np.ones(16)] * 400]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    got = {}
+    for r in neighbours.nearest(frame, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(np.arange(1200), np.array(vectors), 20)
+    assert all(len(got[q]) == 20 for q in want)
+    assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+    assert all(got[q] == {i for i, _ in want[q]} for q in range(800, 1200, 20))
+
+
+def share_met(vectors, k=20):
+    """Recall, and the share of rows that the queries meet."""
+    vectors = np.asarray(vectors, dtype=np.float64)
+    largest = np.linalg.norm(vectors, axis=1).max()
+    rng = np.random.default_rng(0)
+    sample = vectors[np.sort(rng.choice(len(vectors), min(len(vectors), neighbours.SAMPLE), replace=False))]
+    count = neighbours.probes_needed(sample, largest, len(vectors), k)
+    queries = np.arange(0, len(vectors), max(20, len(vectors) // 100))
+    seen = neighbours.met(neighbours.Hashes(vectors.shape[1]), vectors, vectors[queries], largest, count)
+    scores = vectors[queries] @ vectors.T
+    scores[np.arange(len(queries)), queries] = -np.inf
+    top = np.argsort(-scores, axis=1)[:, :k]
+    return np.take_along_axis(seen, top, axis=1).mean(), seen.mean()
+
+
+def test_share_of_rows_met(spark):
+    """The index meets few rows where there is structure, and on nearly orthogonal vectors more, but not all."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 64))
+    clustered = [c / np.linalg.norm(c) + 0.04 * rng.normal(size=64) for c in centres for _ in range(100)]
+    recall, share = share_met(clustered)
+    assert recall >= 0.9 and share <= 0.15, (recall, share)
+    found = {}
+    for sf in ("sf0.1", "check_s"):
+        rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("embedding").collect()
+        found[sf] = recall, share = share_met([r.embedding for r in rows])
+        assert recall >= 0.9 and share <= 0.8, found
+    print(found)
