@@ -32,7 +32,7 @@ from .common import scratch, table, text_slices
 
 END_ID = 0
 CACHE_BYTES = 24 << 20
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 ROW_GROUP_BYTES = 32 << 20
 #: White space of the tokenizer's pattern, and the controls that Python counts as such.
 _SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -196,7 +196,10 @@ def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     """The runs of values at ``starts`` of ``sizes``, one after the other."""
     until = np.cumsum(sizes)
     total = int(until[-1]) if len(until) else 0
-    return values[np.repeat(starts - (until - sizes), sizes) + np.arange(total)]
+    number = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    at = np.repeat((starts - (until - sizes)).astype(number), sizes)
+    at += np.arange(total, dtype=number)
+    return values[at]
 
 
 #: A worker's encoders, kept between the tasks that it runs; each holds CACHE_BYTES at most.
