@@ -25,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op1_pareto_mix": mixing.OP1_SQL,
     "op2_chat_format": chat.OP2_SQL,
     "op3_decontaminate": decontamination.OP3_SQL,
+    "op4_secret_scan": secrets.OP4_SQL,
 }
