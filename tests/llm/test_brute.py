@@ -243,12 +243,12 @@ def test_mix_hits_targets_and_repeats(spark):
     sources = [["a", "b", "c", None][i % 4] if i % 3 else "a" for i in range(len(texts))]
     frame = docs(spark, texts, sources).withColumn("_cut", F.lit(3)).withColumn("u", F.lit(1))
     rows, plan = mixing.mixing_plan(frame)
-    taken = F.col("size") * mixing.copies_taken(F.col("weight"), F.col("u"))
+    taken = F.col("size") * mixing.copies_taken(F.col("weight"), F.col("u"), F.col("doc_id"))
     got = mixing._with_plan(rows, plan).select("source", "size", "target", "source_size", taken.alias("taken")).collect()
     assert len(got) == len(texts)
     for s in {r.source for r in got}:
         own = [r for r in got if r.source == s]
-        assert abs(sum(r.taken for r in own) - own[0].target) <= 20
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 2
         assert own[0].target <= 3 * own[0].source_size + 1e-6
         assert all(r.taken in (0, r.size, 2 * r.size, 3 * r.size) for r in own)
     assert abs(sum({r.source: r.target for r in got}.values()) - sum(r.size for r in got)) < 1e-3
@@ -256,11 +256,41 @@ def test_mix_hits_targets_and_repeats(spark):
     assert {r.source: r.n for r in mixed} == {s: n for s in {r.source for r in got} if (n := sum(r.taken for r in got if r.source == s))}
     assert mixing.mix(frame).columns == frame.columns
     assert mixing.mixing_plan(docs(spark, []))[0].count() == 0
-    weighted, plan = mixing.mixing_plan(frame, importance=F.col("doc_id") % 3)
-    got = mixing._with_plan(weighted, plan).withColumn("n", mixing.copies_taken(F.col("weight"), F.col("u")))
+    weighted, plan = mixing.mixing_plan(frame, importance=lambda _: F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 3))
+    got = mixing._with_plan(weighted, plan).withColumn("n", mixing.copies_taken(F.col("weight"), F.col("u"), F.col("doc_id")))
     assert got.where("weight = 0 and n > 0").count() == 0
 
 
+def test_realised_inclusion_is_the_intended_one(spark):
+    """Unequal odds: over many seeds, documents are taken as often as their importance says."""
+    rng = np.random.default_rng(14)
+    sizes = rng.integers(5, 200, 300)
+    frame = docs(spark, [" ".join(["w"] * int(n)) for n in sizes], ["a" if i % 2 else "b" for i in range(300)])
+    times, seeds = np.zeros(300), 5
+    for seed in range(seeds):
+        rows, plan = mixing.mixing_plan(frame, seed=f"seed {seed}")
+        full = mixing._with_plan(rows, plan).withColumn("n", mixing.copies_taken(F.col("weight"), F.col("u"), F.col("doc_id")))
+        got = full.select("doc_id", "n", F.least(F.col("_rate") * F.col("weight"), F.lit(3.0)).alias("want")).collect()
+        times[[r.doc_id for r in got]] += [r.n for r in got]
+    want = np.zeros(300)
+    want[[r.doc_id for r in got]] = [r.want for r in got]
+    assert len(np.unique(want.round(6))) >= 8 and want.max() > 1.5 * want.min()
+    for level in np.unique(want.round(6)):
+        own = np.abs(want - level) < 1e-5
+        spread = np.sqrt(np.mod(level, 1) * (1 - np.mod(level, 1)) / (seeds * own.sum()))
+        assert abs(times[own].mean() / seeds - level) < 4 * spread + 0.02, level
+
+
+def test_a_source_with_capped_copies_meets_its_target(spark):
+    """A small source of great weight, whose importances differ so much that some documents are at the cap."""
+    texts = ["w " * (1 if i % 2 else 1000) for i in range(40)] + ["w " * 1000] * 30
+    frame = docs(spark, texts, ["a"] * 40 + ["b"] * 30)
+    rows, plan = mixing.mixing_plan(frame, weights=(50.0, 20.0), importance=lambda n: F.when(n > 1, 1.0).otherwise(100.0))
+    taken = F.sum(F.col("size") * mixing.copies_taken(F.col("weight"), F.col("u"), F.col("doc_id")))
+    for r in mixing._with_plan(rows, plan).groupBy("source", "target").agg(taken.alias("n")).collect():
+        assert abs(r.n - r.target) <= 500
+
+
 def test_decontamination(spark):
     item = "the quick brown fox jumps over the lazy dog and then it sleeps all day"
     texts = [*EDGE, f"Before: {item.upper()}! after", " ".join(["pad"] * 400) + " " + item, "short ITEM", "nothing here"]
