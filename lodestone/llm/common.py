@@ -37,12 +37,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 
 
 def text_slices(batch: pa.RecordBatch, column: int | str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """``batch`` in parts of about ``most`` bytes of text, a row at least: what a task makes of texts is bounded by a part."""
+    """``batch`` in parts of about ``most`` bytes of text, a row at least: what a task makes of texts is bounded by a part.
+
+    After each part the worker gives back what Arrow's pool has free."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
     cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
     for start, end in pairwise([0, *cuts.tolist(), len(sizes)]):
         if end > start:
             yield batch.slice(start, end - start)
+            pa.default_memory_pool().release_unused()
 
 
 def unit_interval(key: Column, salt: str = "") -> Column:
