@@ -59,9 +59,9 @@ class ChunkEncoder:
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES, special_as_text: bool = False) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self._tokenizer, self._lines = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = special_as_text
-        self._lines.encode_special_tokens = True
+        self._lines = Tokenizer(self._tokenizer.model)
         self._lines.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")  # takes pieces as the model shows them, a line each
         self._model = self._tokenizer.model
         special = [] if special_as_text else [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
