@@ -106,7 +106,7 @@ def _(g: G) -> DataFrame:
 
 @query("agg16_labels", r"""
     WITH w AS (SELECT kind AS community, unnest(list_filter(string_split_regex(lower(regexp_replace(name, '([a-z])([A-Z])', '\1 \2', 'g')), '[ _\-.:/]+'), lambda x: x <> '')) AS word FROM entities WHERE kind IN ('type', 'service')),
-    n AS (SELECT community, word, count(*) AS n FROM w WHERE length(word) > 1 AND word NOT IN ('get', 'set', 'new', 'is', 'has', 'the', 'to', 'of', 'on', 'in', 'do', 'run', 'init', 'test', 'func', 'type', 'err', 'string', 'int') GROUP BY 1, 2),
+    n AS (SELECT community, word, count(*) AS n FROM w WHERE length(word) > 1 AND word NOT IN ('handler', 'store', 'manager', 'service', 'new', 'get', 'set', 'run', 'create', 'update', 'delete', 'list', 'find', 'init', 'config', 'helper', 'utils', 'error', 'response', 'request', 'base', 'default') GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, word) AS k FROM n)
     SELECT community, string_agg(word, '-' ORDER BY k) AS label FROM r WHERE k <= 3 GROUP BY community""")
 def _(g: G) -> DataFrame:

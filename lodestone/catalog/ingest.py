@@ -109,9 +109,54 @@ def _(g: G) -> DataFrame:
     return FS.exclude(g.entities.where("path is not null").select("path").distinct(), ["pkg/parts"], ["svc_1*.go", "# comment", ""])
 
 
-@query("flt12_classify", "SELECT DISTINCT path, CASE WHEN path LIKE '%.go' THEN 'source' ELSE 'ignored' END AS class, 'Go' AS language FROM entities WHERE path IS NOT NULL")
+#: folder, what it makes of its files; base name, class, language, test by name, manifest, class comes after the test rule.
+FOLDERS = (("internal/svc", "plain"), ("Vendor/x", "vendored"), ("dist", "vendored"), ("docs/guide", "plain"), ("Tests/unit", "test"), ("specs", "test"), ("src/pkg", "plain"), ("plugins/a", "vendored"))
+BASES = (
+    ("main.go", "source", "go", False, False, True), ("go.mod", "build", None, False, True, False), ("yarn.lock", "ignored", None, False, True, False), ("a.pb.go", "generated", None, False, False, False),
+    ("b_pb2.py", "generated", None, False, False, False), ("x_gen.go", "generated", None, False, False, False), ("tsconfig.json", "config", None, False, False, False), ("conf.YAML", "config", "yaml", False, False, False),
+    ("setup.cfg", "config", "ini", False, False, False), ("Cargo.toml", "build", None, False, True, False), ("app.toml", "config", "toml", False, False, False), ("README.md", "doc", "markdown", False, False, False),
+    ("test_a.py", "test", "python", True, False, True), ("a_test.go", "test", "go", True, False, True), ("b.spec.ts", "test", "typescript", True, False, True), ("c.test.js", "test", "javascript", True, False, True),
+    ("data.json", "data", None, False, False, True), ("d.csv", "data", None, False, False, True), ("logo.PNG", "ignored", None, False, False, False), ("script.zsh", "source", "shell", False, False, True),
+    ("infra.tf", "source", "terraform", False, False, True), ("noext", "ignored", None, False, False, True), ("Dockerfile", "config", None, False, True, False), ("weird.xyz", "ignored", None, False, False, True),
+    ("build.gradle.kts", "ignored", None, False, True, True), ("App.CSPROJ", "ignored", None, False, True, True), ("composer.json", "data", None, False, True, True), ("v.kt", "source", "kotlin", False, False, True),
+    ("t.tmpl", "source", "gotemplate", False, False, True), ("api.generated.ts", "generated", None, False, False, False),
+)
+
+
+def _sql(rows: tuple) -> str:
+    cell = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, (bool, int)) else f"'{x}'"
+    return ", ".join(f"({i}, {', '.join(map(cell, r))})" for i, r in enumerate(rows))
+
+
+#: The parts as files: a folder and a base name by key, the part's size as size; with what is known of them.
+FILES = f"""
+    d AS (SELECT * FROM (VALUES {_sql(FOLDERS)}) AS t(k, dir, makes)),
+    b AS (SELECT * FROM (VALUES {_sql(BASES)}) AS t(k, base, class, lang, by_name, manifest, late)),
+    files AS (SELECT dir || '/' || base AS path, p_size AS size, by_name OR makes = 'test' AS test, manifest,
+                     CASE WHEN makes = 'vendored' THEN 'vendored' WHEN makes = 'test' AND late THEN 'test' ELSE class END AS class, CASE WHEN makes <> 'vendored' THEN lang END AS language
+              FROM part JOIN d ON d.k = p_partkey % {len(FOLDERS)} JOIN b ON b.k = CAST(floor(p_partkey / {len(FOLDERS)}) AS BIGINT) % {len(BASES)})"""
+
+
+def _files(g: G) -> DataFrame:
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    folder = pick([d for d, _ in FOLDERS], F.col("p_partkey") % len(FOLDERS))
+    base = pick([b[0] for b in BASES], F.floor(F.col("p_partkey") / len(FOLDERS)) % len(BASES))
+    return g.part.select(F.concat(folder, F.lit("/"), base).alias("path"), F.col("p_size").alias("size"))
+
+
+@query("flt12_classify", f"WITH {FILES} SELECT DISTINCT path, class, language FROM files")
 def _(g: G) -> DataFrame:
-    return X.inventory(g.entities.where("path is not null").select("path").distinct()).select("path", "class", "language")
+    return X.inventory(_files(g).select("path").distinct()).select("path", "class", "language")
+
+
+@query("agg11_manifest", f"WITH {FILES} SELECT class, language, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY ALL")
+def _(g: G) -> DataFrame:
+    return X.inventory_stats(X.inventory(_files(g)))
+
+
+@query("agg14_cost", f"WITH {FILES} SELECT count(*) AS files, CAST(sum(floor(size / 4) + 1500) AS BIGINT) AS tokens FROM files WHERE class IN ('source', 'config', 'doc', 'build')")
+def _(g: G) -> DataFrame:
+    return X.cost_estimate(X.inventory(_files(g)))
 
 
 @query("gr15_repair_owners", "SELECT o.id AS from_entity_id, e.id AS to_entity_id, 'owns' AS kind FROM entities e JOIN entities o ON e.repo_id = o.repo_id AND o.qualified_name = 'parts::' || split_part(split_part(e.qualified_name, '::', 2), '.', 1) WHERE e.kind = 'type'")
@@ -119,11 +164,20 @@ def _(g: G) -> DataFrame:
     return X.repair_owners(g.entities, g.relationships.where("false")).where("kind = 'owns'")
 
 
-@query("gr16_call_edges", "WITH u AS (SELECT DISTINCT 'c' || CAST(c_custkey AS STRING) AS id FROM customer) SELECT a.id AS from_entity_id, b.id AS to_entity_id, 'strong' AS strength FROM u JOIN entities a ON a.id = u.id JOIN entities b ON b.id = 'p7'")
+#: Entities and raw calls of every kind, for callers in the package mkt: the entity that a call names, and how surely.
+CALLED = (("x1", "Store", "mkt::Store"), ("x2", "Create", "mkt::Store.Create"), ("x3", "Store", "geo::Store"), ("x4", "Save", "geo::Store.Save"), ("x5", "helper", "mkt::helper"), ("x6", "Dup", "geo::Dup"), ("x7", "Dup", "svc::Dup"), ("x8", "Only", "svc::Only"), ("x9", "Near", "mkt::a.Near"), ("y1", "Near", "alt::Near"))
+CALLS = (("geo::Store.Save", "x4", "strong"), ("Store.Create", "x2", "strong"), ("Store.Save", "x4", "moderate"), ("helper", "x5", "strong"), ("Only", "x8", "moderate"), ("Near", "x9", "moderate"), ("Dup", "x6", "weak"), ("nothing", None, None))
+
+
+@query("gr16_call_edges", f"""
+    WITH c AS (SELECT * FROM (VALUES {_sql(CALLS)}) AS t(k, raw, to_entity_id, strength))
+    SELECT 'c' || CAST(c_custkey AS STRING) AS from_entity_id, to_entity_id, 'calls' AS kind, strength FROM customer JOIN c ON c.k = c_custkey % {len(CALLS)} WHERE to_entity_id IS NOT NULL""")
 def _(g: G) -> DataFrame:
-    part = g.entities.where("id = 'p7'").select(F.col("qualified_name").alias("callee"))
-    calls = g.entities.where("kind = 'function'").select(F.col("qualified_name").alias("caller")).crossJoin(F.broadcast(part))  # one row
-    return X.call_edges(calls, g.entities).select("from_entity_id", "to_entity_id", "strength")
+    more = g.spark.createDataFrame(list(CALLED), "id string, name string, qualified_name string")
+    entities = g.entities.select("id", "name", "qualified_name").unionByName(more)
+    raw = F.element_at(F.array(*[F.lit(c[0]) for c in CALLS]), (F.substring("id", 2, 20).cast("long") % len(CALLS) + 1).cast("int"))
+    calls = g.entities.where("kind = 'function'").select(F.col("qualified_name").alias("caller"), raw.alias("callee"))
+    return X.call_edges(calls, entities).select("from_entity_id", "to_entity_id", "kind", "strength")
 
 
 @query("js3_extraction", "SELECT 'a::x' || CAST(event_id AS STRING) AS qualified_name, CASE WHEN event_id % 2 = 0 THEN 'function' ELSE 'concept' END AS kind, CAST(event_id % 2 AS INT) AS fallbacks FROM events")
@@ -139,9 +193,15 @@ def _(g: G) -> DataFrame:
     return X.batches_of(g.decisions, "repo_id", "id").select("id", "batch")
 
 
-@query("flt14_worthwhile", "SELECT doc_id FROM documents WHERE NOT (length(coalesce(text, '')) < 50 OR length(coalesce(text, '')) < 150)")
+TITLES = ("Add things", "chore: x", "CI fix", "docs", "Bump y", "Update dependencies now", "dependabot z", "A docs change", "style fix", "cicada")
+
+
+@query("flt14_worthwhile", """
+    SELECT doc_id FROM documents WHERE length(coalesce(text, '')) >= 50 AND (length(coalesce(text, '')) >= 150 OR doc_id % 3 = 0) AND doc_id % 10 IN (0, 7, 8)""")
 def _(g: G) -> DataFrame:
-    prs = g.documents.select("doc_id", F.lit("Add things").alias("title"), F.col("text").alias("body"), F.array().cast("array<string>").alias("review_comments"), F.array().cast("array<string>").alias("linked_issues"))
+    title = F.element_at(F.array(*map(F.lit, TITLES)), (F.col("doc_id") % len(TITLES) + 1).cast("int"))
+    comments = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("seen"))).otherwise(F.array().cast("array<string>"))
+    prs = g.documents.select("doc_id", title.alias("title"), F.col("text").alias("body"), comments.alias("review_comments"), F.array().cast("array<string>").alias("linked_issues"))
     return FS.worthwhile_pull_requests(prs).select("doc_id")
 
 
@@ -152,9 +212,9 @@ def _(g: G) -> DataFrame:
     return counts_by_window(g.jobs).select(F.col("window.start").alias("hour"), "status", "n")
 
 
-@query("flt13_predicates", "SELECT DISTINCT path, contains(path, 'test/') AS test, false AS manifest FROM entities WHERE path IS NOT NULL")
+@query("flt13_predicates", f"WITH {FILES} SELECT DISTINCT path, test, manifest FROM files")
 def _(g: G) -> DataFrame:
-    paths = g.entities.where("path is not null").select("path").distinct()
+    paths = _files(g).select("path").distinct()
     return paths.select("path", FS.is_test(F.col("path")).alias("test"), FS.is_manifest(F.col("path")).alias("manifest"))
 
 

@@ -212,11 +212,6 @@ def _(g: G) -> DataFrame:
     return R.counts(g.decisions, "repo_id")
 
 
-@query("agg11_manifest", "SELECT path, count(*) AS n, CAST(sum(start_line) AS BIGINT) AS total, count(*) FILTER (WHERE kind = 'function') AS functions FROM entities WHERE path IS NOT NULL GROUP BY path")
-def _(g: G) -> DataFrame:
-    return g.entities.where("path is not null").groupBy("path").agg(F.count("*").alias("n"), F.sum("start_line").alias("total"), F.count_if(F.col("kind") == "function").alias("functions"))
-
-
 @query("agg13_quality", """
     WITH e AS (SELECT repo_id, count(*) AS total, count(*) FILTER (WHERE kind = 'module' AND path IS NULL) AS excluded FROM entities GROUP BY repo_id),
     f AS (SELECT repo_id, count(*) AS facts, count(DISTINCT dimension) AS dims FROM facts WHERE superseded_by IS NULL GROUP BY repo_id),
@@ -234,11 +229,6 @@ def _(g: G) -> DataFrame:
     return found.select("repo_id", *[F.round(c, 6).alias(c) for c in found.columns if c != "repo_id"])
 
 
-@query("agg14_cost", "SELECT lang, CAST(sum(floor(n_chars / 4) + 1500) AS BIGINT) AS tokens FROM documents GROUP BY lang")
-def _(g: G) -> DataFrame:
-    return g.documents.groupBy("lang").agg(F.sum(F.floor(F.col("n_chars") / 4) + 1500).alias("tokens"))
-
-
 @query("agg15_richness", """
     WITH f AS (SELECT entity_id AS id, count(*) AS n FROM facts WHERE superseded_by IS NULL GROUP BY entity_id),
     r AS (SELECT id, count(*) AS n FROM (SELECT from_entity_id AS id FROM relationships UNION ALL SELECT to_entity_id FROM relationships WHERE from_entity_id <> to_entity_id) GROUP BY id)
@@ -350,7 +340,7 @@ def _(g: G) -> DataFrame:
     return g.entities.where("kind in ('type', 'service')").select("id", F.array_join(names.name_tokens(F.col("name")), " ").alias("words"))
 
 
-@query("str11_truncate", "SELECT id, CASE WHEN length(claim) > 120 THEN substr(claim, 1, 117) || '...' ELSE claim END AS shown, replace(substr(claim, 1, 40), '|', '\\|') AS cell FROM facts")
+@query("str11_truncate", "SELECT id, CASE WHEN strlen(claim) > 120 THEN left(claim, list_max(list_filter(range(0, 118), lambda k: strlen(left(claim, k)) <= 117))) || '...' ELSE claim END AS shown, replace(substr(claim, 1, 40), '|', '\\|') AS cell FROM facts")
 def _(g: G) -> DataFrame:
     return g.facts.select("id", names.truncate(F.col("claim"), 120).alias("shown"), names.escape_pipes(F.substring("claim", 1, 40)).alias("cell"))
 

@@ -105,14 +105,18 @@ def _(g: G) -> DataFrame:
     return _fused(g).select("id", F.round("score", 9).alias("score"), "source")
 
 
+QUESTION = "Which documents say Licensed, or have a password_or a handleBUILDING1?"
+
+
 @query("sr17_multipliers", f"""
     WITH {FUSED} SELECT f.id, round(fused.score * CASE confidence WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.85 ELSE 0.7 END * CASE WHEN e.kind IN ('function', 'type', 'endpoint', 'config') THEN 1.15 ELSE 0.85 END
-        * CASE category WHEN 'constraint' THEN 0.95 WHEN 'risk' THEN 0.8 WHEN 'debt' THEN 0.7 ELSE 1.0 END, 9) AS score
+        * CASE category WHEN 'constraint' THEN 0.95 WHEN 'risk' THEN 0.8 WHEN 'debt' THEN 0.7 ELSE 1.0 END * CASE WHEN f.repo_id IN ('r1', 'r2') THEN 1.3 ELSE 0.6 END, 9) AS score,
+        least(0.05 * (contains(lower(claim), 'documents')::INT + contains(lower(claim), 'licensed')::INT + contains(lower(claim), 'password_or')::INT + contains(lower(claim), 'handlebuilding1')::INT), 0.1) AS bonus
     FROM fused JOIN facts f ON fused.id = f.id JOIN entities e ON f.entity_id = e.id""")
 def _(g: G) -> DataFrame:
     rows = R.hydrate(_fused(g).join(g.facts, "id"), g.entities, g.repos)
     score = F.col("score") * scoring.by_value(F.col("confidence"), scoring.CONFIDENCE_FACTOR) * scoring.by_value(F.col("entity_kind"), scoring.KIND_FACTOR) * scoring.by_value(F.col("category"), scoring.CATEGORY_FACTOR)
-    return rows.select("id", F.round(score, 9).alias("score"))
+    return rows.select("id", F.round(score * S.affinity(F.col("repo_id"), ("r1", "r2")), 9).alias("score"), S.claim_bonus(F.col("claim"), QUESTION).alias("bonus"))
 
 
 @query("sr11_mentions")

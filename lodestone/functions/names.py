@@ -80,7 +80,10 @@ def name_tokens(name: Column) -> Column:
 
 
 def truncate(text: Column, most: int, mark: str = "...") -> Column:
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - len(mark)), F.lit(mark))).otherwise(text)
+    """``text`` of at most ``most`` bytes: a longer one is cut to leave place for the mark, at the last whole character."""
+    head = F.substring(text.cast("binary"), 1, most - len(mark)).cast("string")
+    whole = F.regexp_replace(F.make_valid_utf8(head), "\ufffd+$", "")
+    return F.when(F.octet_length(text) > most, F.concat(whole, F.lit(mark))).otherwise(text)
 
 
 def escape_pipes(text: Column) -> Column:

@@ -126,6 +126,6 @@ def rank_cover(lex: Column, query: str) -> Column:
 
 
 def candidate_tokens(question: str) -> list[str]:
-    """Words of a question that look like identifiers: camel case, underscores, or over six bytes."""
-    words = (w.strip("\"'`()[]{}") for w in re.split(r"[ ,?!.;:\n\t]+", question))
-    return list(dict.fromkeys(w for w in words if w and (re.search("[a-z][A-Z]", w) or "_" in w or len(w.encode()) > 6)))
+    """Words of a question that look like identifiers: camel case, underscores, or over six bytes; in order, repeats included."""
+    words = (w.strip("'\"()") for w in re.split(r"[\s,?!.;:]+", question))
+    return [w for w in words if w and (re.search("[a-z][A-Z]", w) or "_" in w or len(w.encode()) > 6)]

@@ -226,7 +226,9 @@ def cohesion(pairs: DataFrame, communities: DataFrame) -> DataFrame:
 
 
 #: Words that do not label a community.
-NOISE = ("get", "set", "new", "is", "has", "the", "to", "of", "on", "in", "do", "run", "init", "test", "func", "type", "err", "string", "int")
+NOISE = (
+    "handler", "store", "manager", "service", "new", "get", "set", "run", "create", "update", "delete", "list", "find", "init", "config", "helper", "utils", "error", "response", "request", "base", "default",
+)
 
 
 def labels_of(communities: DataFrame, entities: DataFrame, words: int = 3, noise: Sequence[str] = NOISE) -> DataFrame:

@@ -157,6 +157,39 @@ def resolve_names(references: DataFrame, entities: DataFrame) -> DataFrame:
     return best.select("ref", "caller", F.col("b.id").alias("entity_id"), F.col("b.stage").alias("stage"))
 
 
+def resolve_calls(calls: DataFrame, entities: DataFrame) -> DataFrame:
+    """(raw, pkg) -> qualified_name, entity_id and certainty of what a raw call expression names; no row if nothing.
+
+    An exact qualified name (high); ``Receiver.Method`` with a receiver of that short name (high in the caller's package, else
+    moderate); the name in the caller's package (high); a short name that one entity has, or one of the caller's package among
+    several (moderate); the first of several (low).  Firsts are by qualified name, then id.
+    """
+    refs = calls.select("raw", "pkg").distinct()
+    package = F.when(F.contains("qualified_name", F.lit("::")), F.substring_index("qualified_name", "::", 1)).otherwise("")
+    own = entities.select("id", "qualified_name", "name").withColumn("own_pkg", package)
+    by_name = own.select(F.col("name").alias("k"), "own_pkg", "qualified_name", "id")
+    exact = own.groupBy(F.col("qualified_name").alias("k")).agg(F.min("id").alias("id")).withColumn("qualified_name", F.col("k"))
+    dotted = refs.where(F.contains("raw", F.lit("."))).withColumn("k", F.substring_index("raw", ".", 1))
+    owners = dotted.join(by_name.select("k", "own_pkg").distinct(), "k").withColumn("k", F.concat("own_pkg", F.lit("::"), "raw"))
+    same = F.col("own_pkg") == F.col("pkg")
+    counts = by_name.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct("qualified_name", "id")).alias("first"))
+    short = refs.withColumn("k", F.col("raw")).join(counts, "k")
+    homes = by_name.groupBy("k", F.col("own_pkg").alias("pkg")).agg(F.min(F.struct("qualified_name", "id")).alias("home"))
+    short = short.join(homes, ["k", "pkg"], "left").withColumn("pick", F.coalesce("home", "first"))
+    tries = [
+        refs.withColumn("k", F.col("raw")).join(exact, "k").withColumn("certainty", F.lit("high")),
+        owners.join(exact, "k").withColumn("certainty", F.when(same, "high").otherwise("moderate")),
+        refs.where("pkg <> ''").withColumn("k", F.concat("pkg", F.lit("::"), "raw")).join(exact, "k").withColumn("certainty", F.lit("high")),
+        short.select("raw", "pkg", "pick.*", F.when((F.col("n") == 1) | F.col("home").isNotNull(), "moderate").otherwise("low").alias("certainty")),
+    ]
+    found = None
+    for stage, t in enumerate(tries):
+        one = t.select("raw", "pkg", F.struct(F.lit(stage).alias("stage"), "qualified_name", F.col("id").alias("entity_id"), "certainty").alias("b"))
+        found = one if found is None else found.unionByName(one)
+    best = found.groupBy("raw", "pkg").agg(F.min("b").alias("b"))
+    return best.select("raw", "pkg", "b.qualified_name", "b.entity_id", "b.certainty")
+
+
 def duplicate_names(entities: DataFrame, other: DataFrame) -> DataFrame:
     """Pairs of the same repository, kind, owner and normalised name: equal names have trigram similarity 1."""
     key = lambda df, p: df.select(F.col("id").alias(f"{p}id"), "repo_id", "kind", names.normalize_name(F.col("name")).alias("norm"), names.owner_of(F.col("qualified_name")).alias("owner"))

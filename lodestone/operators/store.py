@@ -142,11 +142,15 @@ def backfill_confidence(edges: DataFrame, cross_repo: bool = False) -> DataFrame
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row: a hash of the rows as JSON in order of their text; equal tables have equal hashes."""
+    """One row: a hash that equal tables share, whatever the order of their rows.
+
+    Each row's hash (of its JSON, columns by name) falls into one of 4096 buckets by its first digits; a bucket's hash is that
+    of its rows' hashes in order, the table's that of the buckets' in order.
+    """
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
-    return df.select(row.alias("h")).groupBy().agg(F.count("*").alias("rows"), F.sum(F.conv(F.substring("h", 1, 15), 16, 10).cast("decimal(38,0)")).alias("sum")).select(
-        F.sha2(F.concat_ws(":", "rows", F.coalesce("sum", F.lit(0))), 256).alias("etag")
-    )
+    buckets = df.select(row.alias("h")).groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+    ordered = F.array_sort(F.collect_list(F.struct("b", "h")))  # 4096 rows at most
+    return buckets.groupBy().agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["h"]), ""), 256).alias("etag"))
 
 
 def etag_matches(header: str | None, etag: str) -> bool:

@@ -157,12 +157,12 @@ def resolve_edges(relationships: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def call_edges(calls: DataFrame, entities: DataFrame) -> DataFrame:
-    """(caller, callee), qualified -> calls edges; how a name was found decides the strength."""
-    found = R.resolve_names(calls.select(F.col("callee").alias("ref"), "caller"), entities)
-    certainty = F.when(F.col("stage") <= 3, "high").when(F.col("stage") == 4, "moderate").otherwise("moderate")
+    """(caller, callee): qualified callers and raw call expressions -> calls edges; how a name was found decides the strength."""
+    raw = calls.select("caller", F.col("callee").alias("raw"), F.when(F.contains("caller", F.lit("::")), F.substring_index("caller", "::", 1)).otherwise("").alias("pkg"))
+    found = raw.join(R.resolve_calls(raw, entities), ["raw", "pkg"])
     own = entities.select(F.col("qualified_name").alias("caller"), F.col("id").alias("from_entity_id"))
-    edges = found.join(own, "caller").where("from_entity_id <> entity_id")
-    return edges.select("from_entity_id", F.col("entity_id").alias("to_entity_id"), F.lit("calls").alias("kind"), scoring.confidence_to_strength(certainty).alias("strength"), F.lit(0.95).alias("confidence"))
+    edges = found.join(own, "caller").where("from_entity_id <> entity_id").withColumn("strength", scoring.confidence_to_strength(F.col("certainty")))
+    return edges.select("from_entity_id", F.col("entity_id").alias("to_entity_id"), F.lit("calls").alias("kind"), "strength", F.lit(0.95).alias("confidence")).distinct()
 
 
 def import_edges(imports: DataFrame, entities: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def fuzzy_names(entities: DataFrame, wanted: Sequence[str], least: float, limit:
 
 def mentioned(entities: DataFrame, question: str, least: float = 0.4, limit: int = 5) -> DataFrame:
     """(entity_id, similarity) of entities whose names the question's identifiers come near."""
-    found = fuzzy_names(entities, text.candidate_tokens(question), least, limit)
+    found = fuzzy_names(entities, list(dict.fromkeys(text.candidate_tokens(question))), least, limit)
     return found.groupBy(F.col("id").alias("entity_id")).agg(F.max("similarity").alias("similarity"))
 
 
@@ -72,6 +72,19 @@ def fuse(vectors: DataFrame, texts: DataFrame, k: int = scoring.RRF_K, weights:
     return both.select("id", (part("rv", weights[0]) + part("rt", weights[1])).alias("score"), source.alias("source"))
 
 
+def affinity(repo_id: Column, repo_ids: Sequence[str]) -> Column:
+    """Facts of the repositories asked for count more than others; without any, all the same."""
+    return F.when(repo_id.isin(*repo_ids), 1.3).otherwise(0.6) if repo_ids else F.lit(1.0)
+
+
+def claim_bonus(claim: Column, question: str) -> Column:
+    """0.05 for each of the question's candidate words that the claim holds, 0.1 at most."""
+    words = [w.lower() for w in text.candidate_tokens(question)]
+    if not words:
+        return F.lit(0.0)
+    return F.least(0.05 * F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(claim), w))), F.lit(0.1))
+
+
 def hybrid_search(
     graph: dict[str, DataFrame], question: str, queries: Sequence[SubQuery], repo_ids: Sequence[str] = (), limit: int = 40, least: float = 0.4, explain: bool = False
 ) -> DataFrame:
@@ -80,7 +93,7 @@ def hybrid_search(
 
     ``graph`` has facts (with embedding), entities, relationships, repos and feedback.
     """
-    facts = R.active_facts(graph["facts"])
+    facts = R.active_facts(graph["facts"]).withColumn("f_words", claim_bonus(F.col("claim"), question))
     scoped = facts.where(F.col("repo_id").isin(*repo_ids)) if repo_ids else facts
     entities = graph["entities"]
     lists: DataFrame | None = None
@@ -90,7 +103,7 @@ def hybrid_search(
     assert lists is not None
     # a fact that several sub-queries find keeps the first one's score
     seeds = lists.groupBy("id").agg(F.min(F.struct("nth", "score", "source")).alias("x")).select("id", "x.score", "x.source")
-    light = facts.select("id", "entity_id", "repo_id", "dimension", "category", "confidence")
+    light = facts.select("id", "entity_id", "repo_id", "dimension", "category", "confidence", "f_words")
     said = mentioned(entities, question)
     seeds = seeds.join(light, "id").join(said, "entity_id", "left")
     seeds = materialize(seeds.withColumn("score", F.col("score") * (1 + 0.5 * F.coalesce("similarity", F.lit(0.0)))).drop("similarity"))
@@ -101,25 +114,21 @@ def hybrid_search(
     near = scoring.cosine(F.col("embedding"), scoring.vector_literal(queries[0].vector))
     more = facts.join(widened, "entity_id", "left_semi").join(seeds.select("id"), "id", "left_anti").withColumn("sim", near).where("sim is not null")
     more = R.first_n(more, ["entity_id"], [F.desc("sim"), "id"], 10).crossJoin(F.broadcast(top))
-    expanded = more.select("entity_id", "id", (F.col("top") * F.col("sim") * 0.85).alias("score"), F.lit("expansion").alias("source"), "repo_id", "dimension", "category", "confidence")
+    expanded = more.select("entity_id", "id", (F.col("top") * F.col("sim") * 0.85).alias("score"), F.lit("expansion").alias("source"), "repo_id", "dimension", "category", "confidence", "f_words")
     around = graph_ops.strongest_neighbours(graph["relationships"], widened.select(F.col("entity_id").alias("seed")))
     factor = F.max(scoring.by_value(F.col("strength"), scoring.NEIGHBOUR_FACTOR, 0.15)).alias("factor")
     around = around.groupBy(F.col("node").alias("entity_id")).agg(factor).join(widened, "entity_id", "left_anti")
     seen = seeds.select("id").unionByName(expanded.select("id"))
     beside = R.facts_of_entities(facts.join(seen, "id", "left_anti"), 3).join(around, "entity_id").crossJoin(F.broadcast(top))
-    beside = beside.select("entity_id", "id", (F.col("top") * F.col("factor")).alias("score"), F.lit("relationship").alias("source"), "repo_id", "dimension", "category", "confidence")
+    beside = beside.select("entity_id", "id", (F.col("top") * F.col("factor")).alias("score"), F.lit("relationship").alias("source"), "repo_id", "dimension", "category", "confidence", "f_words")
     all_rows = seeds.unionByName(expanded).unionByName(beside)
-    kinds = entities.select(F.col("id").alias("entity_id"), F.col("name").alias("entity_name"), F.col("kind").alias("entity_kind"), F.concat_ws(" ", "name", "path").alias("_about"))
+    kinds = entities.select(F.col("id").alias("entity_id"), F.col("name").alias("entity_name"), F.col("kind").alias("entity_kind"))
     rows = all_rows.join(kinds, "entity_id", "left").withColumn("base", F.col("score"))
-    affinity = F.when(F.col("repo_id").isin(*repo_ids), 1.3).otherwise(0.6) if repo_ids else F.lit(1.0)
-    words = F.array(*[F.lit(w) for w in dict.fromkeys(w for c in text.parse_query(question) for p in c.phrases for w in p)] or [F.lit("")])
-    bonus = F.least(0.05 * F.size(F.filter(words, lambda w: (w != "") & F.contains(F.lower(F.coalesce("_about", F.lit(""))), w))), F.lit(0.1))
     rows = (
         rows.withColumn("f_confidence", scoring.by_value(F.col("confidence"), scoring.CONFIDENCE_FACTOR))
         .withColumn("f_kind", scoring.by_value(F.col("entity_kind"), scoring.KIND_FACTOR))
         .withColumn("f_category", scoring.by_value(F.col("category"), scoring.CATEGORY_FACTOR))
-        .withColumn("f_repo", affinity)
-        .withColumn("f_words", bonus)
+        .withColumn("f_repo", affinity(F.col("repo_id"), repo_ids))
         .withColumn("score", F.col("base") * F.col("f_confidence") * F.col("f_kind") * F.col("f_category") * F.col("f_repo") + F.col("f_words"))
     )
     best = rows.orderBy(F.desc("score"), "id").limit(limit)
@@ -150,7 +159,7 @@ def triplet_search(
     s, t = near.select(F.col("entity_id").alias("from_entity_id"), F.col("similarity").alias("ss")), near.select(F.col("entity_id").alias("to_entity_id"), F.col("similarity").alias("ts"))
     joined = edges.join(s, "from_entity_id", "left").join(t, "to_entity_id", "left").fillna(0.0, ["ss", "ts"])
     rel = (F.col("ss") + F.col("ts")) / 2 * scoring.by_value(F.col("strength"), scoring.STRENGTH_FACTOR, 0.5)
-    factor: Column = F.when(F.col("repo_id").isin(*repo_ids), 1.3).otherwise(0.6) if repo_ids else F.lit(1.0)
+    factor = affinity(F.col("repo_id"), repo_ids)
     scored = joined.withColumn("score", (0.4 * F.col("ss") + 0.2 * rel + 0.4 * F.col("ts")) * factor)
     return scored.select("id", "from_entity_id", "to_entity_id", "kind", "strength", "score").orderBy(F.desc("score"), "id").limit(limit)
 

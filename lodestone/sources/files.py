@@ -13,18 +13,41 @@ from pyspark.sql import functions as F
 from lodestone.functions import names
 
 #: Directories, names and endings that decide a file's class.
-VENDORED = ("vendor", "node_modules", "third_party", "bower_components", "Pods", ".venv", "venv")
-SKIPPED_DIRS = (".git", ".idea", ".vscode", *VENDORED)
-BUILD_FILES = ("Makefile", "Dockerfile", "Jenkinsfile", "CMakeLists.txt", "docker-compose.yml", "docker-compose.yaml", "build.gradle", "pom.xml", "Rakefile")
-MANIFESTS = ("go.mod", "package.json", "requirements.txt", "pyproject.toml", "Cargo.toml", "Gemfile", "pom.xml", "build.gradle", "composer.json", "pubspec.yaml", "mix.exs", "Package.swift")
+VENDORED = ("vendor", "node_modules", "third_party", "plugins", ".next", "dist", "build", "__pycache__", ".tox", ".venv", "venv")
+IGNORED_ENDINGS = ("png", "jpg", "jpeg", "gif", "svg", "ico", "woff", "woff2", "ttf", "eot", "pdf", "zip", "tar", "gz", "bz2", "exe", "dll", "so", "dylib", "lock")
+GENERATED = r"\.gen\.|_gen\.|\.generated\.|_generated\.|\.pb\.|_pb2\.py$"
+BUILD_FILES = (
+    "go.mod", "go.sum", "package.json", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "cargo.toml", "cargo.lock", "gemfile", "gemfile.lock", "requirements.txt", "pyproject.toml",
+    "poetry.lock", "pom.xml", "build.gradle", "makefile", "cmakelists.txt",
+)
+CONFIG_FILES = (
+    "dockerfile", "docker-compose.yml", "docker-compose.yaml", ".env", ".env.example", ".eslintrc", ".eslintrc.js", ".eslintrc.json", ".prettierrc", ".prettierrc.js", ".prettierrc.json", "tsconfig.json",
+    ".babelrc", "webpack.config.js", "vite.config.ts", "vite.config.js", "next.config.js", "next.config.mjs", ".goreleaser.yml", ".goreleaser.yaml", "nginx.conf",
+)
+CONFIG_LANGUAGES = {"yml": "yaml", "yaml": "yaml", "toml": "toml", "ini": "ini", "cfg": "ini"}
+DOC_ENDINGS = ("md", "rst", "txt", "adoc")
 LANGUAGES = {
-    "go": "Go", "py": "Python", "js": "JavaScript", "jsx": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript", "java": "Java", "kt": "Kotlin", "rs": "Rust", "rb": "Ruby", "php": "PHP",
-    "c": "C", "h": "C", "cpp": "C++", "cc": "C++", "hpp": "C++", "cs": "C#", "swift": "Swift", "scala": "Scala", "sh": "Shell", "sql": "SQL", "dart": "Dart", "ex": "Elixir", "exs": "Elixir", "lua": "Lua",
+    "go": "go", "py": "python", "js": "javascript", "ts": "typescript", "tsx": "typescript", "jsx": "javascript", "rs": "rust", "java": "java", "rb": "ruby", "c": "c", "cpp": "cpp", "h": "c", "hpp": "cpp",
+    "cs": "csharp", "swift": "swift", "kt": "kotlin", "scala": "scala", "php": "php", "sh": "shell", "bash": "shell", "zsh": "shell", "lua": "lua", "r": "r", "sql": "sql", "proto": "protobuf",
+    "tf": "terraform", "tfvars": "terraform", "hcl": "hcl", "j2": "jinja2", "jinja": "jinja2", "tmpl": "gotemplate", "tpl": "gotemplate", "ex": "elixir", "exs": "elixir", "zig": "zig", "dart": "dart", "nix": "nix",
 }
-IGNORED_ENDINGS = ("png", "jpg", "jpeg", "gif", "ico", "svg", "woff", "woff2", "ttf", "zip", "gz", "tar", "exe", "dll", "so", "bin", "lock", "sum", "map", "pdf", "mp4", "mp3")
-DATA_ENDINGS = ("csv", "tsv", "parquet", "jsonl", "xml")
-CONFIG_ENDINGS = ("yaml", "yml", "toml", "ini", "cfg", "conf", "json", "env", "properties")
-DOC_ENDINGS = ("md", "rst", "txt", "adoc")
+DATA_ENDINGS = ("json", "csv", "xml")
+MANIFESTS = (
+    "go.mod", "go.sum", "package.json", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "requirements.txt", "pyproject.toml", "cargo.toml", "cargo.lock", "gemfile", "gemfile.lock", "pom.xml",
+    "build.gradle", "build.gradle.kts", "composer.json", "pubspec.yaml", "mix.exs", "package.swift", "dockerfile",
+)
+ANALYZED = ("source", "config", "doc", "build")
+TRIVIAL_TITLE = r"(?i)^(chore|ci|docs|bump|update dependencies|dependabot)"
+#: Folders of tools, which read_files leaves out beside the vendored ones.
+SKIPPED_DIRS = (".git", ".idea", ".vscode", *VENDORED)
+
+
+def _base(path: Column) -> Column:
+    return F.lower(F.element_at(F.split(path, "/"), -1))
+
+
+def _folder(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, "^(.*)/[^/]*$", 1))
 
 
 def ending(path: Column) -> Column:
@@ -32,38 +55,44 @@ def ending(path: Column) -> Column:
 
 
 def is_test(path: Column) -> Column:
-    base = F.element_at(F.split(path, "/"), -1)
-    return F.contains(path, F.lit("test/")) | F.contains(path, F.lit("tests/")) | F.contains(path, F.lit("spec/")) | base.rlike(r"(_test\.|\.test\.|\.spec\.|^test_)")
+    """By the name, or by a folder whose name has test or spec in it."""
+    return _base(path).rlike(r"_test\.(go|py)$|^test_|\.test\.|\.spec\.") | _folder(path).rlike("test|spec")
 
 
-def language(path: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    return F.element_at(table, ending(path))
+def _by_ending(path: Column, values: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), ending(path))
 
 
 def classify(path: Column) -> Column:
     """vendored, ignored, generated, build, config, doc, test, source, data; the first that fits."""
-    parts, base = F.split(path, "/"), F.element_at(F.split(path, "/"), -1)
+    vendored = F.arrays_overlap(F.split(_folder(path), "/"), F.array(*[F.lit(d) for d in VENDORED]))
     return (
-        F.when(F.arrays_overlap(parts, F.array(*[F.lit(d) for d in VENDORED])), "vendored")
+        F.when(vendored, "vendored")
         .when(ending(path).isin(*IGNORED_ENDINGS), "ignored")
-        .when(base.rlike(r"(\.pb\.go|_generated\.|\.gen\.|\.min\.)"), "generated")
-        .when(base.isin(*BUILD_FILES) | (ending(path) == "mk"), "build")
-        .when(ending(path).isin(*CONFIG_ENDINGS), "config")
+        .when(_base(path).rlike(GENERATED), "generated")
+        .when(_base(path).isin(*BUILD_FILES), "build")
+        .when(_base(path).isin(*CONFIG_FILES) | ending(path).isin(*CONFIG_LANGUAGES), "config")
         .when(ending(path).isin(*DOC_ENDINGS), "doc")
-        .when(is_test(path) & language(path).isNotNull(), "test")
-        .when(language(path).isNotNull(), "source")
+        .when(is_test(path), "test")
+        .when(_by_ending(path, LANGUAGES).isNotNull(), "source")
         .when(ending(path).isin(*DATA_ENDINGS), "data")
         .otherwise("ignored")
     )
 
 
+def language(path: Column) -> Column:
+    """Of sources and tests by the ending; markup of configurations and documents; null for others."""
+    kind = classify(path)
+    config = F.when(~_base(path).isin(*CONFIG_FILES), _by_ending(path, CONFIG_LANGUAGES))
+    return F.when(kind == "config", config).when(kind == "doc", "markdown").when(kind.isin("test", "source"), _by_ending(path, LANGUAGES))
+
+
 def is_manifest(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1).isin(*MANIFESTS) | (ending(path) == "csproj")
+    return _base(path).isin(*MANIFESTS) | (ending(path) == "csproj")
 
 
 def analyzable(files: DataFrame) -> DataFrame:
-    return files.where(F.col("class").isin("source", "config", "build", "doc", "test"))
+    return files.where(F.col("class").isin(*ANALYZED))
 
 
 def glob_regex(pattern: str) -> str:
@@ -123,7 +152,7 @@ def parse_log(text: DataFrame) -> DataFrame:
     """(value): one block a commit -> sha, author, date, message, files_changed."""
     lines = F.split(F.trim(F.regexp_replace("value", "^COMMIT_BOUNDARY\n", "")), "\n")
     head, files = F.split("value", "\nFILES_BOUNDARY").getItem(0), F.split("value", "\nFILES_BOUNDARY").getItem(1)
-    message = F.array_join(F.slice(F.split(F.regexp_replace(head, "^\\s*(?:COMMIT_BOUNDARY\n)?", ""), "\n"), 4, 100_000), "\n")
+    message = F.array_join(F.slice(F.split(F.regexp_replace(head, "^\\s*(?:COMMIT_BOUNDARY\n)?", ""), "\n"), 4, F.size(lines)), "\n")
     return text.where(F.size(lines) >= 4).select(
         lines[0].alias("sha"), lines[1].alias("author"), names.parse_date(lines[2]).alias("date"), F.trim(message).alias("message"),
         F.filter(F.transform(F.split(F.coalesce(files, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("files_changed"),
@@ -205,8 +234,7 @@ def worthwhile_pull_requests(prs: DataFrame) -> DataFrame:
     """Without trivial ones: short bodies, housekeeping titles, and short ones that nobody discussed."""
     length = F.length(F.coalesce("body", F.lit("")))
     quiet = (F.coalesce(F.size("review_comments"), F.lit(0)) <= 0) & (F.coalesce(F.size("linked_issues"), F.lit(0)) <= 0)
-    chores = F.col("title").rlike(r"(?i)^(chore|ci|docs|bump|style|build)\b")
-    return prs.where(~((length < 50) | chores | (quiet & (length < 150))))
+    return prs.where(~((length < 50) | F.coalesce(F.col("title").rlike(TRIVIAL_TITLE), F.lit(False)) | (quiet & (length < 150))))
 
 
 def read_chats(spark: SparkSession, path: str) -> DataFrame:

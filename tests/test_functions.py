@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import names, scoring, text
-from lodestone.operators import graph
+from lodestone.operators import graph, relational, store
 from lodestone.plans import extraction
 from lodestone.sources import files
 
@@ -107,7 +107,7 @@ def test_clean_json(given, want):
 
 
 def test_classify(spark):
-    cases = {"main.go": "source", "pkg/x_test.go": "test", "vendor/a/b.go": "vendored", "README.md": "doc", "Makefile": "build", "config.yaml": "config", "logo.png": "ignored", "api.pb.go": "generated", "rows.csv": "data", "src/app.py": "source"}
+    cases = {"main.go": "source", "pkg/x_test.go": "test", "vendor/a/b.go": "vendored", "README.md": "doc", "Makefile": "build", "config.yaml": "config", "logo.png": "ignored", "api.pb.go": "generated", "rows.csv": "data", "src/app.py": "source", "deploy/Dist/x.go": "vendored", "a/poetry.lock": "ignored", "x/y.tfvars": "source", "a/data.json": "data", "contest/a.go": "test", "b/Gemfile": "build", ".env": "config"}
     rows = spark.createDataFrame([(p,) for p in cases], "path string").select("path", files.classify(F.col("path")).alias("c")).collect()
     assert {r.path: r.c for r in rows} == cases
 
@@ -116,3 +116,25 @@ def test_exclude(spark):
     paths = ["a/b.go", "gen/x.go", "a/gen/y.go", "keep/z.log", "w.log", "docs/api/i.md", "docs/i.md"]
     rows = spark.createDataFrame([(p,) for p in paths], "path string")
     assert [r.path for r in files.exclude(rows, ["gen"], ["*.log", "!keep/z.log", "/docs/api/"]).collect()] == ["a/b.go", "a/gen/y.go", "keep/z.log", "docs/i.md"]
+
+
+def test_truncate_counts_bytes(spark):
+    cases = {"abcdef": "abcdef", "abcdefg": "abc...", "éééé": "é...", "aéé": "aéé", "aééé": "aé...", "": ""}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", names.truncate(F.col("t"), 6).alias("c")).collect()
+    assert {r.t: r.c for r in rows} == cases
+
+
+def test_calls_are_resolved_by_receiver_package_and_short_name(spark):
+    entities = spark.createDataFrame([("1", "a::T", "T"), ("2", "a::T.M", "M"), ("3", "b::T", "T"), ("4", "b::T.N", "N"), ("5", "b::f", "f"), ("6", "c::f", "f"), ("7", "plain", "plain")], "id string, qualified_name string, name string")
+    calls = [("T.M", "a"), ("T.M", "b"), ("T.N", ""), ("f", "b"), ("f", "z"), ("plain", "z"), ("M", "z"), ("a::T", "z"), ("none", "a"), ("T.none", "a")]
+    rows = relational.resolve_calls(spark.createDataFrame(calls, "raw string, pkg string"), entities).collect()
+    assert {(r.raw, r.pkg): (r.entity_id, r.certainty) for r in rows} == {
+        ("T.M", "a"): ("2", "high"), ("T.M", "b"): ("2", "moderate"), ("T.N", ""): ("4", "moderate"), ("f", "b"): ("5", "high"), ("f", "z"): ("5", "low"),
+        ("plain", "z"): ("7", "high"), ("M", "z"): ("2", "moderate"), ("a::T", "z"): ("1", "high"),
+    }
+
+
+def test_fingerprint_does_not_depend_on_order(spark):
+    rows = [(i, f"t{i % 7}") for i in range(500)]
+    one, two, other = (store.fingerprint(spark.createDataFrame(r, "a int, b string").repartition(n)).first().etag for r, n in ((rows, 1), (rows[::-1], 5), (rows[1:], 3)))
+    assert one == two != other
