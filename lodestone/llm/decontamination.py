@@ -1,12 +1,12 @@
 """Benchmark decontamination with a broadcast hash set of normalised test n-grams.
 
 Benchmark items become windows of 13 words (an item with fewer is one window).  The hash of a window's first, middle
-and last word goes into a hash set that the plan carries to every task; a document's words are scanned once against it,
-and only positions that are in the set have their whole window built, which is then verified by an exact join with the
+and last word goes into a hash set of bits that the plan carries to every task; a document's words are scanned once against
+it, and only positions whose bit is set have their whole window built, which is then verified by an exact join with the
 windows themselves.  Documents without a candidate cross the shuffle as one narrow row.
 
-The set and the verifying join are broadcast only after the windows have been counted; a benchmark above ``max_windows``
-takes the same steps without the set and with a shuffled join.
+The set has SPARSE bits for each window, MOST_BITS at most (8 MB): a larger benchmark fills it more densely, so more
+candidates reach the join, and nothing else changes.  The join is a broadcast one if the windows have been counted to be few.
 
 Defined cases: null text has no words, so no hits; an item without words has no window; an item without id marks words
 but is not listed; every input row gives a row, repeated doc_ids too; an empty benchmark hits nothing.
@@ -14,15 +14,14 @@ but is not listed; every input row gives a row, repeated doc_ids too; an empty b
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize, table
 
 WINDOW = 13
-MAX_WINDOWS = 100_000
+MAX_BROADCAST = 100_000
+SPARSE, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 26
 #: What separates words after lower-casing, and before it.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -33,7 +32,7 @@ def item_words(text: Column) -> Column:
 
 
 def _signature(words: Column, at: Column, length: int) -> Column:
-    return F.xxhash64(F.get(words, at), F.get(words, at + length // 2), F.get(words, at + length - 1))
+    return F.xxhash64(F.get(words, at), F.get(words, at + length // 2), F.get(words, at + length - 1), F.lit(length))
 
 
 def _window_text(words: Column, at: Column, length: int) -> Column:
@@ -59,32 +58,48 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return union.groupBy("length", "window", "signature").agg(F.collect_set("item").alias("items"))
 
 
-def _is_known(length: int, signatures: list[int]) -> Callable[[Column], Column]:
-    return lambda at: _signature(F.col("_w"), at, length).isin(signatures)
+def _slot(signature: Column, bits: int) -> tuple[Column, Column]:
+    """Which of the set's 64-bit words, and which of its bits."""
+    return F.shiftright(signature.bitwiseAND(bits - 1), 6).cast("int"), signature.bitwiseAND(63).cast("int")
+
+
+def _bit_set(windows: DataFrame, count: int) -> tuple[Column, int]:
+    """The set of the windows' signatures as a constant array of 64-bit words, and its number of bits."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (SPARSE * max(1, count) - 1).bit_length()))
+    word, bit = _slot(F.col("signature"), bits)
+    one = F.expr("shiftleft(1L, bit)")
+    found = windows.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(one).alias("set")).collect()  # MOST_BITS / 64 rows at most
+    values = ["0"] * (bits // 64)
+    for r in found:
+        values[r.word] = str(r.set)
+    return F.split(F.lit(",".join(values)), ",").cast("array<bigint>"), bits  # folded to one literal
 
 
-def _built(length: int) -> Callable[[Column], Column]:
-    return lambda at: F.struct(at.alias("at"), F.lit(length).alias("length"), _window_text(F.col("_w"), at, length).alias("window"))
+def _candidates(words: Column, length: int, known: Column, bits: int) -> Column:
+    """array<struct<at, length, signature, window>> of the positions whose bit is set."""
+    each = F.transform(_starts(words, length), lambda at: F.struct(at.alias("at"), _signature(words, at, length).alias("signature")))
+
+    def is_known(x: Column) -> Column:
+        word, bit = _slot(x["signature"], bits)
+        return F.getbit(F.get(known, word), bit) == 1
+
+    return F.transform(
+        F.filter(each, is_known), lambda x: F.struct(x["at"].alias("at"), F.lit(length).alias("length"), x["signature"].alias("signature"), _window_text(words, x["at"], length).alias("window"))
+    )
 
 
-def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """For every row of ``docs``: doc_id, n_words, spans array<struct<at, length>> of occurrences, item ids, n_hit, contaminated."""
     windows = materialize(benchmark_windows(items, window))
-    small = windows.count() <= max_windows
     lengths = sorted(r.length for r in windows.select("length").distinct().collect())  # window lengths: at most 13
+    count = windows.count()
+    known, bits = _bit_set(windows, count)
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), item_words(F.col("text")).alias("_w"))
-    parts = []
-    for length in lengths:
-        at = _starts(F.col("_w"), length)
-        if small:
-            known = [r.signature for r in windows.where(F.col("length") == length).select("signature").distinct().collect()]
-            at = F.filter(at, _is_known(length, known))
-        parts.append(F.transform(at, _built(length)))
-    none = F.array().cast("array<struct<at:int,length:int,window:string>>")
+    parts = [_candidates(F.col("_w"), length, known, bits) for length in lengths]
+    none = F.array().cast("array<struct<at:int,length:int,signature:bigint,window:string>>")
     rows = rows.select("doc_id", "_row", F.size("_w").cast("long").alias("n_words"), F.explode_outer(F.concat(none, *parts)).alias("f"))
-    right = windows.select("window", "length", "items")
-    right = F.broadcast(right) if small else right
-    seen = rows.select("doc_id", "_row", "n_words", "f.at", "f.length", "f.window").join(right, ["window", "length"], "left")
+    right = F.broadcast(windows) if count <= max_broadcast else windows
+    seen = rows.select("doc_id", "_row", "n_words", "f.at", "f.length", "f.signature", "f.window").join(right, ["signature", "length", "window"], "left")
     span = F.when(F.col("items").isNotNull(), F.struct("at", "length"))
     whole = seen.groupBy("_row", "doc_id", "n_words").agg(
         F.array_sort(F.collect_list(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")

@@ -291,12 +291,14 @@ def test_a_source_with_capped_copies_meets_its_target(spark):
         assert abs(r.n - r.target) <= 500
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     item = "the quick brown fox jumps over the lazy dog and then it sleeps all day"
     texts = [*EDGE, f"Before: {item.upper()}! after", " ".join(["pad"] * 400) + " " + item, "short ITEM", "nothing here"]
     frame, items = docs(spark, texts).withColumn("items", F.lit(1)), spark.createDataFrame([(1, item), (2, "short item"), (3, None), (10, item)], "item_id long, text string")
-    for limit in (100_000, 0):
-        rows = {r.doc_id: r for r in decontamination.find_hits(frame, items, max_windows=limit).collect()}
+    for limit, bits in ((100_000, 1 << 26), (0, 1 << 26), (0, 64)):
+        monkeypatch.setattr(decontamination, "MOST_BITS", bits)
+        monkeypatch.setattr(decontamination, "LEAST_BITS", min(bits, 1 << 16))
+        rows = {r.doc_id: r for r in decontamination.find_hits(frame, items, max_broadcast=limit).collect()}
         assert len(rows) == len(texts)
         assert rows[7].n_hit == 15 and rows[7].contaminated and rows[7]["items"] == ["1", "10"]
         assert rows[8].n_hit == 15 and not rows[8].contaminated
@@ -307,6 +309,9 @@ def test_decontamination(spark):
     assert clean[10] == texts[10] and clean[0] is None and clean[9].strip() == ""
     assert "FOX" not in clean[7] and clean[7].startswith("Before: ") and clean[7].endswith("after")
     assert decontamination.find_hits(frame, items.where("false")).where("n_hit > 0").count() == 0
+    assert decontamination.find_hits(docs(spark, []), items).count() == 0
+    twice = decontamination.find_hits(frame.unionByName(frame), items)
+    assert twice.count() == 2 * len(texts) and twice.where("doc_id = 7 and n_hit = 15").count() == 2
 
 
 def brute_dice(text):
