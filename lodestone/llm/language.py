@@ -12,7 +12,9 @@ single document its end, is not trained on (without a stretch in it, a language
 without digits are at least a third of it and below the limit (a short text that holds a key).
 
 Training reads a bounded sample: SAMPLE_DOCS documents and SAMPLE_CHARS characters a language at most, those of least
-hash, of each its first DOC_CHARS characters; at most MAX_LANGUAGES languages (more is an error).  The model's size is bounded by the sample's, so it is broadcast.
+hash, of each its first DOC_CHARS characters, and TOTAL_CHARS characters of all languages: with many languages each has an
+equal share, and with more than that has characters a language has one document of one character (its name is known, little
+else).  The model's size is bounded by the sample's, so it is broadcast.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0 and counts as rejected; without any labelled
 text everything is ``und``; every input row gives a row.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table, text_slices
 
 ORDER = 4
-SAMPLE_DOCS, SAMPLE_CHARS, DOC_CHARS, MAX_LANGUAGES = 400, 1_000_000, 50_000, 400
+SAMPLE_DOCS, SAMPLE_CHARS, DOC_CHARS, TOTAL_CHARS = 400, 1_000_000, 50_000, 4_000_000
 LENGTHS, STRETCHES, PIECE, MARGIN = (2, 4, 8, 16, 32, 64, 128, 256), 4000, 32, 6.0
 SLICE = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -265,17 +267,17 @@ def train(docs: DataFrame) -> KneserNey:
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
     sizes = materialize(rows.select("lang", "doc_id").distinct().groupBy("lang").agg(F.count("*").alias("n")))
-    if (languages := sizes.count()) > MAX_LANGUAGES:
-        raise ValueError(f"{languages} languages; a model takes {MAX_LANGUAGES} at most")
+    most = max(1, min(SAMPLE_CHARS, TOTAL_CHARS // max(1, sizes.count())))
+    cut = min(DOC_CHARS, most)
     # only places that can be among a language's first are ranked, so a common language doesn't meet in one task
     share = sizes.select(F.col("lang").alias("l"), ((1 << 32) * F.lit(4.0 * SAMPLE_DOCS) / F.col("n")).alias("most"))
     near = rows.select("doc_id", "lang", "text", place.alias("place")).join(F.broadcast(share), F.col("lang") == F.col("l")).where(F.col("place") <= F.col("most"))
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
-    each = near.groupBy("doc_id", "lang", "place").agg(F.max(F.least(F.char_length("text"), F.lit(DOC_CHARS))).alias("size"))
+    each = near.groupBy("doc_id", "lang", "place").agg(F.max(F.least(F.char_length("text"), F.lit(cut))).alias("size"))
     first = each.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_DOCS)
-    chosen = first.withColumn("until", F.sum("size").over(order)).where((F.col("until") <= SAMPLE_CHARS) | (F.col("nth") == 1))
+    chosen = first.withColumn("until", F.sum("size").over(order)).where((F.col("until") <= most) | (F.col("nth") == 1))
     chosen = materialize(chosen.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct())
-    sample = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).groupBy("doc_id", "lang").agg(F.min(F.substring("text", 1, DOC_CHARS)).alias("text"))
+    sample = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).groupBy("doc_id", "lang").agg(F.min(F.substring("text", 1, cut)).alias("text"))
     fit: dict[str, list[str]] = {}
     held: dict[str, list[str]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r.lang, r.doc_id)):  # bounded by the sample

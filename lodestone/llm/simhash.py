@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_slices
+from .common import materialize, release, table, text_slices
 
 BITS = 64
 SHINGLE = 3
@@ -136,7 +136,7 @@ def close_links(fps: DataFrame, distance: int = MAX_DISTANCE, small: int = SMALL
     return links.unionByName(middling).unionByName(spread).distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(a, b) links -> (node, root): root is the least node of the component.  Alternating large and small stars.
 
     The partial result shrinks to a forest of stars in a number of rounds that grows with the logarithm of the longest
@@ -144,20 +144,20 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     seen: tuple | None = None
-    for _ in range(max_rounds):
+    while True:  # each round that changes something lowers a root, so it ends
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large)
+        large = materialize(both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         tied = large.join(low, F.col("a") == F.col("n"))
         small = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("n").alias("a"), F.col("m").alias("b")))
-        links = materialize(small.where("a <> b").distinct())
+        before, links = links, materialize(small.where("a <> b").distinct())
+        release(large)
+        release(before)
         state = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = state
-    raise RuntimeError(f"components have not settled in {max_rounds} rounds")
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, distance: int = MAX_DISTANCE) -> DataFrame:
@@ -182,10 +182,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Near-duplicates by similarity: five-word shingles, Jaccard >= 0.8.
 
-BANDS, BAND_ROWS = 16, 4
+BANDS, BAND_ROWS = 24, 4
 #: Fixed odd multipliers, from a rule: the permutations of the MinHash sketch.
 _MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"minhash%d" % i, SEED) | 1 for i in range(BANDS * BAND_ROWS)], dtype=np.uint64)
 PAIR_BUCKET, TASK_BUCKET = 32, 4000
+_TEXT_KEY = "xxhash64(text)"
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -193,103 +194,118 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
 
 
 def band_keys(found: np.ndarray) -> list[int]:
-    """One key a band of the MinHash sketch; sets with Jaccard 0.8 share one with a probability of 0.9998."""
+    """One key a band of the MinHash sketch; sets with Jaccard 0.8 share none with a probability of 3e-6."""
     if not len(found):
         return []
     least = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(found), CHUNK):
-        least = np.minimum(least, (found[at : at + CHUNK].astype(np.uint64)[:, None] * _MULTIPLIERS).min(axis=0))
+    for at in range(0, len(found), CHUNK // 8):
+        least = np.minimum(least, (found[at : at + CHUNK // 8].astype(np.uint64)[:, None] * _MULTIPLIERS).min(axis=0))
     rows = least.reshape(BANDS, BAND_ROWS)
     return [_signed(xxhash.xxh64_intdigest(rows[b].tobytes(), b)) for b in range(BANDS)]
 
 
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, set_key (equal exactly for equal shingle sets) and band keys."""
+    """doc_id, text_key, set_key (equal exactly for equal shingle sets), the set's size and band keys."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, shingle) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "set_key": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "bands": [band_keys(s) for s in sets]})
+            for part in text_slices(batch):
+                sets = [shingle_set(t, shingle) for t in part.column("text").to_pylist()]
+                columns = [[xxhash.xxh128_digest(s.tobytes()) for s in sets], [len(s) for s in sets], [band_keys(s) for s in sets]]
+                types = [pa.binary(), pa.int32(), pa.list_(pa.int64())]
+                made = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), *made], ["doc_id", "text_key", "set_key", "size", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, set_key binary, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(_TEXT_KEY).alias("text_key"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_key long, set_key binary, size int, bands array<long>")
 
 
-def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, text) -> node, grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["doc_id"], "grams": [shingle_set(t, shingle) for t in batch["text"]]})
+            for part in text_slices(batch):
+                sets = [shingle_set(t, shingle) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "id long, grams array<long>")
+    return texts.mapInArrow(run, "node long, grams array<long>")
 
 
 def _forest(similarity: float):
     """Within one pair of chunks of a large bucket: links that join all members that close pairs join."""
 
     def run(bucket: pd.DataFrame) -> pd.DataFrame:
-        bucket = bucket.sort_values("id")
-        ids, grams = bucket["id"].tolist(), [np.asarray(g) for g in bucket["grams"]]
-        parent = list(range(len(ids)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        order = sorted(range(len(ids)), key=lambda i: len(grams[i]))
+        bucket = bucket.sort_values("node")
+        nodes, grams = bucket["node"].to_numpy(), [np.asarray(g) for g in bucket["grams"]]
+        sizes = np.array([len(g) for g in grams])
+        order = np.argsort(sizes, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        label = np.arange(len(nodes))
         sketch = np.stack([(g.astype(np.uint64)[:, None] * _MULTIPLIERS).min(axis=0) for g in grams])
         out: list[tuple[int, int]] = []
-        for at, i in enumerate(order):
-            rest = np.array(order[at + 1 :], dtype=np.int64)
-            if not len(rest):
-                break
+        for i in order.tolist():
+            # only members of other trees, not smaller, and not too large for the similarity
+            rest = np.flatnonzero((label != label[i]) & (place > place[i]) & (sizes[i] >= similarity * sizes))
             # the estimate only orders the tests: pairs that look close come first, so that most others are joined by then
             for j in rest[np.argsort(-(sketch[rest] == sketch[i]).sum(axis=1), kind="stable")].tolist():
-                if len(grams[i]) < similarity * len(grams[j]) or root(i) == root(j):
+                if label[i] == label[j]:
                     continue
                 both = len(np.intersect1d(grams[i], grams[j], assume_unique=True))
-                if both >= similarity * (len(grams[i]) + len(grams[j]) - both):
-                    parent[root(i)] = root(j)
-                    out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+                if both >= similarity * (sizes[i] + sizes[j] - both):
+                    label[label == label[j]] = label[i]
+                    out.append((int(max(nodes[i], nodes[j])), int(min(nodes[i], nodes[j]))))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, group_id) of every document: groups are the components of pairs with Jaccard >= ``similarity``.
+    """doc_id, text_key, group_id and kept of every distinct doc_id and text: groups are the components of pairs with Jaccard
+    >= ``similarity``, group_id is a group's least doc_id, and kept is true of one of its texts, the first of that doc_id.
 
     Equal shingle sets are one node.  Buckets of up to PAIR_BUCKET nodes give pairs, larger ones are linked inside a task
     that holds at most two chunks of TASK_BUCKET nodes; both verify by the exact coefficient.
     """
     rows = materialize(_sketches(docs, shingle))
-    nodes = rows.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes)
-    keyed = nodes.select("id", F.posexplode("bands").alias("band", "key"))
+    nodes = rows.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("bands").alias("bands"), F.first("size").alias("size"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
+    keyed = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(keyed.join(sizes, ["band", "key"]))
     few = members.where(F.col("n") <= PAIR_BUCKET)
-    pairs = few.join(few.select("band", "key", F.col("id").alias("other")), ["band", "key"]).where("other < id")
-    pairs = pairs.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = materialize(_shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(["id"]))
-    x, y = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
+    pairs = few.join(few.select("band", "key", F.col("node").alias("other"), F.col("size").alias("other_size")), ["band", "key"]).where("other < node")
+    fits = F.least("size", "other_size") >= similarity * F.greatest("size", "other_size")
+    pairs = materialize(pairs.where(fits).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct())
+    many = members.where(F.col("n") > PAIR_BUCKET)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(many.select("node")).distinct()
+    named = nodes.join(wanted, "node", "left_semi").select("node", "least.*")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.expr(_TEXT_KEY).alias("_key"), "text")
+    texts = texts.join(named, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key"))).select("node", "text")
+    sets = materialize(_shingle_sets(texts, shingle).groupBy("node").agg(F.first("grams").alias("grams")))
+    x, y = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
-    bound = F.least(F.size("ga"), F.size("gb")) >= similarity * F.greatest(F.size("ga"), F.size("gb"))
-    close = pairs.join(x, "a").join(y, "b").where(bound).where(both >= similarity * (F.size("ga") + F.size("gb") - both)).select("a", "b")
-    many = members.where(F.col("n") > PAIR_BUCKET).join(sets, "id")
+    close = pairs.join(x, "a").join(y, "b").where(both >= similarity * (F.size("ga") + F.size("gb") - both)).select("a", "b")
+    many = many.join(sets, "node")
     chunks = F.ceil(F.col("n") / TASK_BUCKET).cast("int")
-    many = many.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    many = many.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     against = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("lo"), F.greatest(c, F.col("chunk")).alias("hi")))
-    many = many.select("band", "key", "id", "grams", F.explode(against).alias("cell"))
+    many = many.select("band", "key", "node", "grams", F.explode(against).alias("cell"))
     linked = many.groupBy("band", "key", "cell").applyInPandas(_forest(similarity), "a long, b long")
-    roots = components(close.unionByName(linked))
-    named = nodes.join(roots, F.col("id") == F.col("node"), "left").select("set_key", F.coalesce("root", "id").alias("group_id"))
-    return rows.select("doc_id", "set_key").join(named, "set_key").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+    roots = components(close.unionByName(linked)).withColumnRenamed("node", "_node")
+    grouped = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("set_key", "least", F.coalesce("root", "node").alias("root"))
+    grouped = materialize(grouped)
+    first = grouped.groupBy("root").agg(F.min("least").alias("first"))
+    named = grouped.join(first, "root").select("set_key", "first")
+    found = rows.select("doc_id", "text_key", "set_key").join(named, "set_key")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    return found.select("doc_id", "text_key", F.col("first.doc_id").alias("group_id"), kept.alias("kept")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without all but the least doc_id of each group; rows that share a doc_id are one document."""
-    groups = near_duplicates(docs, shingle, similarity)
-    gone = materialize(groups.where(F.col("doc_id") != F.col("group_id")).select(F.col("doc_id").alias("__gone")))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """``docs`` with one text of each group; rows that repeat its doc_id and text are one document and stay with it."""
+    gone = near_duplicates(docs, shingle, similarity).where("not kept")
+    gone = materialize(gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key"))
+    return docs.join(gone, same, "left_anti")

@@ -188,6 +188,19 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept) == sorted(set(want))
 
 
+def test_near_duplicates_tell_rows_of_one_doc_id_apart(spark):
+    """A text of its own stays although a row with the same doc_id is a copy; nulls, repeated rows and clashing columns."""
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, long), (2, long + " more"), (2, "quite another text of its own with many words"), (3, None), (None, ""), (None, long), (4, "once only in here"), (4, "once only in here")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("n")).withColumn("bands", F.lit(1)).withColumn("text_key", F.lit("k"))
+    kept = simhash.drop_near_duplicates(frame)
+    assert kept.columns == frame.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    # null doc_ids come first: the null rows represent their groups
+    assert got == sorted([(None, ""), (None, long), (2, rows[2][1]), (4, rows[6][1]), (4, rows[6][1])], key=str)
+    assert simhash.drop_near_duplicates(frame.where("false")).count() == 0
+
+
 def test_differencing_beats_a_naive_deal():
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 10_000, 400).tolist()
