@@ -8,7 +8,8 @@ templates that its size allows, and most units none.  The template table's size
 A notice among other words, or in a comment block, is found by windows over the document's whole word sequence, of every
 length that can reach t.  Such a window misses fewer than b - t / (2 - t) * b + 1 of the template's bigrams, so it holds one
 of so many *anchors*, those with the longest words: windows are looked at only around anchors, which are an equi-join key as
-well.  A window counts only for a licence that no unit of the document matches.  A unit or window never counts for a template
+well.  For the same reason a unit that matches holds an anchor, so texts and units without the longer word of any anchor (its
+*gate*) are left out before bigrams are made of them.  A window counts only for a licence that no unit of the document matches.  A unit or window never counts for a template
 if a similar template of another licence fits it better.
 
 Defined cases: null and blank texts match nothing; every input row gives a row; ties go to the smaller licence id.
@@ -93,15 +94,17 @@ class Templates:
 
     def __init__(self, templates: tuple[tuple[str, str], ...], threshold: float) -> None:
         grams = [_grams(text) for _, text in templates]
-        self.rows, self.keys = [], []
+        self.rows, self.keys, gates = [], [], []
         for at, (name, _) in enumerate(templates):
             own = grams[at]
             low, high = math.ceil(len(own) * threshold / (2 - threshold) - 1e-9), math.floor(len(own) * (2 - threshold) / threshold + 1e-9)
             rivals = [g for (other, _), g in zip(templates, grams) if other != name and 2 * len({*g} & {*own}) > 0.5 * (len(g) + len(own))]
             self.rows.append((name, own, low, high, rivals))
             anchors = sorted(own, key=lambda g: (-len(_gate(g)), g))[: len(own) - low + 1]
+            gates += anchors
             self.keys += [(f"#{size}", at) for size in range(low, high + 1)] + [(a, at) for a in anchors if " " in a]
         self.anchors = sorted({key for key, _ in self.keys if not key.startswith("#")})
+        self.gates = sorted({_gate(a) for a in gates})
         self.reach = max((high for _, _, _, high, _ in self.rows), default=0)
 
     def frame(self, spark: SparkSession) -> DataFrame:
@@ -124,7 +127,7 @@ def _windows(made: Templates, words: Column) -> Column:
 
     # the one-element array makes the bigrams once for all anchors
     found = F.flatten(F.transform(F.array(grams), lambda g: F.flatten(F.transform(F.array_intersect(g, _literal(made.anchors)), lambda a: around(a, g)))))
-    return F.when((F.size(words) > 1) & F.arrays_overlap(words, _literal(sorted({_gate(a) for a in made.anchors}))), found)
+    return F.when(F.size(words) > 1, found)
 
 
 def _literal(values: list[str]) -> Column:
@@ -157,10 +160,14 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
         F.transform(units, lambda u: F.struct(u.alias("unit"), F.lit(None).cast(WINDOW).alias("window"))),
         F.transform(F.coalesce(F.col("windows"), F.array().cast(f"array<{WINDOW}>")), lambda w: F.struct(F.lit(None).cast("string").alias("unit"), w.alias("window"))),
     )
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), "text", _windows(made, F.array_remove(F.split(F.lower(text), NOT_WORD, -1), "")).alias("windows"))
-    rows = rows.select("doc_id", "_row", F.explode(pieces).alias("piece"))
+    words = F.array_remove(F.split(F.lower(text), NOT_WORD, -1), "")
+    gates = _literal(made.gates)
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), "text", words.alias("words")).withColumn("gated", F.arrays_overlap("words", gates))
+    rows = rows.withColumn("windows", F.when(F.col("gated"), _windows(made, F.col("words"))))
+    rows = rows.select("doc_id", "_row", F.explode_outer(F.when(F.col("gated"), pieces)).alias("piece"))
     rows = rows.select("doc_id", "_row", F.col("piece.window").alias("window"), F.array_remove(F.split(F.lower("piece.unit"), NOT_WORD, -1), "").alias("words"))
-    rows = rows.withColumn("grams", F.when(F.col("window").isNull(), bigrams_of(F.col("words")))).drop("words")
+    unit = F.col("window").isNull() & F.arrays_overlap("words", gates)
+    rows = rows.withColumn("grams", F.when(unit, bigrams_of(F.col("words")))).drop("words")
     rows = rows.withColumn("key", F.coalesce(F.col("window.key"), F.concat(F.lit("#"), F.size("grams"))))
     joined = rows.join(F.broadcast(made.frame(docs.sparkSession)), "key", "left")
     best_window = _best_window(F.col("window.grams"), F.col("window.at"), F.col("template"), F.col("low"), F.col("high"))
