@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.catalog.base import query
+from lodestone.catalog.graphs import FLOWS
 from lodestone.catalog.relational import DIM
-from lodestone.catalog.search import LEAST, with_vectors
+from lodestone.catalog.search import LEAST, TRIPLETS, with_vectors
 from lodestone.plans.api import KnowledgeEngine
 from lodestone.sources.graph import TestGraph as G
 
@@ -23,9 +24,9 @@ def _(g: G) -> DataFrame:
     return engine(g).search("que la", least=LEAST)
 
 
-@query("q01_search_graph")
+@query("q01_search_graph", TRIPLETS)
 def _(g: G) -> DataFrame:
-    return engine(g).search("que la", mode="graph")
+    return engine(g).search("que la", mode="graph").select("id", F.round("score", 6).alias("score"))
 
 
 @query("q02_list_repos", "SELECT id, name FROM repos")
@@ -53,7 +54,11 @@ def _(g: G) -> DataFrame:
     return engine(g).impact("p7", 2, ["depends_on"])[0].select("id", "direction")
 
 
-@query("q06_impact_repos")
+@query("q06_impact_repos", """
+    WITH e AS (SELECT from_entity_id AS a, to_entity_id AS b FROM relationships WHERE kind = 'depends_on' UNION SELECT from_entity_id, to_entity_id FROM cross_repo_relationships WHERE kind = 'depends_on'),
+    u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), one AS (SELECT b AS node FROM u WHERE a = 'p7'), two AS (SELECT u.b AS node FROM one JOIN u ON u.a = one.node),
+    n AS (SELECT node, min(d) AS d FROM (SELECT 'p7' AS node, 0 AS d UNION ALL SELECT node, 1 FROM one UNION ALL SELECT node, 2 FROM two) GROUP BY node ORDER BY d, node LIMIT 200)
+    SELECT id, name FROM repos WHERE id IN (SELECT repo_id FROM entities WHERE id IN (SELECT node FROM n)) AND id <> (SELECT repo_id FROM entities WHERE id = 'p7')""")
 def _(g: G) -> DataFrame:
     return engine(g).impact("p7", 2, ["depends_on"])[2]
 
@@ -71,7 +76,7 @@ def _(g: G) -> DataFrame:
     return engine(g).task_context(["pkg/parts/small.go", "internal/svc/nation_3.go"]).select("id", "path", "facts", "dependents", "dependencies", "decisions")
 
 
-@query("q09_execution_flows")
+@query("q09_execution_flows", FLOWS.replace("SELECT seed, label, depth, n_steps FROM r WHERE k = 1 ORDER BY place DESC, seed LIMIT 200", "SELECT seed, label, depth FROM (SELECT * FROM r WHERE k = 1 ORDER BY place DESC, seed LIMIT 200) ORDER BY depth DESC, seed LIMIT 20"))
 def _(g: G) -> DataFrame:
     return engine(g).execution_flows().select("seed", "label", "depth")
 
@@ -100,7 +105,17 @@ def _(g: G) -> DataFrame:
     return engine(g).entity_edges("s3").select("id", "from_name", "to_name")
 
 
-@query("q18_overview")
+CUT = """CASE WHEN strlen({0}) > 120 THEN left({0}, list_max(list_filter(range(0, 118), lambda k: strlen(left({0}, k)) <= 117))) || '...' ELSE {0} END"""
+
+
+@query("q18_overview", f"""
+    WITH f AS (SELECT entity_id AS id, count(*) AS n FROM facts WHERE superseded_by IS NULL GROUP BY entity_id),
+    r AS (SELECT id, count(*) AS n FROM (SELECT from_entity_id AS id FROM relationships UNION ALL SELECT to_entity_id FROM relationships WHERE from_entity_id <> to_entity_id) GROUP BY id),
+    l AS (SELECT 'entities' AS section, row_number() OVER (ORDER BY coalesce(f.n, 0) + coalesce(r.n, 0) DESC, e.id) AS place, concat_ws(': ', name, summary) AS line, 15 AS most
+          FROM entities e LEFT JOIN f ON e.id = f.id LEFT JOIN r ON e.id = r.id WHERE repo_id = 'r1'
+          UNION ALL SELECT category || 's', row_number() OVER (PARTITION BY category ORDER BY id), replace(claim, '|', '\\|'), 10 FROM facts WHERE superseded_by IS NULL AND repo_id = 'r1' AND category IN ('convention', 'risk')
+          UNION ALL SELECT 'decisions', row_number() OVER (ORDER BY created_at DESC, id), summary, 10 FROM decisions WHERE repo_id = 'r1' AND still_valid)
+    SELECT section, place, {CUT.format("line")} AS line FROM l WHERE place <= most""")
 def _(g: G) -> DataFrame:
     return engine(g).overview("r1")
 

@@ -63,12 +63,15 @@ def _(g: G) -> DataFrame:
     return O.reach(calls, seeds(g, "c7"), 10).select("node", "depth")
 
 
-@query("gr6_flows", f"""
+FLOWS = f"""
     WITH RECURSIVE {CALLS}, {ENTRY}, w AS (SELECT id AS seed, id AS node, 0 AS depth FROM ep UNION SELECT w.seed, c.b, w.depth + 1 FROM w JOIN c ON c.a = w.node WHERE w.depth < 10),
     m AS (SELECT seed, node, min(depth) AS depth FROM w GROUP BY seed, node), n AS (SELECT seed, node, depth, e.name, row_number() OVER (PARTITION BY seed ORDER BY depth, name, node) AS k FROM m JOIN entities e ON e.id = node),
     l AS (SELECT seed, string_agg(CASE WHEN k <= 8 THEN name END, ' → ' ORDER BY k) || CASE WHEN count(*) > 8 THEN ' → …' ELSE '' END AS label, max(depth) AS depth, count(*) AS n_steps FROM n GROUP BY seed),
     r AS (SELECT l.*, od - ind AS place, row_number() OVER (PARTITION BY label ORDER BY od - ind DESC, seed) AS k FROM l JOIN ep ON ep.id = l.seed WHERE l.depth >= 2)
-    SELECT seed, label, depth, n_steps FROM r WHERE k = 1 ORDER BY place DESC, seed LIMIT 200""")
+    SELECT seed, label, depth, n_steps FROM r WHERE k = 1 ORDER BY place DESC, seed LIMIT 200"""
+
+
+@query("gr6_flows", FLOWS)
 def _(g: G) -> DataFrame:
     return O.flows(g.entities, g.relationships).select("seed", "label", "depth", "n_steps")
 

@@ -119,6 +119,7 @@ BASES = (
     ("data.json", "data", None, False, False, True), ("d.csv", "data", None, False, False, True), ("logo.PNG", "ignored", None, False, False, False), ("script.zsh", "source", "shell", False, False, True),
     ("infra.tf", "source", "terraform", False, False, True), ("noext", "ignored", None, False, False, True), ("Dockerfile", "config", None, False, True, False), ("weird.xyz", "ignored", None, False, False, True),
     ("build.gradle.kts", "ignored", None, False, True, True), ("App.CSPROJ", "ignored", None, False, True, True), ("composer.json", "data", None, False, True, True), ("v.kt", "source", "kotlin", False, False, True),
+    ("package.json", "build", None, False, True, False), ("next.config.mjs", "config", None, False, False, False), ("vite.config.ts", "config", None, False, False, False),
     ("t.tmpl", "source", "gotemplate", False, False, True), ("api.generated.ts", "generated", None, False, False, False),
 )
 
@@ -159,9 +160,16 @@ def _(g: G) -> DataFrame:
     return X.cost_estimate(X.inventory(_files(g)))
 
 
-@query("gr15_repair_owners", "SELECT o.id AS from_entity_id, e.id AS to_entity_id, 'owns' AS kind FROM entities e JOIN entities o ON e.repo_id = o.repo_id AND o.qualified_name = 'parts::' || split_part(split_part(e.qualified_name, '::', 2), '.', 1) WHERE e.kind = 'type'")
+@query("gr15_repair_owners", r"""
+    WITH m AS (SELECT *, regexp_replace(qualified_name, '\.[^.]*$', '') AS owner FROM entities WHERE contains(qualified_name, '.')),
+    o AS (SELECT DISTINCT repo_id, owner FROM m WHERE owner LIKE 'parts::Brand1%'), e AS (SELECT * FROM relationships WHERE kind = 'depends_on')
+    SELECT o.repo_id || ':' || o.owner AS from_entity_id, m.id AS to_entity_id, 'owns' AS kind FROM m JOIN o ON m.repo_id = o.repo_id AND m.owner = o.owner
+    WHERE m.id NOT IN (SELECT from_entity_id FROM e) AND m.id NOT IN (SELECT to_entity_id FROM e)""")
 def _(g: G) -> DataFrame:
-    return X.repair_owners(g.entities, g.relationships.where("false")).where("kind = 'owns'")
+    owner = F.regexp_replace("qualified_name", r"\.[^.]*$", "")
+    owners = g.entities.where("contains(qualified_name, '.')").select("repo_id", owner.alias("qualified_name")).where("qualified_name like 'parts::Brand1%'").distinct()
+    owners = owners.withColumn("id", F.concat("repo_id", F.lit(":"), "qualified_name")).withColumn("kind", F.lit("module"))
+    return X.repair_owners(g.entities.unionByName(owners, allowMissingColumns=True), g.relationships.where("kind = 'depends_on'"))
 
 
 #: Entities and raw calls of every kind, for callers in the package mkt: the entity that a call names, and how surely.
@@ -226,9 +234,17 @@ def _(g: G) -> DataFrame:
     return g.entities.where("kind = 'function'").join(used, "id", "left_semi").select("id")
 
 
-@query("agg12_stack", "SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, lang LIMIT 3")
+@query("agg12_stack", f"""
+    WITH {FILES}, n AS (SELECT *, list_last(string_split(path, '/')) AS base FROM files),
+    s AS (SELECT 'language' AS what, language AS name FROM n WHERE language IS NOT NULL
+          UNION ALL SELECT 'build tool', CASE base WHEN 'go.mod' THEN 'go modules' WHEN 'Cargo.toml' THEN 'cargo' ELSE 'npm' END FROM n WHERE class = 'build'
+          UNION ALL SELECT 'framework', CASE base WHEN 'next.config.mjs' THEN 'Next.js' WHEN 'vite.config.ts' THEN 'Vite' ELSE 'Docker' END FROM n WHERE class = 'config' AND base IN ('next.config.mjs', 'vite.config.ts', 'Dockerfile')
+          UNION ALL SELECT 'framework', unnest(CASE size % 3 WHEN 0 THEN ['React', 'Next.js'] WHEN 1 THEN ['Vue'] ELSE ['Express'] END) FROM n WHERE class = 'build' AND base = 'package.json')
+    SELECT what, name, count(*) AS files FROM s GROUP BY ALL""")
 def _(g: G) -> DataFrame:
-    return g.documents.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(3)
+    bodies = F.array(*map(F.lit, ('{"dependencies": {"react": "1", "next": "2"}}', '{"devDependencies": {"vue": "3"}}', '{"dependencies": {"express": "4", "nextra": "1"}}')))
+    content = F.when(F.endswith(F.col("path"), F.lit("package.json")), F.element_at(bodies, (F.col("size") % 3 + 1).cast("int")))
+    return X.stack(X.inventory(_files(g)).withColumn("content", content))
 
 
 @query("join16_import_edges", """

@@ -90,9 +90,9 @@ def _(g: G) -> DataFrame:
     return R.orphans(g.entities, g.facts).select("id", "kind")
 
 
-@query("join3_isolated", "SELECT id, kind FROM entities WHERE id NOT IN (SELECT from_entity_id FROM relationships UNION SELECT to_entity_id FROM relationships)")
+@query("join3_isolated", "SELECT id, kind FROM entities WHERE id NOT IN (SELECT from_entity_id FROM relationships WHERE strength = 'weak' UNION SELECT to_entity_id FROM relationships WHERE strength = 'weak')")
 def _(g: G) -> DataFrame:
-    return R.entities_without_edges(g.entities, g.relationships).select("id", "kind")
+    return R.entities_without_edges(g.entities, R.lookup(g.relationships, strength="weak")).select("id", "kind")
 
 
 @query("join4_with_edges", "SELECT repo_id, count(*) AS n FROM entities WHERE id IN (SELECT from_entity_id FROM relationships UNION SELECT to_entity_id FROM relationships) GROUP BY repo_id")
@@ -158,12 +158,14 @@ def _(g: G) -> DataFrame:
 
 
 @query("join15_duplicate_names", """
-    SELECT a.id, b.id AS other_id FROM entities a JOIN entities b ON a.repo_id = b.repo_id AND a.kind = b.kind
+    WITH b AS (SELECT id || 'x' AS other_id, repo_id, kind, upper(replace(name, '_', '-')) AS name, qualified_name FROM entities)
+    SELECT a.id, other_id FROM entities a JOIN b ON a.repo_id = b.repo_id AND a.kind = b.kind
       AND translate(a.name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ_- ', 'abcdefghijklmnopqrstuvwxyz') = translate(b.name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ_- ', 'abcdefghijklmnopqrstuvwxyz')
-      AND regexp_replace(a.qualified_name, '\\.[^.]*$', '') = regexp_replace(b.qualified_name, '\\.[^.]*$', '') AND a.kind = 'type' AND a.id < b.id""")
+      AND regexp_replace(a.qualified_name, '\\.[^.]*$', '') = regexp_replace(b.qualified_name, '\\.[^.]*$', '') AND contains(a.qualified_name, '.') AND contains(b.qualified_name, '.')""")
 def _(g: G) -> DataFrame:
-    types = R.lookup(g.entities, kind="type")
-    return R.duplicate_names(types, types.select(*[F.col(c).alias(c) for c in types.columns])).where("id < other_id").select("id", "other_id")
+    own = g.entities.where("contains(qualified_name, '.')")
+    other = own.select(F.concat("id", F.lit("x")).alias("id"), "repo_id", "kind", F.upper(F.replace("name", F.lit("_"), F.lit("-"))).alias("name"), "qualified_name")
+    return R.duplicate_names(own, other).select("id", "other_id")
 
 
 @query("join17_stale_paths", "SELECT DISTINCT path FROM entities WHERE path IS NOT NULL AND path NOT IN (SELECT 'internal/svc/' || lower(n_name) || '.go' FROM nation)")

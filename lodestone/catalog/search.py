@@ -37,9 +37,9 @@ def _(g: G) -> DataFrame:
     return found.select("id", F.round("score", 6).alias("score"))
 
 
-@query("sr1_vector_default", f"WITH {VECTORS} SELECT id, round(s, 6) AS score FROM v WHERE s >= 0.4 ORDER BY s DESC, id LIMIT 60")
+@query("sr1_vector_default", f"WITH v AS (SELECT f.id, {COS} AS s FROM facts f JOIN fact_vectors x ON f.id = x.id) SELECT id, round(s, 6) AS score FROM v WHERE s >= 0.4 ORDER BY s DESC, id LIMIT 60")
 def _(g: G) -> DataFrame:
-    found = S.vector_top(R.active_facts(with_vectors(g)).select("id", "embedding"), g.query_vector, 60)
+    found = S.vector_top(with_vectors(g).select("id", "embedding"), g.query_vector, 60)
     return found.select("id", F.round("score", 6).alias("score"))
 
 
@@ -119,9 +119,14 @@ def _(g: G) -> DataFrame:
     return rows.select("id", F.round(score * S.affinity(F.col("repo_id"), ("r1", "r2")), 9).alias("score"), S.claim_bonus(F.col("claim"), QUESTION).alias("bonus"))
 
 
-@query("sr11_mentions")
+@query("sr11_mentions", f"""
+    WITH e AS (SELECT id, repo_id, translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ_- ', 'abcdefghijklmnopqrstuvwxyz') AS n FROM entities),
+    q AS (SELECT n, {TRI} AS t FROM (VALUES ('supplier12'), ('handlemachinery7')) AS x(n)),
+    s AS (SELECT q.n AS token, id, repo_id, len(list_intersect(u, t))::DOUBLE / len(list_distinct(list_concat(u, t))) AS sim FROM (SELECT *, {TRI} AS u FROM e) AS e, q),
+    k AS (SELECT *, row_number() OVER (PARTITION BY token, repo_id ORDER BY sim DESC, id) AS k FROM s WHERE sim >= 0.4)
+    SELECT id AS entity_id, round(max(sim), 6) AS similarity FROM k WHERE k <= 5 GROUP BY id""")
 def _(g: G) -> DataFrame:
-    return S.mentioned(g.entities, "What does Supplier12 call, and who owns handleMACHINERY7?")
+    return S.mentioned(g.entities, "What does Supplier12 call, and who owns handleMACHINERY7?").withColumn("similarity", F.round("similarity", 6))
 
 
 @query("sr19_hybrid_search")
@@ -130,7 +135,7 @@ def _(g: G) -> DataFrame:
     return S.hybrid_search(search_graph(g), question, [S.SubQuery("que la", g.query_vector)], least=LEAST)
 
 
-@query("sr20_triplet_search", f"""
+TRIPLETS = f"""
     WITH n AS (SELECT entity_id, max({COS}) AS s FROM facts f JOIN fact_vectors x ON f.id = x.id WHERE superseded_by IS NULL GROUP BY entity_id),
     seeds AS (SELECT entity_id AS seed FROM n ORDER BY s DESC, entity_id LIMIT 15),
     u AS (SELECT from_entity_id AS a, to_entity_id AS b FROM relationships UNION SELECT to_entity_id, from_entity_id FROM relationships),
@@ -140,7 +145,10 @@ def _(g: G) -> DataFrame:
     c AS (SELECT DISTINCT node FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY d, node) AS k FROM m) WHERE k <= 50)
     SELECT r.id, round(0.4 * coalesce(a.s, 0) + 0.2 * (coalesce(a.s, 0) + coalesce(b.s, 0)) / 2 * CASE strength WHEN 'strong' THEN 1.0 WHEN 'moderate' THEN 0.7 ELSE 0.4 END + 0.4 * coalesce(b.s, 0), 6) AS score
     FROM relationships r LEFT JOIN n a ON r.from_entity_id = a.entity_id LEFT JOIN n b ON r.to_entity_id = b.entity_id
-    WHERE r.from_entity_id IN (SELECT node FROM c) AND r.to_entity_id IN (SELECT node FROM c) ORDER BY 2 DESC, r.id LIMIT 20""")
+    WHERE r.from_entity_id IN (SELECT node FROM c) AND r.to_entity_id IN (SELECT node FROM c) ORDER BY 2 DESC, r.id LIMIT 20"""
+
+
+@query("sr20_triplet_search", TRIPLETS)
 def _(g: G) -> DataFrame:
     return S.triplet_search(search_graph(g), g.query_vector).select("id", F.round("score", 6).alias("score"))
 

@@ -140,6 +140,25 @@ def inventory_stats(files: DataFrame) -> DataFrame:
     return files.groupBy("class", "language").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
+#: What build files, configurations and packages say about a repository.
+BUILD_TOOLS = {"go.mod": "go modules", "package.json": "npm", "cargo.toml": "cargo", "pyproject.toml": "pip", "requirements.txt": "pip", "makefile": "make", "pom.xml": "maven", "build.gradle": "gradle"}
+FRAMEWORK_CONFIGS = (("^next\\.config", "Next.js"), ("^vite\\.config", "Vite"), ("^(dockerfile|docker-compose\\.ya?ml)$", "Docker"))
+FRAMEWORK_PACKAGES = {"react": "React", "express": "Express", "next": "Next.js", "vue": "Vue", "fastify": "Fastify"}
+
+
+def stack(files: DataFrame) -> DataFrame:
+    """Files with class, language and (of packages) content -> (what, name, files): languages, build tools and frameworks."""
+    base, content = F.lower(F.element_at(F.split("path", "/"), -1)), F.coalesce(F.col("content").cast("string"), F.lit(""))
+    tool = F.when(F.col("class") == "build", F.element_at(F.create_map(*[F.lit(x) for pair in BUILD_TOOLS.items() for x in pair]), base))
+    by_config = [F.when((F.col("class") == "config") & base.rlike(pattern), F.lit(name)) for pattern, name in FRAMEWORK_CONFIGS]
+    package = (F.col("class") == "build") & (base == "package.json")
+    by_package = [F.when(package & F.contains(content, F.lit(f'"{key}"')), F.lit(name)) for key, name in FRAMEWORK_PACKAGES.items()]
+    said = lambda what, name: F.struct(F.lit(what).alias("what"), name.alias("name"))
+    rows = F.array(said("language", F.col("language")), said("build tool", tool), *(said("framework", c) for c in [*by_config, *by_package]))
+    each = files.select(F.explode(F.array_distinct(rows)).alias("s")).where("s.name is not null")
+    return each.groupBy("s.what", "s.name").agg(F.count("*").alias("files"))
+
+
 def cost_estimate(files: DataFrame) -> DataFrame:
     """Tokens of an extraction over the files that are analysed."""
     tokens = F.floor(F.col("size") / 4) + 500 + 1000
