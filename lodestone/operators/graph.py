@@ -28,24 +28,33 @@ def filter_edges(edges: DataFrame, kinds: Sequence[str] = (), min_confidence: fl
     return edges.where(F.col("confidence") >= min_confidence) if min_confidence > 0 else edges
 
 
-def undirected(edges: DataFrame) -> DataFrame:
+def both_ways(edges: DataFrame) -> DataFrame:
+    """(src, dst) of each edge in either direction, parallel edges included: whoever joins them drops repeats afterwards."""
     there = edges.select(F.col("from_entity_id").alias("src"), F.col("to_entity_id").alias("dst"))
-    return there.unionByName(there.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return there.unionByName(there.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def reach(steps: DataFrame, seeds: DataFrame, hops: int, cut_every: int = 3) -> DataFrame:
+def reach(steps: DataFrame, seeds: DataFrame, hops: int, cut_every: int = 3, cap: int | None = None) -> DataFrame:
     """(seed, node, depth): nodes within ``hops`` steps of each seed, with the least depth.
 
-    Level by level: the frontier meets the steps on one key and loses what has been seen.  The number of levels is fixed,
-    so nothing is asked of the data; lineage is cut every few levels.
+    Level by level: the frontier meets the steps on one key and loses what has been seen.  Lineage is cut every few levels,
+    where an empty frontier ends the walk; a long walk writes its steps once before.  With ``cap``, a level keeps the first
+    ``cap`` nodes of a seed by id: if it has more, what lies beyond is not among the nearest ``cap`` at any depth.
     """
     seen = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct()
     frontier = seen
+    if hops > cut_every:
+        steps = materialize(steps)
     for level in range(1, hops + 1):
         ahead = frontier.join(steps, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
         frontier = ahead.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(level))
+        if cap is not None:
+            nth = F.row_number().over(Window.partitionBy("seed").orderBy("node"))
+            frontier = frontier.withColumn("_n", nth).where(F.col("_n") <= cap).drop("_n")
         if level % cut_every == 0 and level < hops:
             frontier = materialize(frontier)
+            if frontier.isEmpty():
+                return seen
             seen = materialize(seen.unionByName(frontier))
         else:
             seen = seen.unionByName(frontier)
@@ -54,7 +63,7 @@ def reach(steps: DataFrame, seeds: DataFrame, hops: int, cut_every: int = 3) ->
 
 def traverse(edges: DataFrame, seeds: DataFrame, hops: int = 3, cap: int | None = 200) -> DataFrame:
     """reach() in both directions, nearest first, at most ``cap`` nodes a seed (ties by id; the seed is never cut)."""
-    found = reach(undirected(edges), seeds, min(hops, MAX_HOPS))
+    found = reach(both_ways(edges), seeds, min(hops, MAX_HOPS), cap=cap)
     if cap is None:
         return found
     rank = F.row_number().over(Window.partitionBy("seed").orderBy("depth", "node"))
@@ -80,7 +89,7 @@ def paths(edges: DataFrame, seed: str, hops: int) -> DataFrame:
 
     Among parents at the depth before, the least path wins, so the answer does not depend on row order.
     """
-    steps = undirected(edges)
+    steps = both_ways(edges)
     level = edges.sparkSession.range(1).select(F.lit(seed).alias("node"), F.array(F.lit(seed)).alias("path"))
     seen = level.select("node")
     found: DataFrame | None = None
