@@ -2,7 +2,7 @@
 
 A template is data: the marks around a role and a text, the roles whose text carries the loss, and the machine's
 transitions.  Formatting emits for each turn an opening segment, a text segment and a closing segment, each with a loss
-flag; a conversation's output is the joined text plus the spans (in code points) under the loss mask.
+flag; a conversation's output is these segments, the joined text and the spans of it (in code points) under the loss mask.
 
 Control marks inside roles and texts cannot be confused with the template's: the first bar after ``<`` gets one more
 backslash than it had, so ``<|`` never occurs in escaped text, and taking one backslash away restores it exactly.
@@ -74,7 +74,9 @@ def _run_machine(roles: Column, template: Template) -> Column:
 
 
 def format_chats(turns: DataFrame, template: Template | None = None) -> DataFrame:
-    """(conv_id, turn, role, text) -> conv_id, formatted, loss_spans array<struct<start, length>>, valid, bad_turn."""
+    """(conv_id, turn, role, text) -> conv_id, formatted, segments array<struct<text, loss>>, loss_spans array<struct<start, length>>, valid, bad_turn.
+
+    A conversation's segments are its turns' openings, texts and closings in order; joined, they are ``formatted``."""
     t = template or Template()
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("head", F.concat(F.lit(t.open_turn), escape(F.col("role")), F.lit(t.open_text))).withColumn("body", escape(F.col("text")))
@@ -85,13 +87,16 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
     span = F.struct(
         (F.col("until") - len(t.close_turn) - F.char_length("body")).alias("start"), F.char_length("body").cast("long").alias("length")
     )
-    turn = F.struct("nth", F.concat("head", "body", F.lit(t.close_turn)).alias("piece"), "role", "loss", span.alias("span"))
+    turn = F.struct("nth", "head", "body", "role", "loss", span.alias("span"))
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     machine = _run_machine(F.transform("turns", lambda x: x["role"]), t)
     whole = whole.withColumn("machine", machine)
+    segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
+    segments = F.flatten(F.transform("turns", lambda x: F.array(segment(x["head"], F.lit(False)), segment(x["body"], x["loss"]), segment(F.lit(t.close_turn), F.lit(False)))))
     return whole.select(
         "conv_id",
-        F.array_join(F.transform("turns", lambda x: x["piece"]), "").alias("formatted"),
+        F.array_join(F.transform("turns", lambda x: F.concat(x["head"], x["body"], F.lit(t.close_turn))), "").alias("formatted"),
+        segments.alias("segments"),
         F.transform(F.filter("turns", lambda x: x["loss"]), lambda x: x["span"]).alias("loss_spans"),
         ((F.col("machine.bad") == 0) & F.col("machine.state").isin(*t.final)).alias("valid"),
         F.col("machine.bad").alias("bad_turn"),

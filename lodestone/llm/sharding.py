@@ -11,7 +11,8 @@ of the input are never brought together: only their sum is.
 Slots number the rows of a shard without gaps: rows are dealt to buckets by a hash of doc_id, counted by shard and
 bucket, and numbered within a bucket after the counts of the buckets before it.
 
-Defined cases: null texts are one group, of size 1 each; an empty table gives no rows; rows may repeat a doc_id.
+Defined cases: null texts are one group, of size 1 each; an empty table gives no rows; rows may repeat a doc_id
+(their slots follow size and checksum).
 """
 
 from __future__ import annotations
@@ -132,13 +133,14 @@ def shard_rows(rows: DataFrame, shards: int = SHARDS, block_size: int = BLOCK) -
 
 
 def number_rows(rows: DataFrame, total: int, shard: str = "shard", key: str = "doc_id") -> DataFrame:
-    """Add slot: 0, 1, ... within each shard, in order of hash bucket and key."""
+    """Add slot: 0, 1, ... within each shard, in order of hash bucket, key, and size and checksum where there are such columns."""
     buckets = max(16, math.ceil(total / ROWS_A_BUCKET))
     dealt = materialize(rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets))))
     counts = dealt.groupBy(shard, "_bucket").count()
     before = F.sum("count").over(Window.partitionBy(shard).orderBy("_bucket")) - F.col("count")
     offsets = broadcast_if_small(counts.select(F.col(shard).alias("_s"), F.col("_bucket").alias("_b"), before.alias("_before")))
-    within = F.row_number().over(Window.partitionBy(shard, "_bucket").orderBy(key)) - 1
+    ties = [c for c in ("size", "text_crc32") if c in rows.columns]
+    within = F.row_number().over(Window.partitionBy(shard, "_bucket").orderBy(key, *ties)) - 1
     numbered = dealt.withColumn("_within", within).join(offsets, (F.col(shard) == F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     return numbered.withColumn("slot", (F.col("_before") + F.col("_within")).cast("long")).drop("_bucket", "_s", "_b", "_before", "_within")
 

@@ -212,6 +212,31 @@ def test_differencing_beats_a_naive_deal():
     assert sharding.differencing([]) == ([], [])
 
 
+def naive_differencing(sizes, k):
+    """The method from its definition: a list of partial partitions, the two of largest spread joined until one is left."""
+    parts = [(i, [(s, [i])] + [(0, [])] * (k - 1)) for i, s in enumerate(sizes)]
+    made = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (min(x for x, _ in p[1]) - max(x for x, _ in p[1]), p[0]))
+        (_, a), (_, b) = parts[:2]
+        high, low = sorted(a, key=lambda x: -x[0]), sorted(b, key=lambda x: x[0])
+        parts = [*parts[2:], (made, [(x + y, m + n) for (x, m), (y, n) in zip(high, low)])]
+        made += 1
+    return parts[0][1]
+
+
+@pytest.mark.parametrize("k", [2, 3, 8])
+def test_differencing_is_that_of_the_definition(k):
+    rng = np.random.default_rng(k)
+    for _ in range(30):
+        sizes = [int(x) for x in rng.integers(1, 10**6, rng.integers(1, 60))]
+        goes, sums = sharding.differencing([s] + [0] * (k - 1) for s in sizes)
+        want = naive_differencing(sizes, k)
+        assert sorted(sums) == sorted(s for s, _ in want)
+        got = [sorted(i for i, g in enumerate(goes) if g[0] == part) for part in range(k)]
+        assert sorted(got) == sorted(sorted(m) for _, m in want)
+
+
 @pytest.mark.parametrize("block", [4096, 64])
 def test_shards_hold_groups_whole_and_bytes_even(spark, monkeypatch, block):
     texts = [*EDGE, *(f"text {i % 170} é" * (1 + i % 23) for i in range(400))]
@@ -246,8 +271,11 @@ def test_chat_round_trip_and_machine(spark):
         own = sorted((x for x in rows if x[0] == conv), key=lambda x: (x[1] is not None, x[1] or 0))
         assert out[conv].turn_lines == "".join(f"{x[2] or ''}\n{x[3] or ''}\n" for x in own)
         assert out[conv].loss_text == "".join(x[3] or "" for x in own if x[2] == "assistant")
+        assert "".join(x.text for x in out[conv].segments) == out[conv].formatted and len(out[conv].segments) == 3 * len(own)
+        assert [x.loss for x in out[conv].segments] == [f for x in own for f in (False, x[2] == "assistant", False)]
     assert [out[c].valid for c in (1, 2, 3, 4)] == [True, False, False, True]
     assert out[2].bad_turn == 1
+    assert chat.format_chats(frame.where("false")).count() == 0
 
 
 def test_mix_hits_targets_and_repeats(spark):
