@@ -9,6 +9,7 @@ from lodestone.catalog.base import query
 from lodestone.functions import scoring
 from lodestone.operators import relational as R
 from lodestone.plans import search as S
+from lodestone.session import materialize
 from lodestone.sources.graph import TestGraph as G
 
 COS = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))"
@@ -66,14 +67,34 @@ def _(g: G) -> DataFrame:
     return R.active_facts(g.facts).where(text.matches(text.lexemes(F.col("claim")), "que la")).select("id")
 
 
-@query("sr7_text_frequency", f"""
+FREQUENCY = f"""
     WITH t AS (SELECT id, {TOKENS} AS w FROM facts WHERE superseded_by IS NULL),
     r AS (SELECT id, (1 - 1 / (1 + len(list_filter(w, lambda x: x = 'que')))::DOUBLE + 1 - 1 / (1 + len(list_filter(w, lambda x: x = 'la')))::DOUBLE) / 2 AS s FROM t WHERE list_contains(w, 'que') AND list_contains(w, 'la'))
-    SELECT id, round(s, 6) AS score FROM r ORDER BY round(s, 9) DESC, id LIMIT 60""")
+    SELECT id, round(s, 6) AS score FROM r ORDER BY round(s, 9) DESC, id LIMIT 60"""
+
+
+@query("sr7_text_frequency", FREQUENCY)
 def _(g: G) -> DataFrame:
     return S.text_top(R.active_facts(g.facts).select("id", "claim"), "que la", 60, frequency=True).select("id", F.round("score", 6).alias("score"))
 
 
+@query("sr8_stored_lexemes", FREQUENCY)
+def _(g: G) -> DataFrame:
+    stored = materialize(S.index_texts(R.active_facts(g.facts).select("id", "claim")).drop("claim"))
+    return S.text_top(stored, "que la", 60, frequency=True).select("id", F.round("score", 6).alias("score"))
+
+
+def with_summaries(g: G) -> DataFrame:
+    """Services with the vector of their number as the vector of their summary."""
+    vectors = g.embeddings.select(F.concat(F.lit("s"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").alias("summary_embedding"))
+    return g.entities.join(vectors, "id", "left")
+
+
+@query("sr4_summary_search", f"SELECT e.id, round({COS}, 6) AS score FROM entities e JOIN embeddings ON e.id = 's' || CAST(vec_id AS STRING) WHERE repo_id IN ('r0', 'r1', 'r2', 'r3') AND {COS} >= -0.05 ORDER BY {COS} DESC, e.id LIMIT 20")
+def _(g: G) -> DataFrame:
+    return S.summary_top(with_summaries(g), g.query_vector, 20, ("r0", "r1", "r2", "r3"), -0.05).select("id", F.round("score", 6).alias("score"))
+
+
 TRI = "list_distinct(list_transform(range(1, length(n) + 2), lambda i: substr('  ' || n || ' ', i, 3)))"
 
 
@@ -154,12 +175,12 @@ def _(g: G) -> DataFrame:
 
 
 @query("sr5_summary_fallback", f"""
-    WITH n AS (SELECT entity_id, max({COS}) AS s FROM facts f JOIN fact_vectors x ON f.id = x.id WHERE superseded_by IS NULL GROUP BY entity_id)
-    SELECT e.id, round(coalesce(n.s, CASE WHEN e.kind = 'service' THEN 0.5 * 0.8 END, 0), 6) AS similarity FROM entities e LEFT JOIN n ON e.id = n.entity_id""")
+    WITH n AS (SELECT entity_id, max({COS}) AS s FROM facts f JOIN fact_vectors x ON f.id = x.id WHERE superseded_by IS NULL GROUP BY entity_id),
+    m AS (SELECT 's' || CAST(vec_id AS STRING) AS id, {COS} * 0.8 AS s FROM embeddings)
+    SELECT e.id, round(coalesce(n.s, m.s, 0), 6) AS similarity FROM entities e LEFT JOIN n ON e.id = n.entity_id LEFT JOIN m ON e.id = m.id""")
 def _(g: G) -> DataFrame:
-    near = S.entity_similarity(with_vectors(g), g.query_vector).select(F.col("entity_id").alias("id"), "similarity")
-    by_summary = F.when(F.col("kind") == "service", F.lit(0.5)) * 0.8
-    return g.entities.join(near, "id", "left").select("id", F.round(F.coalesce("similarity", by_summary, F.lit(0.0)), 6).alias("similarity"))
+    near = S.or_by_summary(S.entity_similarity(with_vectors(g), g.query_vector), S.summary_similarity(with_summaries(g), g.query_vector))
+    return g.entities.join(near.withColumnRenamed("entity_id", "id"), "id", "left").select("id", F.round(F.coalesce("similarity", F.lit(0.0)), 6).alias("similarity"))
 
 
 @query("sr18_pending_flags", "SELECT f.id, coalesce(b.n, 0) > 0 AS flagged FROM facts f LEFT JOIN (SELECT fact_id, count(*) AS n FROM feedback WHERE status = 'pending' GROUP BY fact_id) b ON f.id = b.fact_id")

@@ -1,6 +1,7 @@
 """Full-text search: tokens, stems, query syntax and ranks, as Column expressions wherever the text is data.
 
-A text's lexemes are computed once, at write time.  A query is parsed on the driver into clauses of required, excluded
+A text's lexemes can be stored beside it (``plans.search.index_texts``); without that they are made of the texts that may match,
+which a search for the query's stems in the raw text tells beforehand.  A query is parsed on the driver into clauses of required, excluded
 and alternative terms (quoted terms are phrases), which become array predicates.
 """
 
@@ -96,6 +97,22 @@ def matches(lex: Column, query: str) -> Column:
     return out if clauses else F.lit(False)
 
 
+def may_match(raw: Column, query: str) -> Column:
+    """False only of texts that cannot match: a word's stem, but for a final y, is part of every word with that stem."""
+    low, out = F.lower(F.coalesce(raw, F.lit(""))), F.lit(True)
+    root = lambda w: F.regexp_replace(stem(F.lit(w)), "y$", "")
+    for c in parse_query(query):
+        if not c.excluded:
+            one = F.lit(False)
+            for p in c.phrases:
+                whole = F.lit(True)
+                for w in p:
+                    whole = whole & F.contains(low, root(w))
+                one = one | whole
+            out = out & one
+    return out
+
+
 def _terms(query: str) -> Column:
     words = dict.fromkeys(w for c in parse_query(query) if not c.excluded for p in c.phrases for w in p)
     return F.array(*[stem(F.lit(w)) for w in words]) if words else F.array().cast("array<string>")

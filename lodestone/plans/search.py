@@ -34,10 +34,28 @@ def vector_top(rows: DataFrame, vector: Sequence[float], limit: int, least: floa
     return scored.where(F.col("score") >= least).orderBy(F.desc("score"), "id").limit(limit)
 
 
+def summary_top(entities: DataFrame, vector: Sequence[float], limit: int, repo_ids: Sequence[str] = (), least: float = 0.4) -> DataFrame:
+    """Entities by the similarity of their summaries (summary_embedding), best first."""
+    scoped = entities.where(F.col("repo_id").isin(*repo_ids)) if repo_ids else entities
+    return vector_top(scoped.where("summary_embedding is not null"), vector, limit, least, "summary_embedding")
+
+
+def summary_similarity(entities: DataFrame, vector: Sequence[float]) -> DataFrame:
+    """(entity_id, similarity) of all entities with a summary vector."""
+    near = scoring.cosine(F.col("summary_embedding"), scoring.vector_literal(vector))
+    return entities.select(F.col("id").alias("entity_id"), near.alias("similarity")).where("similarity is not null")
+
+
+def index_texts(rows: DataFrame, column: str = "claim") -> DataFrame:
+    """``rows`` with their lexemes, to be stored with them: text_top() then reads these instead of the texts."""
+    return rows.withColumn("lexemes", text.lexemes(F.col(column)))
+
+
 def text_top(rows: DataFrame, words: str, limit: int, column: str = "claim", frequency: bool = False) -> DataFrame:
     """Rows whose text matches the query, by cover density (or term frequency), to nine digits, so that ties are ties."""
-    lex = text.lexemes(F.col(column))
-    found = rows.withColumn("_lex", lex).where(text.matches(F.col("_lex"), words))
+    stored = "lexemes" in rows.columns
+    lex = F.col("lexemes") if stored else text.lexemes(F.col(column))
+    found = (rows if stored else rows.where(text.may_match(F.col(column), words))).withColumn("_lex", lex).where(text.matches(F.col("_lex"), words))
     rank = (text.rank_frequency if frequency else text.rank_cover)(F.col("_lex"), words)
     return found.withColumn("score", F.round(rank, 9)).drop("_lex").orderBy(F.desc("score"), "id").limit(limit)
 
@@ -98,7 +116,7 @@ def hybrid_search(
     entities = graph["entities"]
     lists: DataFrame | None = None
     for nth, q in enumerate(queries):
-        one = fuse(vector_top(scoped.select("id", "embedding"), q.vector, FAN_OUT, least), text_top(scoped.select("id", "claim"), q.words, FAN_OUT)).withColumn("nth", F.lit(nth))
+        one = fuse(vector_top(scoped.select("id", "embedding"), q.vector, FAN_OUT, least), text_top(scoped.select("id", "claim", *([] if "lexemes" not in scoped.columns else ["lexemes"])), q.words, FAN_OUT)).withColumn("nth", F.lit(nth))
         lists = one if lists is None else lists.unionByName(one)
     assert lists is not None
     # a fact that several sub-queries find keeps the first one's score
@@ -145,14 +163,19 @@ def entity_similarity(facts: DataFrame, vector: Sequence[float]) -> DataFrame:
     return R.active_facts(facts).groupBy("entity_id").agg(F.max(near).alias("similarity")).where("similarity is not null")
 
 
+def or_by_summary(near: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Entities without a near fact count by their summary, a little less."""
+    s = summaries.select("entity_id", (F.col("similarity") * 0.8).alias("_s"))
+    return near.join(s, "entity_id", "full_outer").select("entity_id", F.coalesce("similarity", "_s").alias("similarity"))
+
+
 def triplet_search(
-    graph: dict[str, DataFrame], vector: Sequence[float], repo_ids: Sequence[str] = (), seeds: int = 15, hops: int = 2, cap: int = 50, limit: int = 20, summary_similarity: DataFrame | None = None
+    graph: dict[str, DataFrame], vector: Sequence[float], repo_ids: Sequence[str] = (), seeds: int = 15, hops: int = 2, cap: int = 50, limit: int = 20, summaries: DataFrame | None = None
 ) -> DataFrame:
     """Edges around the entities nearest to the query, scored by both ends and the edge between them."""
     near = materialize(entity_similarity(graph["facts"], vector))
-    if summary_similarity is not None:  # entities without a near fact count by their summary, a little less
-        s = summary_similarity.select("entity_id", (F.col("similarity") * 0.8).alias("_s"))
-        near = near.join(s, "entity_id", "full_outer").select("entity_id", F.coalesce("similarity", "_s").alias("similarity"))
+    if summaries is not None:
+        near = or_by_summary(near, summaries)
     first = near.orderBy(F.desc("similarity"), "entity_id").limit(seeds).select(F.col("entity_id").alias("seed"))
     around = materialize(graph_ops.traverse(graph["relationships"], first, hops, cap))
     edges = graph_ops.subgraph(graph["relationships"], around)
