@@ -15,6 +15,13 @@ STRENGTH_FACTOR = {"strong": 1.0, "moderate": 0.7, "weak": 0.4}
 NEIGHBOUR_FACTOR = {"strong": 0.35, "moderate": 0.25, "weak": 0.15}
 GRAPH_WEIGHT = {"calls": 3.0, "implements": 2.5, "depends_on": 2.0, "owns": 1.5, "imports": 1.0}
 RRF_K = 60
+#: Confidence of an edge by its strength, within a repository and between two, and what strength adds to a stated one.
+STRENGTH_CONFIDENCE = {"strong": 0.9, "moderate": 0.75, "weak": 0.55}
+CROSS_REPO_CONFIDENCE = {"strong": 0.75, "moderate": 0.65, "weak": 0.5}
+STRENGTH_STEP = {"strong": 0.05, "weak": -0.05}
+#: Weights of the quality components, and dollars for a million tokens in and out.
+QUALITY_WEIGHTS = {"entity_cov": 0.3, "fact_density": 0.2, "rel_connect": 0.2, "dim_coverage": 0.15, "parse_rate": 0.15}
+TOKEN_PRICES = {"opus": (15.0, 75.0), "sonnet": (3.0, 15.0)}
 
 
 def by_value(value: Column, factors: dict[str, float], other: float | None = 1.0) -> Column:
@@ -54,11 +61,11 @@ def rrf(rank: Column, weight: float = 1.0, k: int = RRF_K) -> Column:
 
 
 def relation_confidence(base: Column, strength: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + by_value(strength, {"strong": 0.05, "weak": -0.05}, 0.0)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + by_value(strength, STRENGTH_STEP, 0.0)))
 
 
 def strength_to_confidence(strength: Column, cross_repo: bool = False) -> Column:
-    return by_value(strength, {"strong": 0.75, "moderate": 0.65, "weak": 0.5} if cross_repo else {"strong": 0.9, "moderate": 0.75, "weak": 0.55}, None)
+    return by_value(strength, CROSS_REPO_CONFIDENCE if cross_repo else STRENGTH_CONFIDENCE, None)
 
 
 def confidence_to_strength(confidence: Column) -> Column:
@@ -78,12 +85,12 @@ def quality_scores(total: Column, excluded: Column, with_facts: Column, with_rel
         "dim_coverage": dimensions / 4 * 100,
         "parse_rate": F.when(jobs > 0, ok_jobs / jobs * 100).otherwise(F.lit(100.0)),
     }
-    overall = out["entity_cov"] * 0.3 + out["fact_density"] * 0.2 + out["rel_connect"] * 0.2 + out["dim_coverage"] * 0.15 + out["parse_rate"] * 0.15
+    overall = sum((out[name] * weight for name, weight in QUALITY_WEIGHTS.items()), F.lit(0.0))
     return {**out, "overall": F.greatest(F.lit(0.0), F.least(F.lit(100.0), overall))}
 
 
 def job_cost(tokens_in: Column, tokens_out: Column, model: str = "sonnet") -> Column:
-    each = (15.0, 75.0) if model == "opus" else (3.0, 15.0)
+    each = TOKEN_PRICES.get(model, TOKEN_PRICES["sonnet"])
     return (tokens_in / 1e6 * each[0] + tokens_out / 1e6 * each[1]).cast("decimal(10,6)")
 
 

@@ -121,13 +121,27 @@ def _run_of(size: int) -> Callable[[Column], Column]:
     return lambda i: F.substring(F.col("text"), i, F.lit(size))
 
 
+def _runs(text: Column, *sizes: int) -> Column:
+    """All runs of so many characters."""
+    none = F.array().cast("array<string>")
+    part = lambda n: lambda i: F.substring(text, i, F.lit(n))
+    each = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), part(n))).otherwise(none) for n in sizes]
+    return F.array_distinct(F.concat(*each))
+
+
 def match_repos(dependencies: DataFrame, repos: DataFrame) -> DataFrame:
-    """(dependency, repo_id): the repository of the same name, else the longest name within the dependency's, or around it."""
-    d = dependencies.select("dependency", names.dependency_name(F.col("dependency")).alias("_d"))
-    r = F.broadcast(repos.select(F.col("id").alias("repo_id"), F.lower("name").alias("_r")))  # one row a repository
-    near = (F.col("_d") == F.col("_r")) | F.contains("_d", F.col("_r")) | ((F.length("_d") >= 3) & F.contains("_r", F.col("_d")))
+    """(dependency, repo_id): the repository of the same name, else the longest name within the dependency's, or around it.
+
+    A name within another begins with a run that the other holds, so both meet on runs of up to three characters.
+    """
+    d = dependencies.select("dependency").distinct().withColumn("_d", names.dependency_name(F.col("dependency"))).where("_d <> ''")
+    r = repos.select(F.col("id").alias("repo_id"), F.lower("name").alias("_r")).where("_r <> ''")
+    inside = d.withColumn("_k", F.explode(_runs(F.col("_d"), 1, 2, 3))).join(r.withColumn("_k", F.substring("_r", 1, 3)), "_k").where(F.contains("_d", F.col("_r")))
+    around = d.where(F.length("_d") >= 3).withColumn("_k", F.substring("_d", 1, 3)).join(r.withColumn("_k", F.explode(_runs(F.col("_r"), 3))), "_k").where(F.contains("_r", F.col("_d")))
+    met = inside.unionByName(around).select("dependency", "repo_id", "_d", "_r").distinct()
     order = Window.partitionBy("dependency").orderBy((F.col("_d") != F.col("_r")).cast("int"), F.length("_r").desc(), "repo_id")
-    return d.join(r, near).withColumn("_n", F.row_number().over(order)).where("_n = 1").select("dependency", "repo_id")
+    best = met.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("dependency", "repo_id")
+    return dependencies.join(best, "dependency").select("dependency", "repo_id")
 
 
 def resolve_names(references: DataFrame, entities: DataFrame) -> DataFrame:
