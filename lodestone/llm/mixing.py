@@ -68,11 +68,16 @@ def size_importance(size: Column) -> Column:
 
 
 def _level(weight: Column) -> Column:
-    """``weight`` cut to its first 8 binary digits; integers below 256 stay as they are."""
-    fine = F.coalesce(weight.cast("double"), F.lit(0.0))
-    fine = F.when((fine > 0) & (fine < float("inf")), fine).otherwise(0.0)
-    unit = F.pow(F.lit(2.0), F.floor(F.log2(F.when(fine > 0, fine))) - 7)
-    return F.when(fine > 0, F.floor(fine / unit) * unit).otherwise(0.0)
+    """``weight`` cut to its first 8 binary digits; integers below 256 stay as they are.
+
+    The one-element array makes the weight, which may count the words of a text, once.
+    """
+
+    def cut(w: Column) -> Column:
+        unit = F.pow(F.lit(2.0), F.floor(F.log2(w)) - 7)
+        return F.when((w > 0) & (w < float("inf")), F.floor(w / unit) * unit).otherwise(0.0)
+
+    return F.get(F.transform(F.array(weight.cast("double")), cut), 0)
 
 
 def _expected(weight: Column) -> tuple[Column, Column]:
