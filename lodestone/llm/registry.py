@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, infill, language, licenses, mixing, neighbours, secrets, sharding, simhash, tokens
+from . import chat, decontamination, infill, language, licenses, merkle, mixing, neighbours, packing, secrets, sharding, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": mixing.op1_pareto_mix,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash.op8_simhash,
     "op9_token_files": tokens.op9_token_files,
     "op10_language_id": language.op10_language_id,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_vector_best_fit": packing.op12_vector_best_fit,
     "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
 
@@ -27,5 +29,6 @@ ORACLES: dict[str, str] = {
     "op2_chat_format": chat.OP2_SQL,
     "op3_decontaminate": decontamination.OP3_SQL,
     "op4_secret_scan": secrets.OP4_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
     "op13_fill_in_middle": infill.OP13_SQL,
 }
