@@ -88,26 +88,26 @@ def number(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     return out.select(*rows.columns, (F.col("at") + F.col("shift")).alias("pos"), "n")
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
+def _blocks(nodes: DataFrame, levels: int) -> DataFrame:
     """The block of each node, its place there, and the levels to climb in the block."""
-    size = FANOUT**LEVELS
-    return nodes.withColumn("block", F.floor(F.col("pos") / size)).withColumn("slot", (F.col("pos") % size).cast("int")).withColumn("levels", F.least(F.lit(LEVELS), height(F.col("n"))))
+    size = FANOUT**levels
+    return nodes.withColumn("block", F.floor(F.col("pos") / size)).withColumn("slot", (F.col("pos") % size).cast("int")).withColumn("levels", F.least(F.lit(levels), height(F.col("n"))))
 
 
-def _root_of_block(group: pa.Table) -> pa.Table:
-    group = group.sort_by("slot")
-    root = traverse(group["digest"].to_pylist(), group["levels"][0].as_py())
-    n = group["n"][0].as_py()
-    n = -(-n // FANOUT**LEVELS)
-    return pa.table({"key": group["key"].slice(0, 1), "pos": group["block"].slice(0, 1), "n": pa.array([n], pa.int64()), "digest": pa.array([root], pa.string())})
+def climb(nodes: DataFrame, levels: int) -> list[DataFrame]:
+    """(key, pos, n, digest) -> the nodes of each traversal in turn; the last have one row a key, its root."""
+    size = FANOUT**levels
 
+    def root_of_block(group: pa.Table) -> pa.Table:
+        group = group.sort_by("slot")
+        root = traverse(group["digest"].to_pylist(), group["levels"][0].as_py())
+        n = -(-group["n"][0].as_py() // size)
+        return pa.table({"key": group["key"].slice(0, 1), "pos": group["block"].slice(0, 1), "n": pa.array([n], pa.int64()), "digest": pa.array([root], pa.string())})
 
-def climb(nodes: DataFrame) -> list[DataFrame]:
-    """(key, pos, n, digest) -> the nodes of each traversal in turn; the last have one row a key, its root."""
     out = [nodes]
     while True:
-        here = _blocks(out[-1]).select("key", "block", "slot", "levels", "n", "digest")
-        out.append(materialize(here.groupBy("key", "block").applyInArrow(_root_of_block, "key string, pos long, n long, digest string")))
+        here = _blocks(out[-1], levels).select("key", "block", "slot", "levels", "n", "digest")
+        out.append(materialize(here.groupBy("key", "block").applyInArrow(root_of_block, "key string, pos long, n long, digest string")))
         if not out[-1].where("n > 1").limit(1).count():
             return out
 
@@ -119,16 +119,6 @@ def _steps_of(nodes: pa.Table, above: pa.Table) -> tuple[pa.Table, list[list[tup
     return nodes, steps, [(s["left"], s["right"]) for s in above["steps"][0].as_py()]
 
 
-def _descend(nodes: pa.Table, above: pa.Table) -> pa.Table:
-    if not len(nodes) or not len(above):
-        return pa.table({"key": [], "pos": [], "subroot": [], "steps": []}, schema=_DOWN)
-    nodes, steps, upper = _steps_of(nodes, above)
-    rows = [[{"left": a, "right": b} for a, b in [*own, *upper]] for own in steps]
-    subroot = pa.array([above["subroot"][0].as_py()] * len(nodes), pa.string())
-    pos = pa.array([b * FANOUT**LEVELS + s for b, s in zip(nodes["block"].to_pylist(), nodes["slot"].to_pylist(), strict=True)], pa.int64())
-    return pa.table([nodes["key"], pos, subroot, pa.array(rows, _DOWN.field("steps").type)], schema=_DOWN)
-
-
 _DOWN = pa.schema([("key", pa.string()), ("pos", pa.int64()), ("subroot", pa.string()), ("steps", pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())])))])
 _PROOF = pa.schema([("doc_id", pa.int64()), ("leaf", pa.string()), ("subroot", pa.string()), ("proof_sha256", pa.string()), ("folded_root", pa.string())])
 
@@ -136,7 +126,7 @@ _PROOF = pa.schema([("doc_id", pa.int64()), ("leaf", pa.string()), ("subroot", p
 def _prove(nodes: pa.Table, above: pa.Table) -> pa.Table:
     """The leaves of a block with the digest of their siblings and the root that leaf (the tampered one, where there is one) and siblings give."""
     if not len(nodes) or not len(above):
-        return pa.table({f.name: [] for f in _PROOF}, schema=_PROOF)
+        return _PROOF.empty_table()
     nodes, steps, upper = _steps_of(nodes, above)
     leaves, tampered = nodes["digest"].to_pylist(), nodes["tampered"].to_pylist()
     proofs, roots = [], []
@@ -148,13 +138,30 @@ def _prove(nodes: pa.Table, above: pa.Table) -> pa.Table:
     return pa.table([nodes["doc_id"], nodes["digest"], subroot, pa.array(proofs, pa.string()), pa.array(roots, pa.string())], schema=_PROOF)
 
 
-def _down(nodes: DataFrame, above: DataFrame, run, schema: str, extra: Sequence[str] = ()) -> DataFrame:
-    here = _blocks(nodes).select("key", "block", "slot", "levels", "digest", *extra)
+def _meet(nodes: DataFrame, above: DataFrame, levels: int, extra: Sequence[str] = ()):
+    """Nodes by block, with what is above each block."""
+    here = _blocks(nodes, levels).select("key", "block", "slot", "levels", "digest", *extra)
     upper = above.select("key", F.col("pos").alias("block"), "subroot", "steps")
-    return here.groupBy("key", "block").cogroup(upper.groupBy("key", "block")).applyInArrow(run, schema)
+    return here.groupBy("key", "block").cogroup(upper.groupBy("key", "block"))
+
+
+def _descend(nodes: DataFrame, above: DataFrame, levels: int) -> DataFrame:
+    """(key, pos, subroot, steps) of nodes: their own steps within their block, and then the block's."""
+    size = FANOUT**levels
+
+    def run(own: pa.Table, over: pa.Table) -> pa.Table:
+        if not len(own) or not len(over):
+            return _DOWN.empty_table()
+        own, steps, upper = _steps_of(own, over)
+        rows = [[{"left": a, "right": b} for a, b in [*x, *upper]] for x in steps]
+        subroot = pa.array([over["subroot"][0].as_py()] * len(own), pa.string())
+        pos = pa.array([b * size + s for b, s in zip(own["block"].to_pylist(), own["slot"].to_pylist(), strict=True)], pa.int64())
+        return pa.table([own["key"], pos, subroot, pa.array(rows, _DOWN.field("steps").type)], schema=_DOWN)
+
+    return _meet(nodes, above, levels).applyInArrow(run, f"key string, pos long, subroot string, steps {_STEP}")
 
 
-def manifest(docs: DataFrame, tampered: Column | None = None, fields: Sequence[str] = FIELDS) -> DataFrame:
+def manifest(docs: DataFrame, tampered: Column | None = None, fields: Sequence[str] = FIELDS, levels: int = LEVELS) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified of every row.
 
     ``tampered``: a text to fold in place of a row's own (null: its own); it must keep nulls."""
@@ -167,23 +174,23 @@ def manifest(docs: DataFrame, tampered: Column | None = None, fields: Sequence[s
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # null is the empty key, before all others
     leaves = materialize(text.select("doc_id", key.alias("key"), leaf_digest(columns).alias("digest"), other.alias("tampered")))
     numbered = number(leaves, "key", ["doc_id", "digest"])
-    frames = climb(numbered.select("key", "pos", "n", "digest"))
+    frames = climb(numbered.select("key", "pos", "n", "digest"), levels)
 
     subroots = frames[-1].select(F.lit("").alias("key"), F.col("key").alias("source_key"), "digest")
     sources = number(subroots, "key", ["source_key"])
-    tree = climb(sources.select("key", "pos", "n", "digest"))
+    tree = climb(sources.select("key", "pos", "n", "digest"), levels)
     top = tree[-1].first()
     root = top.digest if top else ""
 
     none = F.array().cast(_STEP)
     above = tree[-1].select("key", F.lit(0).cast("long").alias("pos"), F.lit("").alias("subroot"), none.alias("steps"))
     for nodes in reversed(tree[:-1]):
-        above = _down(nodes, above, _descend, f"key string, pos long, subroot string, steps {_STEP}")
+        above = _descend(nodes, above, levels)
     named = sources.select("pos", F.col("source_key").alias("key"), F.col("digest").alias("subroot"))
     above = named.join(above.select("pos", "steps"), "pos").select("key", F.lit(0).cast("long").alias("pos"), "subroot", "steps")
     for nodes in reversed(frames[1:-1]):
-        above = _down(nodes, above, _descend, f"key string, pos long, subroot string, steps {_STEP}")
-    proved = _down(numbered, above, _prove, "doc_id long, leaf string, subroot string, proof_sha256 string, folded_root string", ["doc_id", "tampered"])
+        above = _descend(nodes, above, levels)
+    proved = _meet(numbered, above, levels, ["doc_id", "tampered"]).applyInArrow(_prove, "doc_id long, leaf string, subroot string, proof_sha256 string, folded_root string")
     return proved.select("doc_id", "leaf", "subroot", F.lit(root).alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == F.lit(root)).alias("verified"))
 
 
