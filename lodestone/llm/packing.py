@@ -2,13 +2,14 @@
 
 A document is its token ids and an end id; longer ones are cut into pieces of a sequence's capacity.  Every sequence has
 three capacities: tokens, pieces, and attention cost (a piece of n tokens costs n squared, as attention stays within a
-piece).  Pieces are dealt to blocks of a few thousand; in a block the largest piece comes first and goes to the open
+piece).  A task packs its pieces in blocks of a few thousand; in a block the largest piece comes first and goes to the open
 sequence that has room for it under every constraint and for which the rest after placing it has the smallest weighted norm
-(``norm``), or the product of piece and rest is the smallest (``dot``); where none has room, a new sequence opens.  Only the
-last sequences of a block can stay unfilled, so blocks cost a few sequences in ten thousand.
+(``norm``), or the product of piece and rest is the smallest (``dot``); where none has room, a new sequence opens.
 
-Tokens are made once and written; the blocks' tasks write the sequences themselves: ids of the pieces one after the
-other, and which piece lies where.  Results are read back from those files.
+Sequences are written by the task that makes the tokens, so tokens are neither shuffled nor written twice.  What a block
+leaves poorly filled, its last sequences as a rule, is taken apart and packed again with what other blocks left: these
+pieces alone are shuffled.  The rows that they came from stay in their files, marked ``again``, and readers skip them.
+Results are read back from the sequences.
 
 Encoding is the tokenizers library's.  Its pattern drops white space, so distinct chunks between white space are encoded
 once for a slice of texts; letters of the Latin blocks with marks behind them go straight to its model, all other chunks
@@ -29,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +41,9 @@ from .tokens import CACHE_BYTES, END_ID, ChunkEncoder, _gather, tokenizer_path
 PIECES_A_BLOCK = 8192
 #: Letters that are one code point in every normal form, and marks that make up one piece of the tokenizer's pattern (the apostrophe begins contractions).
 _SIMPLE = r"^(?P<word>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
-_PIECES = "doc_id long, piece int, start long, length int, ids array<int>"
-_PLACED = "array<struct<doc_id:long,piece:int,start:long,offset:long,length:int>>"
+_SEQUENCES = "sequence_id long, ids array<int>, pieces array<struct<doc_id:long,piece:int,start:long,offset:long,length:int>>, again boolean"
+#: A sequence filled less than this is packed again.
+FILLED = 0.95
 
 
 class WordEncoder(ChunkEncoder):
@@ -111,35 +114,22 @@ class WordEncoder(ChunkEncoder):
         ids = _gather(values, starts[at], sizes[at])
         until = np.r_[0, np.cumsum(sizes[at])]
         lengths = np.diff(until[ends - ends[0]])
-        self._remember(distinct, place, np.bincount(which, minlength=len(distinct)), fresh, values, starts, sizes)
+        self._keep(distinct, place, fresh, values, starts, sizes)
         return ids, lengths
 
+    def _keep(self, distinct: pa.Array, place: np.ndarray, fresh: np.ndarray, values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Add the new chunks, as long as there is room."""
+        new = distinct.filter(pa.array(fresh))
+        if self._known.nbytes + new.nbytes + self._values.nbytes + 4 * sizes[place[fresh]].sum() + 16 * (len(self._known) + len(new)) <= self._limit:
+            at = np.r_[np.arange(len(self._known)), place[fresh]]
+            self._known, self._values, self._sizes = pa.concat_arrays([self._known, new]), _gather(values, starts[at], sizes[at]), sizes[at]
+            self._starts = np.cumsum(self._sizes) - self._sizes
+
 
 #: A worker's encoders, kept between the tasks that it runs; each holds CACHE_BYTES at most.
 _encoders: dict[str, WordEncoder] = {}
 
 
-def _cut(path: str, end_id: int, capacity: int):
-    """Texts to pieces of at most ``capacity`` ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
-        for batch in batches:
-            for part in text_slices(batch, 1):
-                flat, sizes = encoder.encode(part.column(1))
-                values = np.insert(flat, np.cumsum(sizes), end_id)
-                sizes = sizes + 1
-                pieces = -(-sizes // capacity)
-                row = np.repeat(np.arange(len(sizes)), pieces)
-                nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                lengths = np.minimum(sizes[row] - nth * capacity, capacity)
-                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(values, pa.int32()))
-                columns = [part.column(0).take(pa.array(row)), pa.array(nth, pa.int32()), pa.array(nth * capacity, pa.int64()), pa.array(lengths, pa.int32()), ids]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids"])
-
-    return run
-
-
 @dataclass(frozen=True)
 class Capacity:
     """What a sequence holds at most.  By default only tokens bind: pieces have a token at least, and squares of lengths sum up to the square of their sum at most."""
@@ -182,23 +172,87 @@ def best_fit(lengths: Sequence[int], limits: Capacity) -> np.ndarray:
     return out
 
 
-def _pack(limits: Capacity):
-    """The pieces of a block to its sequences."""
+@dataclass
+class Pieces:
+    """Columns of pieces, and their ids one after the other."""
+
+    doc_id: pa.Array
+    piece: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    ids: np.ndarray
+
+    def take(self, at: np.ndarray) -> Pieces:
+        starts = np.cumsum(self.length) - self.length
+        return Pieces(self.doc_id.take(pa.array(at)), self.piece[at], self.start[at], self.length[at], _gather(self.ids, starts[at], self.length[at]))
+
+    @staticmethod
+    def join(parts: Sequence[Pieces]) -> Pieces:
+        whole = [np.concatenate([getattr(p, c) for p in parts]) for c in ("piece", "start", "length", "ids")]
+        return Pieces(pa.concat_arrays([p.doc_id for p in parts]), *whole)
+
+
+def _cut(encoder: WordEncoder, batch: pa.RecordBatch, end_id: int, longest: int) -> Pieces:
+    """doc_id and text to pieces of at most ``longest`` ids."""
+    flat, sizes = encoder.encode(batch.column(1))
+    values = np.insert(flat, np.cumsum(sizes), end_id)
+    sizes = sizes + 1
+    pieces = -(-sizes // longest)
+    row = np.repeat(np.arange(len(sizes)), pieces)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return Pieces(batch.column(0).take(pa.array(row)), nth, nth * longest, np.minimum(sizes[row] - nth * longest, longest), values)
+
+
+def _pack(own: Pieces, limits: Capacity, first_id: int, filled: float) -> pa.RecordBatch:
+    """Sequences of a block of pieces, named from ``first_id`` on; those filled less than ``filled`` are to be packed again."""
+    own = own.take(np.argsort(-own.length, kind="stable"))
+    bins = best_fit(own.length, limits)
+    order = np.argsort(bins, kind="stable")
+    own, bins = own.take(order), bins[order]
+    heads = np.r_[np.flatnonzero(np.diff(bins, prepend=-1)), len(bins)]
+    before = np.r_[0, np.cumsum(own.length)]
+    offset = before[:-1] - np.repeat(before[heads[:-1]], np.diff(heads))
+    columns = [own.doc_id, pa.array(own.piece, pa.int32()), pa.array(own.start, pa.int64()), pa.array(offset, pa.int64()), pa.array(own.length, pa.int32())]
+    pieces = pa.ListArray.from_arrays(pa.array(heads, pa.int32()), pa.StructArray.from_arrays(columns, ["doc_id", "piece", "start", "offset", "length"]))
+    ids = pa.ListArray.from_arrays(pa.array(before[heads], pa.int32()), pa.array(own.ids, pa.int32()))
+    names = pa.array(first_id + np.arange(len(heads) - 1), pa.int64())
+    cost = np.diff(np.r_[0, np.cumsum(own.length.astype(np.int64) ** 2)][heads])
+    use = np.maximum.reduce([np.diff(before[heads]) / limits.tokens, np.diff(heads) / limits.pieces, cost / limits.attention])  # of the scarcest capacity
+    again = pa.array(use < filled)
+    return pa.RecordBatch.from_arrays([names, ids, pieces, again], ["sequence_id", "ids", "pieces", "again"])
+
+
+#: A worker's encoders, kept between the tasks that it runs; each holds CACHE_BYTES at most.
+_encoders: dict[str, WordEncoder] = {}
+
 
+def _pack_partition(path: str, end_id: int, longest: int, limits: Capacity, most: int):
+    """Texts to sequences, a block of ``most`` pieces at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
+        task, made, waiting, count = TaskContext.get(), 0, [], 0
+        for batch in batches:
+            for part in text_slices(batch, 1):
+                waiting.append(_cut(encoder, part, end_id, longest))
+                count += len(waiting[-1].length)
+                while count >= most:
+                    whole = Pieces.join(waiting)
+                    out = _pack(whole.take(np.arange(most)), limits, (task.partitionId() << 32) + made, FILLED)
+                    waiting, count, made = [whole.take(np.arange(most, count))], count - most, made + len(out)
+                    yield out
+        if count:
+            yield _pack(Pieces.join(waiting), limits, (task.partitionId() << 32) + made, FILLED)
+
+    return run
+
+
+def _pack_group(limits: Capacity):
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
-        lengths = group["length"].to_numpy()
-        bins = best_fit(lengths, limits)
-        order = np.argsort(bins, kind="stable")
-        group, lengths, bins = group.take(pa.array(order)), lengths[order], bins[order]
-        heads = np.r_[np.flatnonzero(np.diff(bins, prepend=-1)), len(bins)]
-        before = np.r_[0, np.cumsum(lengths)]
-        offset = before[:-1] - np.repeat(before[heads[:-1]], np.diff(heads))
-        columns = [group[c].combine_chunks() for c in ("doc_id", "piece", "start")] + [pa.array(offset, pa.int64()), group["length"].combine_chunks()]
-        pieces = pa.ListArray.from_arrays(pa.array(heads, pa.int32()), pa.StructArray.from_arrays(columns, ["doc_id", "piece", "start", "offset", "length"]))
-        ids = pa.ListArray.from_arrays(pa.array(before[heads], pa.int32()), group["ids"].combine_chunks().flatten())
-        names = group["block"][0].as_py() * (1 << 24) + np.arange(len(heads) - 1)
-        return pa.table({"sequence_id": pa.array(names, pa.int64()), "ids": ids, "pieces": pieces})
+        group = group.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("sequence_id", "ascending")])
+        flat = group["ids"].combine_chunks().flatten().to_numpy()
+        own = Pieces(group["doc_id"].combine_chunks(), *(group[c].to_numpy() for c in ("piece", "start", "length")), flat)
+        return pa.Table.from_batches([_pack(own, limits, (1 << 62) + (group["block"][0].as_py() << 24), 0)])
 
     return run
 
@@ -207,15 +261,22 @@ def pack_sequences(docs: DataFrame, folder: str, path: str | None = None, end_id
     """Write sequence_id, ids, and pieces (doc_id, piece, start, offset, length) of the sequences that hold all of ``docs``."""
     spark, limits = docs.sparkSession, limits or Capacity()
     longest = min(limits.tokens, math.isqrt(limits.attention))
-    made = scratch(spark, "pieces")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = rows.mapInArrow(_cut(path or tokenizer_path("word_bpe_49k.json"), end_id, longest), _PIECES)
-    cut.write.option("compression", "zstd").parquet(made)
-    pieces = spark.read.schema(_PIECES).parquet(made)
-    blocks = max(1, math.ceil(pieces.count() / pieces_a_block))
-    block = F.pmod(F.xxhash64("doc_id", "piece", "length", F.col("_metadata.row_index")), F.lit(blocks))  # the row's place deals out equal rows
-    placed = pieces.select(block.alias("block"), "doc_id", "piece", "start", "length", "ids").groupBy("block")
-    placed.applyInArrow(_pack(limits), f"sequence_id long, ids array<int>, pieces {_PLACED}").write.option("compression", "zstd").parquet(folder)
+    packed = rows.mapInArrow(_pack_partition(path or tokenizer_path("word_bpe_49k.json"), end_id, longest, limits, pieces_a_block), _SEQUENCES)
+    packed.write.option("compression", "zstd").parquet(f"{folder}/round=0")
+    loose = spark.read.schema(_SEQUENCES).parquet(f"{folder}/round=0").where("again")
+    count = loose.agg(F.sum(F.size("pieces"))).first()[0]
+    if count:
+        each = loose.select("sequence_id", "ids", F.explode("pieces").alias("p"))
+        each = each.select("sequence_id", "p.*", F.slice("ids", F.col("p.offset").cast("int") + 1, F.col("p.length")).alias("ids"))
+        block = F.pmod(F.xxhash64("sequence_id", "offset"), F.lit(math.ceil(count / pieces_a_block)))
+        repacked = each.withColumn("block", block).groupBy("block").applyInArrow(_pack_group(limits), _SEQUENCES)
+        repacked.write.option("compression", "zstd").parquet(f"{folder}/round=1")
+
+
+def read_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """The sequences that pack_sequences() wrote, less those that it packed again."""
+    return spark.read.schema(f"{_SEQUENCES}, round int").parquet(folder).where(~F.col("again")).drop("again", "round")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +293,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece, from the sequences written."""
-    rows = spark.read.schema(f"sequence_id long, ids array<int>, pieces {_PLACED}").parquet(folder)
-    return rows.mapInArrow(_digests, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return read_sequences(spark, folder).mapInArrow(_digests, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op12_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,7 +218,9 @@ def test_sequences_hold_all_documents(spark, tmp_path):
     assert check_packing(out, rows) <= least + 1 + least // 200
     packing.pack_sequences(frame, f"{tmp_path}/b", pieces_a_block=100)
     out = packing.read_pieces(spark, f"{tmp_path}/b").collect()
-    assert len({r.sequence_id >> 24 for r in out}) > 5 and check_packing(out, rows) <= least * 1.1
+    assert check_packing(out, rows) <= least + 1 + least // 50
+    first = spark.read.parquet(f"{tmp_path}/b/round=0")
+    assert 0 < first.where("again").count() < first.count() / 2  # few sequences are packed again
     packing.pack_sequences(frame.where("false"), f"{tmp_path}/e")
     assert packing.read_pieces(spark, f"{tmp_path}/e").count() == 0
 
@@ -229,10 +231,6 @@ def test_sequences_under_tight_constraints_and_a_doc_id_on_all_rows(spark, tmp_p
     packing.pack_sequences(spark.createDataFrame(rows, "doc_id long, text string"), f"{tmp_path}/s", limits=limits, pieces_a_block=60)
     out = packing.read_pieces(spark, f"{tmp_path}/s").collect()
     check_packing(out, rows, 200, 3, 40_000, 512)  # a piece of more than 200 tokens costs too much attention
-    blocks = defaultdict(int)
-    for r in out:
-        blocks[r.sequence_id >> 24] += 1
-    assert max(blocks.values()) <= 120
 
 
 # ---- fill in the middle
