@@ -38,7 +38,9 @@ from .common import scratch, table, text_slices
 from .tokens import BLOCK as CALL
 from .tokens import CACHE_BYTES, END_ID, ChunkEncoder, _gather, tokenizer_path
 
-PIECES_A_BLOCK = 8192
+PIECES_A_BLOCK = 4096
+#: Sequences in a batch that a task hands over.
+SEQUENCES_A_BATCH = 256
 #: Letters that are one code point in every normal form, and marks that make up one piece of the tokenizer's pattern (the apostrophe begins contractions).
 _SIMPLE = r"^(?P<word>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 _SEQUENCES = "sequence_id long, ids array<int>, pieces array<struct<doc_id:long,piece:int,start:long,offset:long,length:int>>, again boolean"
@@ -126,10 +128,6 @@ class WordEncoder(ChunkEncoder):
             self._starts = np.cumsum(self._sizes) - self._sizes
 
 
-#: A worker's encoders, kept between the tasks that it runs; each holds CACHE_BYTES at most.
-_encoders: dict[str, WordEncoder] = {}
-
-
 @dataclass(frozen=True)
 class Capacity:
     """What a sequence holds at most.  By default only tokens bind: pieces have a token at least, and squares of lengths sum up to the square of their sum at most."""
@@ -203,13 +201,20 @@ def _cut(encoder: WordEncoder, batch: pa.RecordBatch, end_id: int, longest: int)
     return Pieces(batch.column(0).take(pa.array(row)), nth, nth * longest, np.minimum(sizes[row] - nth * longest, longest), values)
 
 
-def _pack(own: Pieces, limits: Capacity, first_id: int, filled: float) -> pa.RecordBatch:
+def _pack(own: Pieces, limits: Capacity, first_id: int, filled: float) -> Iterator[pa.RecordBatch]:
     """Sequences of a block of pieces, named from ``first_id`` on; those filled less than ``filled`` are to be packed again."""
-    own = own.take(np.argsort(-own.length, kind="stable"))
-    bins = best_fit(own.length, limits)
+    falling = np.argsort(-own.length, kind="stable")
+    bins = best_fit(own.length[falling], limits)
     order = np.argsort(bins, kind="stable")
-    own, bins = own.take(order), bins[order]
+    bins, order = bins[order], falling[order]
     heads = np.r_[np.flatnonzero(np.diff(bins, prepend=-1)), len(bins)]
+    for at in range(0, len(heads) - 1, SEQUENCES_A_BATCH):
+        part = heads[at : at + SEQUENCES_A_BATCH + 1]
+        yield _sequences(own.take(order[part[0] : part[-1]]), part - part[0], limits, first_id + at, filled)
+
+
+def _sequences(own: Pieces, heads: np.ndarray, limits: Capacity, first_id: int, filled: float) -> pa.RecordBatch:
+    """Rows of sequences; ``heads``: where each one's pieces begin, and the end."""
     before = np.r_[0, np.cumsum(own.length)]
     offset = before[:-1] - np.repeat(before[heads[:-1]], np.diff(heads))
     columns = [own.doc_id, pa.array(own.piece, pa.int32()), pa.array(own.start, pa.int64()), pa.array(offset, pa.int64()), pa.array(own.length, pa.int32())]
@@ -218,8 +223,7 @@ def _pack(own: Pieces, limits: Capacity, first_id: int, filled: float) -> pa.Rec
     names = pa.array(first_id + np.arange(len(heads) - 1), pa.int64())
     cost = np.diff(np.r_[0, np.cumsum(own.length.astype(np.int64) ** 2)][heads])
     use = np.maximum.reduce([np.diff(before[heads]) / limits.tokens, np.diff(heads) / limits.pieces, cost / limits.attention])  # of the scarcest capacity
-    again = pa.array(use < filled)
-    return pa.RecordBatch.from_arrays([names, ids, pieces, again], ["sequence_id", "ids", "pieces", "again"])
+    return pa.RecordBatch.from_arrays([names, ids, pieces, pa.array(use < filled)], ["sequence_id", "ids", "pieces", "again"])
 
 
 #: A worker's encoders, kept between the tasks that it runs; each holds CACHE_BYTES at most.
@@ -238,11 +242,12 @@ def _pack_partition(path: str, end_id: int, longest: int, limits: Capacity, most
                 count += len(waiting[-1].length)
                 while count >= most:
                     whole = Pieces.join(waiting)
-                    out = _pack(whole.take(np.arange(most)), limits, (task.partitionId() << 32) + made, FILLED)
-                    waiting, count, made = [whole.take(np.arange(most, count))], count - most, made + len(out)
-                    yield out
+                    block, waiting, count = whole.take(np.arange(most)), [whole.take(np.arange(most, count))], count - most
+                    del whole
+                    yield from _pack(block, limits, (task.partitionId() << 32) + made, FILLED)
+                    made += most  # more names than a block has sequences
         if count:
-            yield _pack(Pieces.join(waiting), limits, (task.partitionId() << 32) + made, FILLED)
+            yield from _pack(Pieces.join(waiting), limits, (task.partitionId() << 32) + made, FILLED)
 
     return run
 
@@ -252,7 +257,7 @@ def _pack_group(limits: Capacity):
         group = group.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("sequence_id", "ascending")])
         flat = group["ids"].combine_chunks().flatten().to_numpy()
         own = Pieces(group["doc_id"].combine_chunks(), *(group[c].to_numpy() for c in ("piece", "start", "length")), flat)
-        return pa.Table.from_batches([_pack(own, limits, (1 << 62) + (group["block"][0].as_py() << 24), 0)])
+        return pa.Table.from_batches(_pack(own, limits, (1 << 62) + (group["block"][0].as_py() << 24), 0))
 
     return run
 
