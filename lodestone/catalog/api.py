@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.catalog.base import query
 from lodestone.catalog.graphs import FLOWS
 from lodestone.catalog.relational import DIM
-from lodestone.catalog.search import LEAST, TRIPLETS, with_vectors
+from lodestone.catalog.search import LEAST, SHOWN, TRIPLETS, hybrid_sql, indexes, with_vectors
 from lodestone.plans.api import KnowledgeEngine
 from lodestone.sources.graph import TestGraph as G
 
@@ -16,12 +16,12 @@ NAMES = ("repos", "entities", "relationships", "cross_repo_relationships", "deci
 
 
 def engine(g: G) -> KnowledgeEngine:
-    return KnowledgeEngine({**{n: g.table(n) for n in NAMES}, "facts": with_vectors(g)}, embed=lambda _: g.query_vector)
+    return KnowledgeEngine({**{n: g.table(n) for n in NAMES}, "facts": with_vectors(g)}, embed=lambda _: g.query_vector, indexes=indexes(g))
 
 
-@query("q01_search_facts")
+@query("q01_search_facts", hybrid_sql(f"SELECT {SHOWN} FROM best", limit=20))
 def _(g: G) -> DataFrame:
-    return engine(g).search("que la", least=LEAST)
+    return engine(g).search("que la", least=LEAST).withColumn("score", F.round("score", 6))
 
 
 @query("q01_search_graph", TRIPLETS)

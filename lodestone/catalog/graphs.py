@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.catalog.base import query
+from lodestone.functions import scoring
+from lodestone.operators import communities as C
 from lodestone.operators import graph as O
 from lodestone.sources.graph import TestGraph as G
 
@@ -84,11 +86,51 @@ def _(g: G) -> DataFrame:
     return O.weighted(g.relationships)
 
 
-@query("gr8_louvain")
-def _(g: G) -> DataFrame:
-    small = O.filter_edges(g.relationships, ["owns", "depends_on"]).select("repo_id", "from_entity_id", "to_entity_id", "kind")
-    pairs = small.select("repo_id", F.least("from_entity_id", "to_entity_id").alias("a"), F.greatest("from_entity_id", "to_entity_id").alias("b"), F.when(F.col("kind") == "owns", 1.5).otherwise(2.0).alias("weight"))
-    return O.louvain(pairs.groupBy("repo_id", "a", "b").agg(F.sum("weight").alias("weight")))
+def community_sql(rounds: int = C.ROUNDS, levels: int = C.LEVELS) -> str:
+    """The rounds of ``operators.communities``, one after the other, from ``g0`` (repo_id, a, b, weight) to ``found`` (repo_id, node, community); rounds that move nothing change nothing."""
+    out = ["e0 AS MATERIALIZED (SELECT repo_id, a AS src, b AS dst, weight AS w FROM g0 UNION ALL SELECT repo_id, b, a, weight FROM g0)", "l0 AS (SELECT NULL::VARCHAR AS repo_id, NULL::VARCHAR AS node, 0.0::DOUBLE AS loop WHERE false)"]
+    member = None
+
+    def moves(v: str, edges: str) -> None:
+        """From the communities of s{v}_0 to those of s{v}_{rounds}."""
+        for r in range(rounds):
+            half = f"({'' if r % 2 else 'NOT '}substr(md5(node), {1 + r // 2 % 32}, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f'))"
+            out.append(f"p{v}_{r} AS MATERIALIZED (SELECT *, sum(k) OVER w AS tot, count(*) OVER w AS n FROM s{v}_{r} WINDOW w AS (PARTITION BY repo_id, community))")
+            out.append(f"""o{v}_{r} AS MATERIALIZED (SELECT repo_id, node, k, m2, community, n, own, round(2 * w / m2 - 2 * k * (tot - CASE WHEN own = 1 THEN k ELSE 0 END) / (m2 * m2), 12) AS gain FROM
+                (SELECT repo_id, node, any_value(k) AS k, any_value(m2) AS m2, community, sum(w) AS w, max(tot) AS tot, max(n) AS n, max(own) AS own FROM
+                 (SELECT e.repo_id, e.src AS node, x.k, x.m2, y.community, y.tot, y.n, e.w, 0 AS own FROM {edges} e JOIN p{v}_{r} x ON x.repo_id = e.repo_id AND x.node = e.src JOIN p{v}_{r} y ON y.repo_id = e.repo_id AND y.node = e.dst
+                  UNION ALL SELECT repo_id, node, k, m2, community, tot, n, 0, 1 FROM p{v}_{r}) GROUP BY repo_id, node, community))""")
+            out.append(f"""s{v}_{r + 1} AS MATERIALIZED (SELECT repo_id, node, CASE WHEN best.gain - mine.gain > {C.MIN_GAIN} AND {half} AND NOT (best.n = 1 AND mine.n = 1 AND best.community > mine.community) THEN best.community ELSE mine.community END AS community, k, m2 FROM
+                (SELECT repo_id, node, any_value(k) AS k, any_value(m2) AS m2, arg_min({{'gain': gain, 'community': community, 'n': n}}, {{'loss': -gain, 'community': community}}) AS best,
+                 any_value({{'gain': gain, 'community': community, 'n': n}}) FILTER (own = 1) AS mine FROM o{v}_{r} GROUP BY repo_id, node))""")
+
+    for v in range(levels):
+        out.append(f"""n{v} AS MATERIALIZED (SELECT repo_id, node, k, loop, sum(k) OVER (PARTITION BY repo_id) AS m2 FROM (SELECT repo_id, node, sum(w) + 2 * sum(loop) AS k, sum(loop) AS loop
+            FROM (SELECT repo_id, src AS node, w, 0.0::DOUBLE AS loop FROM e{v} UNION ALL SELECT repo_id, node, 0, loop FROM l{v}) GROUP BY repo_id, node))""")
+        out.append(f"s{v}_0 AS MATERIALIZED (SELECT repo_id, node, node AS community, k, m2 FROM n{v})")
+        moves(str(v), f"e{v}")
+        out.append(f"m{v} AS MATERIALIZED (SELECT repo_id, node, community FROM s{v}_{rounds})" if member is None else f"m{v} AS MATERIALIZED (SELECT m.repo_id, m.node, s.community FROM {member} m JOIN s{v}_{rounds} s ON s.repo_id = m.repo_id AND s.node = m.community)")
+        member = f"m{v}"
+        out.append(f"c{v} AS MATERIALIZED (SELECT e.repo_id, x.community AS a, y.community AS b, sum(w) AS w FROM e{v} e JOIN s{v}_{rounds} x ON x.repo_id = e.repo_id AND x.node = e.src JOIN s{v}_{rounds} y ON y.repo_id = e.repo_id AND y.node = e.dst GROUP BY ALL)")
+        out.append(f"e{v + 1} AS MATERIALIZED (SELECT repo_id, a AS src, b AS dst, w FROM c{v} WHERE a <> b)")
+        out.append(f"l{v + 1} AS MATERIALIZED (SELECT repo_id, node, sum(loop) AS loop FROM (SELECT repo_id, a AS node, w / 2 AS loop FROM c{v} WHERE a = b UNION ALL SELECT n.repo_id, s.community, loop FROM n{v} n JOIN s{v}_{rounds} s ON s.repo_id = n.repo_id AND s.node = n.node WHERE loop > 0) GROUP BY repo_id, node)")
+    out.append(f"sx_0 AS MATERIALIZED (SELECT n.repo_id, n.node, m.community, k, m2 FROM n0 n JOIN {member} m ON m.repo_id = n.repo_id AND m.node = n.node)")
+    moves("x", "e0")
+    out.append(f"found AS MATERIALIZED (SELECT repo_id, node, min(node) OVER (PARTITION BY repo_id, community) AS community FROM sx_{rounds})")
+    return ",\n".join(out)
+
+
+WEIGHT = "CASE kind WHEN 'calls' THEN 3.0::DOUBLE WHEN 'implements' THEN 2.5::DOUBLE WHEN 'depends_on' THEN 2.0::DOUBLE WHEN 'owns' THEN 1.5::DOUBLE WHEN 'imports' THEN 1.0::DOUBLE ELSE 0 END"
+WHOLE = f"g0 AS MATERIALIZED (SELECT repo_id, least(from_entity_id, to_entity_id) AS a, greatest(from_entity_id, to_entity_id) AS b, sum({WEIGHT}) AS weight FROM relationships WHERE from_entity_id <> to_entity_id GROUP BY ALL HAVING sum({WEIGHT}) > 0)"
+#: Without modules that have no path.
+CLUSTERED = WHOLE.replace("WHERE from_entity_id <> to_entity_id", "WHERE from_entity_id <> to_entity_id AND from_entity_id IN (SELECT id FROM own) AND to_entity_id IN (SELECT id FROM own)").replace("g0 AS", "own AS (SELECT id FROM entities WHERE kind <> 'cluster' AND NOT (kind = 'module' AND path IS NULL)), g0 AS", 1)
+
+
+@query("gr8_louvain", f"WITH {WHOLE}, {community_sql()} SELECT repo_id, node, community FROM found")
+def _(g: G) -> DataFrame:
+    ends = [f("from_entity_id", "to_entity_id") for f in (F.least, F.greatest)]
+    pairs = g.relationships.select("repo_id", ends[0].alias("a"), ends[1].alias("b"), scoring.by_value(F.col("kind"), scoring.GRAPH_WEIGHT, 0.0).alias("weight"))
+    return C.communities(pairs.where("a <> b and weight > 0").groupBy("repo_id", "a", "b").agg(F.sum("weight").alias("weight")))
 
 
 @query("gr9_modularity", f"""
@@ -142,11 +184,26 @@ def _(g: G) -> DataFrame:
     return g.repos.join(out, "id", "left_semi").select("name").distinct()
 
 
-@query("gr10_clusters")
+NOISE = ", ".join(f"'{w}'" for w in O.NOISE)
+CLUSTERS = rf"""WITH {CLUSTERED}, {community_sql()},
+    z AS (SELECT repo_id, community, count(*) AS members FROM found GROUP BY ALL HAVING count(*) >= 3),
+    i AS (SELECT x.repo_id, x.community, count(*) AS inside FROM g0 p JOIN found x ON p.repo_id = x.repo_id AND p.a = x.node JOIN found y ON p.repo_id = y.repo_id AND p.b = y.node WHERE x.community = y.community GROUP BY ALL),
+    t AS (SELECT f.repo_id, f.community, unnest(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(name, '([a-z])([A-Z])', '\1 \2', 'g'), '(.)([A-Z][a-z])', '\1 \2', 'g')), '[ _\-.:/]+'), lambda x: length(x) > 1 AND x NOT IN ({NOISE}))) AS word FROM found f JOIN entities e ON e.id = f.node),
+    q AS (SELECT *, row_number() OVER (PARTITION BY repo_id, community ORDER BY n DESC, word) AS k FROM (SELECT repo_id, community, word, count(*) AS n FROM t GROUP BY ALL)),
+    b AS (SELECT repo_id, community, list(word ORDER BY k) AS words FROM q WHERE k <= 3 GROUP BY ALL),
+    named AS (SELECT z.repo_id, z.community, members, coalesce(inside, 0) / (members * (members - 1) / 2) AS cohesion, coalesce(array_to_string(words, '-'), 'misc') AS name, coalesce('Cluster related to ' || array_to_string(words, ', '), 'Miscellaneous cluster') AS said, coalesce(words[1], 'other') AS domain
+        FROM z LEFT JOIN i USING (repo_id, community) LEFT JOIN b USING (repo_id, community))"""
+
+
+@query("gr10_clusters", f"""{CLUSTERS} SELECT repo_id, name, 'cluster::' || name AS qualified_name, sum(members)::BIGINT AS members, any_value(domain) AS domain,
+    arg_min(said || CASE WHEN cohesion > 0 THEN printf(' (cohesion=%.2f)', cohesion) ELSE '' END, {{'m': -members, 'c': community}}) AS summary FROM named GROUP BY repo_id, name""")
+def _(g: G) -> DataFrame:
+    return C.clusters(g.entities, g.relationships)[0].select("repo_id", "name", "qualified_name", "members", F.get("capabilities", F.lit(0)).alias("domain"), "summary")
+
+
+@query("gr10_member_of", f"{CLUSTERS} SELECT f.repo_id, f.node AS from_entity_id, 'cluster::' || name AS qualified_name, 'member_of' AS kind, 0.9::DOUBLE AS confidence FROM found f JOIN named n ON n.repo_id = f.repo_id AND n.community = f.community")
 def _(g: G) -> DataFrame:
-    owned = O.filter_edges(g.relationships, ["owns"])
-    found = O.louvain(O.weighted(owned).join(owned.select(F.least("from_entity_id", "to_entity_id").alias("a"), F.greatest("from_entity_id", "to_entity_id").alias("b"), "repo_id").distinct(), ["a", "b"])).drop("repo_id")
-    return O.cohesion(O.weighted(owned), found).where("members >= 3").join(O.labels_of(found, g.entities), "community")
+    return C.clusters(g.entities, g.relationships)[1].drop("strength")
 
 
 @query("gr13_entity_graph", f"WITH {U}, n AS (SELECT 's3' AS node UNION SELECT b FROM u WHERE a = 's3') SELECT DISTINCT id, kind FROM relationships WHERE from_entity_id IN (SELECT node FROM n) AND to_entity_id IN (SELECT node FROM n)")

@@ -8,6 +8,7 @@ and alternative terms (quoted terms are phrases), which become array predicates.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -115,7 +116,7 @@ def may_match(raw: Column, query: str) -> Column:
 
 def _terms(query: str) -> Column:
     words = dict.fromkeys(w for c in parse_query(query) if not c.excluded for p in c.phrases for w in p)
-    return F.array(*[stem(F.lit(w)) for w in words]) if words else F.array().cast("array<string>")
+    return F.array_distinct(F.array(*[stem(F.lit(w)) for w in words])) if words else F.array().cast("array<string>")
 
 
 def rank_frequency(lex: Column, query: str) -> Column:
@@ -128,8 +129,13 @@ def rank_frequency(lex: Column, query: str) -> Column:
 def rank_cover(lex: Column, query: str) -> Column:
     """Cover density: the number of the query's terms over the length of each shortest stretch that holds them all."""
     wanted = _terms(query)
-    n = F.size(wanted)
     hits = F.filter(F.transform(lex, lambda x, i: F.struct(i.alias("at"), F.array_position(wanted, x).cast("int").alias("term"))), lambda h: h["term"] > 0)
+    return _cover(hits, wanted)
+
+
+def _cover(hits: Column, wanted: Column) -> Column:
+    """Cover density from the places of terms (at, and the term's number from 1), in order of place."""
+    n = F.size(wanted)
     start = F.struct(F.transform(wanted, lambda _: F.lit(-1)).alias("last"), F.lit(0.0).alias("sum"), F.lit(-1).alias("from"))
 
     def step(s: Column, h: Column) -> Column:
@@ -142,6 +148,46 @@ def rank_cover(lex: Column, query: str) -> Column:
     return F.aggregate(hits, start, step, lambda s: s["sum"])
 
 
+# The same from stored places of terms instead of lexemes: word -> array of places, null where a text lacks it.
+
+
+def has_phrase_at(places: list[Column]) -> Column:
+    """Whether the terms of a phrase stand one after the other."""
+    if len(places) == 1:
+        return places[0].isNotNull()
+    starts = places[0]
+    for k, p in enumerate(places[1:], 1):
+        starts = F.array_intersect(starts, F.transform(p, _less(k)))
+    return F.coalesce(F.size(starts) > 0, F.lit(False))
+
+
+def _less(k: int) -> Callable[[Column], Column]:
+    return lambda x: x - k
+
+
+def _by_stem(places: dict[str, Column]) -> tuple[Column, Column]:
+    """The distinct stems of the words, and an array of the places of each."""
+    stems = F.array(*[stem(F.lit(w)) for w in places])
+    each = F.array(*[F.coalesce(p, F.array().cast("array<int>")) for p in places.values()])
+    first = F.filter(F.transform(stems, lambda s, i: F.struct((F.array_position(stems, s) == i + 1).alias("own"), F.get(each, i).alias("at"))), lambda x: x["own"])
+    return F.array_distinct(stems), F.transform(first, lambda x: x["at"])
+
+
+def rank_frequency_at(places: dict[str, Column]) -> Column:
+    if not places:
+        return F.lit(0.0)
+    stems, at = _by_stem(places)
+    return F.aggregate(F.transform(at, lambda p: 1 - 1 / (1 + F.size(p))), F.lit(0.0), lambda a, x: a + x) / F.size(stems)
+
+
+def rank_cover_at(places: dict[str, Column]) -> Column:
+    if not places:
+        return F.lit(0.0)
+    stems, at = _by_stem(places)
+    hits = F.flatten(F.transform(at, lambda p, i: F.transform(p, lambda x: F.struct(x.alias("at"), (i + 1).alias("term")))))
+    return _cover(F.array_sort(hits), stems)
+
+
 def candidate_tokens(question: str) -> list[str]:
     """Words of a question that look like identifiers: camel case, underscores, or over six bytes; in order, repeats included."""
     words = (w.strip("'\"()") for w in re.split(r"[\s,?!.;:]+", question))

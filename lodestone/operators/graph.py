@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,66 +155,8 @@ def modularity(pairs: DataFrame, communities: DataFrame) -> DataFrame:
     return q.crossJoin(F.broadcast(adjacent))
 
 
-def louvain_of(pairs: list[tuple[str, str, float]], max_passes: int = 10, min_gain: float = 1e-6) -> dict[str, str]:
-    """Communities of one graph, named by their least node.  Nodes move in order of name; ties go to the least community."""
-    nodes = sorted({n for a, b, _ in pairs for n in (a, b)})
-    member = {n: n for n in nodes}
-    near: dict[str, dict[str, float]] = {n: {} for n in nodes}
-    for a, b, w in pairs:
-        near[a][b] = near[a].get(b, 0.0) + w
-        if a != b:
-            near[b][a] = near[b].get(a, 0.0) + w
-    m2 = sum(w for x in near.values() for w in x.values()) + sum(x.get(n, 0.0) for n, x in near.items())
-    for _ in range(max_passes):
-        degree = {n: sum(x.values()) + x.get(n, 0.0) for n, x in near.items()}  # a loop counts twice
-        home, total = {n: n for n in near}, dict(degree)
-        moved_any, gained = False, True
-        while gained:
-            gained = False
-            for n in sorted(near):
-                total[home[n]] -= degree[n]
-                to: dict[str, float] = {home[n]: 0.0}
-                for other, w in near[n].items():
-                    if other != n:
-                        to[home[other]] = to.get(home[other], 0.0) + w
-                gain = {c: 2 * w / m2 - 2 * degree[n] * total[c] / m2**2 for c, w in to.items()}
-                best = min(gain, key=lambda c: (-round(gain[c], 12), c))
-                if gain[best] - gain[home[n]] > min_gain:
-                    home[n], gained, moved_any = best, True, True
-                total[home[n]] += degree[n]
-        if not moved_any:
-            break
-        least: dict[str, str] = {}
-        for n in sorted(near):
-            least.setdefault(home[n], n)
-        member = {n: least[home[c]] for n, c in member.items()}
-        merged: dict[str, dict[str, float]] = {c: {} for c in least.values()}
-        for a, x in near.items():
-            for b, w in x.items():
-                if a <= b:
-                    ca, cb = sorted((least[home[a]], least[home[b]]))
-                    merged[ca][cb] = merged[ca].get(cb, 0.0) + w
-                    if ca != cb:
-                        merged[cb][ca] = merged[ca][cb]
-        near = merged
-    names_: dict[str, str] = {}
-    for n in nodes:
-        names_.setdefault(member[n], n)
-    return {n: names_[c] for n, c in member.items()}
-
-
-def louvain(pairs: DataFrame) -> DataFrame:
-    """(repo_id, a, b, weight) -> (repo_id, node, community).  A task holds one repository's graph, as its store does."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = louvain_of(list(zip(group["a"], group["b"], group["weight"], strict=True)))
-        return pd.DataFrame({"repo_id": group["repo_id"].iloc[0], "node": list(found), "community": list(found.values())})
-
-    return pairs.groupBy("repo_id").applyInPandas(run, "repo_id string, node string, community string")
-
-
 def label_propagation(pairs: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, community) for graphs too large for one task: each node takes its neighbours' heaviest label, ties the least."""
+    """(node, community), a cheaper way than ``communities``: each node takes its neighbours' heaviest label, ties the least."""
     both = materialize(pairs.select("a", "b", "weight").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
     for _ in range(rounds):
@@ -240,16 +181,20 @@ NOISE = (
 )
 
 
-def labels_of(communities: DataFrame, entities: DataFrame, words: int = 3, noise: Sequence[str] = NOISE) -> DataFrame:
-    """(community, label): the most frequent words of its members' names, ``misc`` if there are none."""
+def top_words(communities: DataFrame, entities: DataFrame, words: int = 3, noise: Sequence[str] = NOISE) -> DataFrame:
+    """(community, words): the most frequent words of its members' names, ties in order of the alphabet; no row if there are none."""
     named = communities.join(entities.select(F.col("id").alias("node"), "name"), "node")
-    each = named.select("community", F.explode_outer(names.name_tokens(F.col("name"))).alias("word"))
-    each = each.where(F.col("word").isNull() | (~F.col("word").isin(*noise) & (F.length("word") > 1)))
-    n = each.groupBy("community", "word").agg(F.count("word").alias("n"))
+    each = named.select("community", F.explode(names.name_tokens(F.col("name"))).alias("word"))
+    n = each.where(~F.col("word").isin(*noise) & (F.length("word") > 1)).groupBy("community", "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("n"), "word"))
-    top = n.where("n > 0").withColumn("_n", rank).where(F.col("_n") <= words)
-    joined = top.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "word"))), lambda x: x["word"]), "-").alias("label"))
-    return communities.select("community").distinct().join(joined, "community", "left").select("community", F.coalesce("label", F.lit("misc")).alias("label"))
+    top = n.withColumn("_n", rank).where(F.col("_n") <= words)
+    return top.groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "word"))), lambda x: x["word"]).alias("words"))
+
+
+def labels_of(communities: DataFrame, entities: DataFrame, words: int = 3, noise: Sequence[str] = NOISE) -> DataFrame:
+    """(community, label): the most frequent words of its members' names, ``misc`` if there are none."""
+    found = top_words(communities, entities, words, noise).select("community", F.array_join("words", "-").alias("label"))
+    return communities.select("community").distinct().join(found, "community", "left").select("community", F.coalesce("label", F.lit("misc")).alias("label"))
 
 
 def repo_graph(entities: DataFrame, relationships: DataFrame, cross_repo: DataFrame, repo_ids: Sequence[str], entity_kinds: Sequence[str] = (), edge_kinds: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:

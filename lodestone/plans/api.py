@@ -27,6 +27,7 @@ class KnowledgeEngine:
     tables: dict[str, DataFrame]
     embed: Callable[[str], Sequence[float]] | None = None
     decompose: Callable[[str], list[str]] | None = None
+    indexes: S.Indexes | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -40,7 +41,7 @@ class KnowledgeEngine:
         if mode == "graph":
             return S.triplet_search(self.tables, self.embed(question), repo_ids, limit=n)
         parts = (self.decompose(question) if self.decompose else [])[:4] or [question]
-        return S.hybrid_search(self.tables, question, [S.SubQuery(p, self.embed(p)) for p in parts], repo_ids, n, least)
+        return S.hybrid_search(self.tables, question, [S.SubQuery(p, self.embed(p)) for p in parts], repo_ids, n, least, indexes=self.indexes)
 
     def list_repos(self) -> DataFrame:
         return self.repos.orderBy("name", "id")
@@ -110,13 +111,14 @@ class KnowledgeEngine:
         found = found.where(F.exists("steps", lambda s: s["node"] == through)) if through else found
         return found.orderBy(F.desc("depth"), "seed").limit(clamp(limit, 20, 50))
 
-    def clusters(self, least: int = 3) -> DataFrame:
-        """(repo_id, community, members, cohesion, label) of communities with at least ``least`` members."""
-        typed = self.relationships.where(F.col("kind").isin(*["calls", "implements", "depends_on", "owns", "imports"]))
-        whole = O.weighted(typed)
-        repo = typed.select(F.least("from_entity_id", "to_entity_id").alias("a"), F.greatest("from_entity_id", "to_entity_id").alias("b"), "repo_id").distinct()
-        found = O.louvain(whole.join(repo, ["a", "b"])).drop("repo_id")
-        return O.cohesion(whole, found).where(F.col("members") >= least).join(O.labels_of(found, self.entities), "community")
+    def functional_clusters(self, repo_id: str, limit: int | None = None, shown: int = 200) -> DataFrame:
+        """Label, description, member count and members (at most ``shown``) of a repository's stored clusters."""
+        own = self.entities.where((F.col("repo_id") == repo_id) & (F.col("kind") == "cluster")).orderBy("qualified_name", "id").limit(clamp(limit, 50, 200))
+        links = self.relationships.where("kind = 'member_of'").select(F.col("to_entity_id").alias("id"), F.col("from_entity_id").alias("member"))
+        members = R.first_n(links.join(own.select("id"), "id", "left_semi"), ["id"], ["member"], shown)
+        named = members.join(self.entities.select(F.col("id").alias("member"), "qualified_name", "kind", "path"), "member")
+        listed = named.groupBy("id").agg(F.count("*").alias("n_members"), F.array_sort(F.collect_list(F.struct("qualified_name", "kind", "path"))).alias("members"))
+        return own.select("id", F.col("name").alias("label"), F.col("summary").alias("description")).join(listed, "id", "left").fillna(0, ["n_members"])
 
     def search_entities(self, query: str, kind: str | None = None, repo_id: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
         return R.page(R.search_names(self.entities, query, kind, repo_id), ["qualified_name", "id"], clamp(limit, 20, 100), offset)

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 import weakref
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders to remove at exit, and where materialized frames are.
@@ -82,3 +83,24 @@ def release(df: DataFrame) -> None:
     """Delete the files of a frame that materialize() returned; nothing that is still to be computed may read it."""
     if path := _written.pop(id(df), None):
         remove(df.sparkSession, path)
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file, unless there is one: of several writers only one gets True."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop.getParent())
+    try:
+        files.create(hadoop, False).close()
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception):
+            return False
+        raise
+    return True
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder of any file system that Spark reads; none if there is no such folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(hadoop)] if files.exists(hadoop) else []

@@ -7,12 +7,16 @@ of the test graph, so an oracle can be stated over the same rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import cached_property
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.schemas import TABLES
+from lodestone.session import materialize
 
+T = TypeVar("T")
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 MAPPING = {
@@ -95,8 +99,14 @@ def as_ctes(*names: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({re.sub(r'[{}]', '', MAPPING[n])})" for n in order)
 
 
+#: Tables of the test graph that are joins and aggregates of the test tables: they are written once, as a store would hold them.
+STORED = ("entities", "relationships", "cross_repo_relationships")
+#: What has been written for an application and a folder of test tables.
+_kept: dict[tuple[str, str, str], object] = {}
+
+
 class TestGraph:
-    """The graph tables over one folder of test tables, as lazy DataFrames: ``graph.facts`` and so on."""
+    """The graph tables over one folder of test tables, as DataFrames: ``graph.facts`` and so on."""
 
     __test__ = False
 
@@ -110,9 +120,17 @@ class TestGraph:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             else:
                 sql = MAPPING[name]
-                self._made[name] = self.spark.sql(sql, **{n: self.table(n) for n in _named(sql)})
+                build = lambda: self.spark.sql(sql, **{n: self.table(n) for n in _named(sql)})
+                self._made[name] = self.once(name, lambda: materialize(build())) if name in STORED else build()
         return self._made[name]
 
+    def once(self, what: str, make: Callable[[], T]) -> T:
+        """What ``make`` writes, made once for an application and folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, what)
+        if key not in _kept:
+            _kept[key] = make()
+        return _kept[key]  # type: ignore[return-value]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in (*BASE_TABLES, *MAPPING):
             raise AttributeError(name)
