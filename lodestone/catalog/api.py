@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.catalog.base import query
-from lodestone.catalog.graphs import FLOWS
+from lodestone.catalog.graphs import FLOWS, flows_of
 from lodestone.catalog.relational import DIM
 from lodestone.catalog.search import LEAST, SHOWN, TRIPLETS, hybrid_sql, indexes, with_vectors
 from lodestone.plans.api import KnowledgeEngine
@@ -49,18 +49,35 @@ def _(g: G) -> DataFrame:
     return engine(g).service_contract("p7")[0].select("from_name", "kind")
 
 
-@query("q06_impact_direct", "SELECT id, CASE WHEN from_entity_id = 'p7' THEN 'depends_on' ELSE 'depended_by' END AS direction FROM (SELECT id, from_entity_id, to_entity_id, kind FROM relationships UNION ALL SELECT id, from_entity_id, to_entity_id, kind FROM cross_repo_relationships) WHERE kind = 'depends_on' AND (from_entity_id = 'p7' OR to_entity_id = 'p7')")
+#: Weak calls stand for tests: both directions of p7 have some.
+E06 = """WITH e AS (SELECT id, from_entity_id, to_entity_id, CASE WHEN kind = 'calls' AND strength = 'weak' THEN 'tested_by' ELSE kind END AS kind FROM (SELECT id, from_entity_id, to_entity_id, kind, strength FROM relationships UNION ALL SELECT id, from_entity_id, to_entity_id, kind, strength FROM cross_repo_relationships)),
+    k AS (SELECT * FROM e WHERE kind IN ('depends_on', 'tested_by')), u AS (SELECT from_entity_id AS a, to_entity_id AS b FROM k UNION SELECT to_entity_id, from_entity_id FROM k),
+    one AS (SELECT b AS node FROM u WHERE a = 'p7'), two AS (SELECT DISTINCT u.b AS node FROM one JOIN u ON u.a = one.node),
+    n AS (SELECT node, min(d) AS d FROM (SELECT 'p7' AS node, 0 AS d UNION ALL SELECT node, 1 FROM one UNION ALL SELECT node, 2 FROM two) GROUP BY node ORDER BY d, node LIMIT 50)"""
+
+
+def impact_of_p7(g: G) -> tuple[DataFrame, DataFrame, DataFrame]:
+    tested = F.when((F.col("kind") == "calls") & (F.col("strength") == "weak"), "tested_by").otherwise(F.col("kind"))
+    known = engine(g)
+    known.tables |= {n: g.table(n).withColumn("kind", tested) for n in ("relationships", "cross_repo_relationships")}
+    return known.impact("p7", 2, ["depends_on", "tested_by"])
+
+
+@query("q06_impact_direct", f"""{E06} SELECT id, CASE WHEN from_entity_id <> 'p7' THEN 'depended_by' WHEN kind = 'tested_by' THEN 'tested_by' ELSE 'depends_on' END AS direction
+    FROM k WHERE (from_entity_id = 'p7' OR to_entity_id = 'p7') AND from_entity_id IN (SELECT node FROM n) AND to_entity_id IN (SELECT node FROM n)""")
+def _(g: G) -> DataFrame:
+    return impact_of_p7(g)[0].select("id", "direction")
+
+
+@query("q06_impact_paths", f"""{E06}, i AS (SELECT from_entity_id AS a, to_entity_id AS b FROM k WHERE from_entity_id IN (SELECT node FROM n) AND to_entity_id IN (SELECT node FROM n)), v AS (SELECT a, b FROM i UNION SELECT b, a FROM i)
+    SELECT y.b AS node, 2 AS depth, min('p7>' || x.b || '>' || y.b) AS path FROM v x JOIN v y ON y.a = x.b WHERE x.a = 'p7' AND x.b <> 'p7' AND y.b <> 'p7' AND y.b NOT IN (SELECT b FROM v WHERE a = 'p7') GROUP BY y.b""")
 def _(g: G) -> DataFrame:
-    return engine(g).impact("p7", 2, ["depends_on"])[0].select("id", "direction")
+    return impact_of_p7(g)[1].select("node", "depth", F.array_join("path", ">").alias("path"))
 
 
-@query("q06_impact_repos", """
-    WITH e AS (SELECT from_entity_id AS a, to_entity_id AS b FROM relationships WHERE kind = 'depends_on' UNION SELECT from_entity_id, to_entity_id FROM cross_repo_relationships WHERE kind = 'depends_on'),
-    u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), one AS (SELECT b AS node FROM u WHERE a = 'p7'), two AS (SELECT u.b AS node FROM one JOIN u ON u.a = one.node),
-    n AS (SELECT node, min(d) AS d FROM (SELECT 'p7' AS node, 0 AS d UNION ALL SELECT node, 1 FROM one UNION ALL SELECT node, 2 FROM two) GROUP BY node ORDER BY d, node LIMIT 200)
-    SELECT id, name FROM repos WHERE id IN (SELECT repo_id FROM entities WHERE id IN (SELECT node FROM n)) AND id <> (SELECT repo_id FROM entities WHERE id = 'p7')""")
+@query("q06_impact_repos", f"{E06} SELECT id, name FROM repos WHERE id IN (SELECT repo_id FROM entities WHERE id IN (SELECT node FROM n)) AND id <> (SELECT repo_id FROM entities WHERE id = 'p7')")
 def _(g: G) -> DataFrame:
-    return engine(g).impact("p7", 2, ["depends_on"])[2]
+    return impact_of_p7(g)[2]
 
 
 @query("q07_decisions", "SELECT d.id FROM decisions d JOIN decision_entities l ON d.id = l.decision_id WHERE l.entity_id = 'p9' ORDER BY d.created_at DESC, d.id LIMIT 50")
@@ -78,7 +95,7 @@ def _(g: G) -> DataFrame:
 
 @query("q09_execution_flows", FLOWS.replace("SELECT seed, label, depth, n_steps FROM r WHERE k = 1 ORDER BY place DESC, seed LIMIT 200", "SELECT seed, label, depth FROM (SELECT * FROM r WHERE k = 1 ORDER BY place DESC, seed LIMIT 200) ORDER BY depth DESC, seed LIMIT 20"))
 def _(g: G) -> DataFrame:
-    return engine(g).execution_flows().select("seed", "label", "depth")
+    return KnowledgeEngine({}, flows=flows_of(g)).execution_flows().select("seed", "label", "depth")
 
 
 @query("q12_search_entities", "SELECT id FROM entities WHERE kind = 'service' AND (contains(lower(name), 'supplier1') OR contains(lower(qualified_name), 'supplier1')) ORDER BY qualified_name, id LIMIT 20")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from lodestone.catalog.base import query
 from lodestone.functions import scoring
+from lodestone.indexes.flows import FlowIndex
 from lodestone.operators import communities as C
 from lodestone.operators import graph as O
+from lodestone.session import materialize, scratch
 from lodestone.sources.graph import TestGraph as G
 
 U = "u AS (SELECT from_entity_id AS a, to_entity_id AS b FROM relationships UNION SELECT to_entity_id, from_entity_id FROM relationships)"
@@ -39,6 +41,13 @@ def _(g: G) -> DataFrame:
     return O.traverse(g.relationships, seeds(g, "n1", "n2", "s3"), 2, 50).select("seed", "node", "depth")
 
 
+@query("gr2_all_services", f"WITH {U}, s AS (SELECT id AS seed FROM entities WHERE kind = 'service'), h AS (SELECT seed, seed AS node, 0 AS d FROM s UNION ALL SELECT seed, u.b, 1 FROM s JOIN u ON u.a = seed UNION ALL SELECT s.seed, y.b, 2 FROM s JOIN u x ON x.a = s.seed JOIN u y ON y.a = x.b), m AS (SELECT seed, node, min(d) AS depth FROM h GROUP BY seed, node) SELECT seed, node, depth FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS k FROM m) WHERE k <= 50")
+def _(g: G) -> DataFrame:
+    """What triplet search does with its seeds, for all services at once."""
+    services = g.entities.where("kind = 'service'").select(F.col("id").alias("seed"))
+    return O.traverse(g.relationships, services, 2, 50).select("seed", "node", "depth")
+
+
 @query("gr3_strongest_neighbours", "WITH b AS (SELECT from_entity_id AS seed, to_entity_id AS node, strength FROM relationships UNION ALL SELECT to_entity_id, from_entity_id, strength FROM relationships) SELECT node, CASE max(CASE strength WHEN 'strong' THEN 3 WHEN 'moderate' THEN 2 ELSE 1 END) WHEN 3 THEN 'strong' WHEN 2 THEN 'moderate' ELSE 'weak' END AS strength FROM b WHERE seed = 'p7' AND node <> seed GROUP BY node")
 def _(g: G) -> DataFrame:
     return O.strongest_neighbours(g.relationships, seeds(g, "p7")).select("node", "strength")
@@ -73,9 +82,34 @@ FLOWS = f"""
     SELECT seed, label, depth, n_steps FROM r WHERE k = 1 ORDER BY place DESC, seed LIMIT 200"""
 
 
+def flows_of(g: G) -> FlowIndex:
+    """The stored flows of the graph."""
+
+    def make() -> FlowIndex:
+        index = FlowIndex(g.spark, scratch(g.spark, "flows"))
+        index.build(g.entities, g.relationships)
+        return index
+
+    return g.once("flows", make)
+
+
 @query("gr6_flows", FLOWS)
 def _(g: G) -> DataFrame:
-    return O.flows(g.entities, g.relationships).select("seed", "label", "depth", "n_steps")
+    return flows_of(g).flows().select("seed", "label", "depth", "n_steps")
+
+
+@query("gr6_flows_refreshed", FLOWS)
+def _(g: G) -> DataFrame:
+    """Flows of the graph without its weak edges, then brought up to the whole graph."""
+    index = FlowIndex(g.spark, scratch(g.spark, "flows"))
+    index.build(g.entities, g.relationships.where("strength <> 'weak'"))
+    index.refresh(g.entities, g.relationships, g.relationships.where("strength = 'weak' and kind = 'calls'").select("from_entity_id"))
+    return index.flows().select("seed", "label", "depth", "n_steps")
+
+
+@query("flt7_flows_through", FLOWS.replace("SELECT seed, label, depth, n_steps FROM r WHERE k = 1", "SELECT seed, label FROM (SELECT * FROM r WHERE k = 1").replace("LIMIT 200", "LIMIT 200) WHERE seed IN (SELECT seed FROM m WHERE node = 's3')"))
+def _(g: G) -> DataFrame:
+    return flows_of(g).flows("s3").select("seed", "label")
 
 
 PAIRS = "p AS (SELECT least(from_entity_id, to_entity_id) AS a, greatest(from_entity_id, to_entity_id) AS b, sum(CASE kind WHEN 'calls' THEN 3.0 WHEN 'depends_on' THEN 2.0 WHEN 'owns' THEN 1.5 ELSE 0 END)::DOUBLE AS weight FROM relationships WHERE from_entity_id <> to_entity_id GROUP BY 1, 2)"
@@ -206,9 +240,17 @@ def _(g: G) -> DataFrame:
     return C.clusters(g.entities, g.relationships)[1].drop("strength")
 
 
-@query("gr13_entity_graph", f"WITH {U}, n AS (SELECT 's3' AS node UNION SELECT b FROM u WHERE a = 's3') SELECT DISTINCT id, kind FROM relationships WHERE from_entity_id IN (SELECT node FROM n) AND to_entity_id IN (SELECT node FROM n)")
+def within(hops: int) -> str:
+    """Nodes within so many steps of s3."""
+    return f"{U}, h0 AS (SELECT 's3' AS node), " + ", ".join(f"h{i} AS (SELECT node FROM h{i - 1} UNION SELECT u.b FROM u JOIN h{i - 1} ON u.a = h{i - 1}.node)" for i in range(1, hops + 1))
+
+
+@query("gr13_entity_graph", " UNION ALL ".join(f"SELECT * FROM (WITH {within(d)} SELECT DISTINCT {d} AS hops, id, kind FROM relationships WHERE from_entity_id IN (SELECT node FROM h{d}) AND to_entity_id IN (SELECT node FROM h{d}))" for d in (1, 2, 3)))
 def _(g: G) -> DataFrame:
-    return O.subgraph(g.relationships, O.traverse(g.relationships, seeds(g, "s3"), 1, None)).select("id", "kind")
+    """The graphs of one, two and three steps around an entity."""
+    found = materialize(O.traverse(g.relationships, seeds(g, "s3"), 3, None))
+    parts = [O.subgraph(g.relationships, found.where(F.col("depth") <= d)).select(F.lit(d).alias("hops"), "id", "kind") for d in (1, 2, 3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("set3_recursive_paths", "WITH RECURSIVE w AS (SELECT to_entity_id AS node, 1 AS depth FROM relationships WHERE from_entity_id = 'p40' AND kind = 'depends_on' UNION ALL SELECT r.to_entity_id, w.depth + 1 FROM w JOIN relationships r ON r.from_entity_id = w.node AND r.kind = 'depends_on' WHERE w.depth < 10) SELECT node, min(depth) AS depth FROM w GROUP BY node")

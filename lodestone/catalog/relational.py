@@ -121,11 +121,15 @@ def _(g: G) -> DataFrame:
     return R.hydrate(g.facts, g.entities, g.repos).select("id", "entity_name", "entity_kind", "repo_name")
 
 
-@query("join10_mentions", "SELECT d.id AS text_id, e.id AS entity_id FROM decisions d, entities e WHERE e.kind = 'module' AND contains(lower(d.summary || ' about ' || CASE WHEN d.nth % 3 = 0 THEN 'nation_' || CAST(d.nth % 25 AS STRING) || ' plan' ELSE '' END), lower(e.name))")
+ABOUT = "lower(d.summary || ' about ' || CASE d.nth % 4 WHEN 0 THEN 'nation_' || CAST(d.nth % 25 AS STRING) || ' plan' WHEN 1 THEN 'Supplier' || CAST(d.nth % 97 AS STRING) WHEN 2 THEN 'handleBUILDING' || CAST(d.nth % 211 AS STRING) ELSE '' END)"
+
+
+@query("join10_mentions", f"SELECT d.id AS text_id, e.id AS entity_id FROM decisions d, entities e WHERE contains({ABOUT}, lower(e.name))")
 def _(g: G) -> DataFrame:
-    about = F.when(F.col("nth") % 3 == 0, F.concat(F.lit("nation_"), (F.col("nth") % 25).cast("string"), F.lit(" plan"))).otherwise("")
+    number = lambda n: (F.col("nth") % n).cast("string")
+    about = F.when(F.col("nth") % 4 == 0, F.concat(F.lit("nation_"), number(25), F.lit(" plan"))).when(F.col("nth") % 4 == 1, F.concat(F.lit("Supplier"), number(97))).when(F.col("nth") % 4 == 2, F.concat(F.lit("handleBUILDING"), number(211))).otherwise("")
     texts = g.decisions.select(F.col("id").alias("text_id"), F.concat("summary", F.lit(" about "), about).alias("text"))
-    return R.mentions_of_names(texts, R.lookup(g.entities, kind="module"))
+    return R.mentions_of_names(texts, g.entities)
 
 
 @query("join11_match_repos", """
@@ -392,7 +396,7 @@ def _(g: G) -> DataFrame:
 
 
 @query("sr23_staleness", """
-    SELECT id AS repo_id, never OR old OR drift AS stale, concat_ws(',', CASE WHEN never THEN 'never_indexed' END, CASE WHEN old THEN 'index_age' END, CASE WHEN drift THEN 'commit_drift' END) AS reasons
+    SELECT id AS repo_id, never OR old OR drift AS stale, CASE WHEN never THEN 'never_indexed' ELSE concat_ws(',', CASE WHEN old THEN 'index_age' END, CASE WHEN drift THEN 'commit_drift' END) END AS reasons
     FROM (SELECT id, last_indexed_at IS NULL AS never, coalesce(last_indexed_at < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY, false) AS old,
                  coalesce(last_commit_sha IS NOT NULL AND id IN ('r1', 'r2'), false) AS drift FROM repos)""")
 def _(g: G) -> DataFrame:

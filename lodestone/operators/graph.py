@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -33,31 +34,43 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return there.unionByName(there.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def reach(steps: DataFrame, seeds: DataFrame, hops: int, cut_every: int = 3, cap: int | None = None) -> DataFrame:
+#: Seeds whose marks share a row.
+BITS = 62
+
+
+def reach(steps: DataFrame, seeds: DataFrame, hops: int, cap: int | None = None) -> DataFrame:
     """(seed, node, depth): nodes within ``hops`` steps of each seed, with the least depth.
 
-    Level by level: the frontier meets the steps on one key and loses what has been seen.  Lineage is cut every few levels,
-    where an empty frontier ends the walk; a long walk writes its steps once before.  With ``cap``, a level keeps the first
+    One frontier serves all seeds: a row holds a node and, as bits, up to BITS of the seeds that have just come to it.  A level
+    joins the frontier with the steps once, whatever the number of seeds, or-s the bits by node and takes off those seen before.
+    Steps are written once, the frontier after each level; an empty one ends the walk.  With ``cap``, a level keeps the first
     ``cap`` nodes of a seed by id: if it has more, what lies beyond is not among the nearest ``cap`` at any depth.
     """
-    seen = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct()
-    frontier = seen
-    if hops > cut_every:
-        steps = materialize(steps)
-    for level in range(1, hops + 1):
-        ahead = frontier.join(steps, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = ahead.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(level))
+    own = seeds.select("seed").distinct()
+    nth = F.row_number().over(Window.orderBy("seed")) - 1  # over a query's own seeds
+    numbered = materialize(own.select("seed", F.floor(nth / BITS).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (nth % BITS).cast("int")).alias("bits")))
+    frontier = numbered.groupBy(F.col("seed").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+    levels = [frontier.withColumn("depth", F.lit(0))]
+    steps = materialize(steps.select("src", "dst").distinct()) if hops > 1 else steps
+    for depth in range(1, hops + 1):
+        ahead = frontier.join(steps, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+        seen = functools.reduce(DataFrame.unionByName, [x.drop("depth") for x in levels]).groupBy("node", "word").agg(F.bit_or("bits").alias("_seen"))
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_seen", F.lit(0).cast("long"))))
+        frontier = ahead.join(seen, ["node", "word"], "left").select("node", "word", fresh.alias("bits")).where("bits <> 0")
         if cap is not None:
-            nth = F.row_number().over(Window.partitionBy("seed").orderBy("node"))
-            frontier = frontier.withColumn("_n", nth).where(F.col("_n") <= cap).drop("_n")
-        if level % cut_every == 0 and level < hops:
-            frontier = materialize(frontier)
-            if frontier.isEmpty():
-                return seen
-            seen = materialize(seen.unionByName(frontier))
-        else:
-            seen = seen.unionByName(frontier)
-    return seen
+            first = _unpacked(frontier).withColumn("_n", F.row_number().over(Window.partitionBy("word", "bits").orderBy("node"))).where(F.col("_n") <= cap)
+            frontier = first.groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+        frontier = materialize(frontier)
+        if frontier.isEmpty():
+            break
+        levels.append(frontier.withColumn("depth", F.lit(depth)))
+    return _unpacked(functools.reduce(DataFrame.unionByName, levels)).join(F.broadcast(numbered), ["word", "bits"]).select("seed", "node", "depth")
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """A row for each bit."""
+    ones = F.filter(F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i))), lambda b: b != 0)
+    return rows.withColumn("bits", F.explode(ones))
 
 
 def traverse(edges: DataFrame, seeds: DataFrame, hops: int = 3, cap: int | None = 200) -> DataFrame:
@@ -115,22 +128,29 @@ def entry_points(entities: DataFrame, edges: DataFrame, min_out: int = 2, max_in
     return joined.orderBy((F.col("out_degree") - F.col("in_degree")).desc(), "id").limit(limit)
 
 
-def flows(entities: DataFrame, edges: DataFrame, depth: int = 10, shown: int = 8, limit: int = 200, entries: DataFrame | None = None) -> DataFrame:
-    """Call flows from each entry point: steps by depth, name and id; a label of the first names; one flow a label."""
-    starts = entries if entries is not None else entry_points(entities, edges)
-    starts = materialize(starts.withColumn("place", F.col("out_degree") - F.col("in_degree")))
-    calls = edges.where(F.col("kind") == "calls").select(F.col("from_entity_id").alias("src"), F.col("to_entity_id").alias("dst")).distinct()
-    found = reach(calls, starts.select(F.col("id").alias("seed")), depth)
-    named = found.join(entities.select(F.col("id").alias("node"), "name"), "node")
+def call_steps(edges: DataFrame) -> DataFrame:
+    return edges.where(F.col("kind") == "calls").select(F.col("from_entity_id").alias("src"), F.col("to_entity_id").alias("dst")).distinct()
+
+
+def flows_of(walks: DataFrame, starts: DataFrame, entities: DataFrame, shown: int = 8, limit: int = 200) -> DataFrame:
+    """Flows from what each entry point reaches: steps by depth, name and id; a label of the first names; one flow a label."""
+    named = walks.join(entities.select(F.col("id").alias("node"), "name"), "node")
     steps = named.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("depth", "name", "node"))).alias("steps"))  # a flow's own nodes
     texts = F.transform(F.slice("steps", 1, shown), lambda s: s["name"])
     label = F.concat(F.array_join(texts, " → "), F.when(F.size("steps") > shown, " → …").otherwise(""))
     built = steps.select("seed", label.alias("label"), F.array_max(F.transform("steps", lambda s: s["depth"])).alias("depth"), F.size("steps").alias("n_steps"), "steps").where("depth >= 2")
-    ranked = built.join(starts.select(F.col("id").alias("seed"), "place"), "seed")
+    place = F.col("out_degree") - F.col("in_degree")
+    ranked = built.join(starts.select(F.col("id").alias("seed"), place.alias("place")), "seed")
     first = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("place"), "seed"))
     return ranked.withColumn("_n", first).where("_n = 1").orderBy(F.desc("place"), "seed").limit(limit).drop("_n", "place")
 
 
+def flows(entities: DataFrame, edges: DataFrame, depth: int = 10, shown: int = 8, limit: int = 200, entries: DataFrame | None = None) -> DataFrame:
+    """Call flows from each entry point."""
+    starts = materialize(entries if entries is not None else entry_points(entities, edges))
+    return flows_of(reach(call_steps(edges), starts.select(F.col("id").alias("seed")), depth), starts, entities, shown, limit)
+
+
 def weighted(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(a, b, weight), a < b: the weights of the kinds that count, added up over parallel edges; no loops."""
     w = scoring.by_value(F.col("kind"), scoring.GRAPH_WEIGHT, 0.0)

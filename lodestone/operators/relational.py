@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import names, scoring
+from lodestone.operators.skew import heavy_keys, join_skewed
 from lodestone.schemas import ordinal
+from lodestone.session import materialize
 
 # Filters and look-ups
 
@@ -107,18 +109,23 @@ def hydrate(facts: DataFrame, entities: DataFrame, repos: DataFrame) -> DataFram
 def mentions_of_names(texts: DataFrame, entities: DataFrame) -> DataFrame:
     """(text_id, entity_id) where the text, in lower case, holds the entity's name.
 
-    Names meet texts on their first three characters (fewer for shorter names), which a text that holds the name holds
-    too; so a text is cut into its distinct short runs instead of being compared with every name.
+    A text that holds a name holds all runs of three characters of it (shorter names are a run themselves), so the two meet
+    on one: the name's rarest, by the number of texts that hold it.  Only runs of names are looked for in texts.  Where even
+    the rarest run is in very many texts, these are dealt out and the names with it copied.
     """
-    named = entities.select(F.col("id").alias("entity_id"), F.lower("name").alias("name")).where("name <> ''").withColumn("run", F.substring("name", 1, 3))
+    named = entities.select(F.col("id").alias("entity_id"), F.lower("name").alias("name")).where("name <> ''")
+    named = named.withColumn("runs", F.when(F.length("name") < 3, F.array("name")).otherwise(_runs(F.col("name"), 3)))
     lower = texts.select("text_id", F.lower("text").alias("text")).where("text <> ''")
-    runs = [F.transform(F.sequence(F.lit(1), F.char_length("text")), _run_of(size)) for size in (1, 2, 3)]
-    cut = lower.select("text_id", "text", F.explode(F.array_distinct(F.concat(*runs))).alias("run"))
-    return cut.join(named, "run").where(F.contains("text", F.col("name"))).select("text_id", "entity_id").distinct()
-
-
-def _run_of(size: int) -> Callable[[Column], Column]:
-    return lambda i: F.substring(F.col("text"), i, F.lit(size))
+    wanted = named.select(F.explode("runs").alias("run")).distinct()
+    met = lower.select("text_id", F.explode(_runs(F.col("text"), 1, 2, 3)).alias("run")).join(wanted, "run", "left_semi")
+    met = materialize(met)
+    counts = met.groupBy("run").agg(F.count("*").alias("n"))
+    keyed = named.select("entity_id", "name", F.explode("runs").alias("run")).join(counts, "run")
+    keyed = keyed.groupBy("entity_id", "name").agg(F.min(F.struct("n", "run")).alias("rarest"))
+    keyed = materialize(keyed.select("entity_id", "name", "rarest.run"))
+    heavy = heavy_keys(met.join(keyed.select("run").distinct(), "run", "left_semi"), ["run"])
+    pairs = join_skewed(met, keyed, ["run"], "text_id", heavy)
+    return pairs.join(lower, "text_id").where(F.contains("text", F.col("name"))).select("text_id", "entity_id").distinct()
 
 
 def _runs(text: Column, *sizes: int) -> Column:
@@ -294,10 +301,10 @@ def distinct_first(df: DataFrame, key: Column, order: Sequence[Column | str]) ->
 
 
 def staleness(repos: DataFrame, heads: DataFrame, now: Column, days: int = 7) -> DataFrame:
-    """(repo_id, stale, reasons): never indexed, indexed over ``days`` ago, or behind the head in ``heads``."""
+    """(repo_id, stale, reasons): never indexed, and that alone; or indexed over ``days`` ago, behind the head in ``heads``, or both."""
     h = heads.select(F.col("repo_id").alias("id"), "head_sha")
     never = F.col("last_indexed_at").isNull()
     old = F.col("last_indexed_at") < now - F.make_dt_interval(F.lit(days))
     drift = F.col("head_sha").isNotNull() & F.col("last_commit_sha").isNotNull() & (F.col("head_sha") != F.col("last_commit_sha"))
-    reasons = F.array_compact(F.array(F.when(never, "never_indexed"), F.when(old, "index_age"), F.when(drift, "commit_drift")))
+    reasons = F.when(never, F.array(F.lit("never_indexed"))).otherwise(F.array_compact(F.array(F.when(old, "index_age"), F.when(drift, "commit_drift"))))
     return repos.join(h, "id", "left").select(F.col("id").alias("repo_id"), (F.size(reasons) > 0).alias("stale"), F.array_join(reasons, ",").alias("reasons"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import names
+from lodestone.indexes.flows import FlowIndex
 from lodestone.operators import graph as O
 from lodestone.operators import relational as R
 from lodestone.plans import search as S
@@ -28,6 +29,7 @@ class KnowledgeEngine:
     embed: Callable[[str], Sequence[float]] | None = None
     decompose: Callable[[str], list[str]] | None = None
     indexes: S.Indexes | None = None
+    flows: FlowIndex | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -82,14 +84,14 @@ class KnowledgeEngine:
         facts = R.active_facts(self.facts).where((F.col("entity_id") == entity_id) & F.col("category").isin("behavior", "constraint", "contract"))
         return dependents.join(names_, "from_entity_id"), facts
 
-    def impact(self, entity_id: str, hops: int | None = None, kinds: Sequence[str] = (), min_confidence: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Direct impacts with their direction, shortest paths to the rest, and the other repositories touched."""
+    def impact(self, entity_id: str, hops: int | None = None, kinds: Sequence[str] = (), min_confidence: float = 0.0, limit: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Direct impacts with their direction, shortest paths to the rest, and the other repositories touched; among the nearest 50 entities, 200 at most."""
         edges = O.filter_edges(O.all_edges(self.relationships, self.cross_repo_relationships), kinds, min_confidence)
         seed = edges.sparkSession.createDataFrame([(entity_id,)], "seed string")
         edges = materialize(edges)
-        reached = materialize(O.traverse(edges, seed, clamp(hops, 2, 5)))
+        reached = materialize(O.traverse(edges, seed, clamp(hops, 2, 5), clamp(limit, 50, 200)))
         inner = materialize(O.subgraph(edges, reached))
-        direction = F.when(F.col("from_entity_id") == entity_id, "depends_on").when(F.col("kind") == "tested_by", "tested_by").otherwise("depended_by")
+        direction = F.when(F.col("from_entity_id") != entity_id, "depended_by").when(F.col("kind") == "tested_by", "tested_by").otherwise("depends_on")
         direct = R.touching(inner, entity_id).withColumn("direction", direction)
         named = self.entities.select(F.col("id").alias("node"), "repo_id")
         own = named.where(F.col("node") == entity_id).select(F.col("repo_id").alias("_own"))
@@ -107,8 +109,12 @@ class KnowledgeEngine:
         return out.join(n(self.relationships, "from_entity_id", "dependencies"), "id", "left").join(n(self.decision_entities, "entity_id", "decisions"), "id", "left").fillna(0)
 
     def execution_flows(self, through: str | None = None, limit: int | None = None) -> DataFrame:
-        found = O.flows(self.entities, self.relationships)
-        found = found.where(F.exists("steps", lambda s: s["node"] == through)) if through else found
+        """Stored flows, if the engine has them, else flows made now; all or those through an entity."""
+        if self.flows is not None:
+            found = self.flows.flows(through)
+        else:
+            found = O.flows(self.entities, self.relationships)
+            found = found.where(F.exists("steps", lambda s: s["node"] == through)) if through else found
         return found.orderBy(F.desc("depth"), "seed").limit(clamp(limit, 20, 50))
 
     def functional_clusters(self, repo_id: str, limit: int | None = None, shown: int = 200) -> DataFrame:
