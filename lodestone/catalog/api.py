@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.catalog.base import query
 from lodestone.catalog.graphs import FLOWS, flows_of
-from lodestone.catalog.relational import DIM
+from lodestone.catalog.relational import CAT, DIM
 from lodestone.catalog.search import LEAST, SHOWN, TRIPLETS, hybrid_sql, indexes, with_vectors
 from lodestone.plans.api import KnowledgeEngine
 from lodestone.sources.graph import TestGraph as G
@@ -39,14 +41,30 @@ def _(g: G) -> DataFrame:
     return engine(g).conventions("r1").select("id", "category")
 
 
-@query("q04_module_context", "SELECT id FROM facts WHERE superseded_by IS NULL AND entity_id = 'p7' ORDER BY id LIMIT 10")
+FIRST_FACTS = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY {DIM}, {CAT}, id) AS k FROM facts WHERE superseded_by IS NULL) WHERE k <= 50"
+BOTH_ENDS = "SELECT from_entity_id AS entity_id, to_entity_id AS other_id, id, kind, confidence, 'outgoing' AS direction FROM relationships UNION ALL SELECT to_entity_id, from_entity_id, id, kind, confidence, 'incoming' FROM relationships WHERE from_entity_id <> to_entity_id"
+
+
+@query("q04_module_context", f"SELECT id, claim FROM ({FIRST_FACTS}) WHERE entity_id = 'p7'")
 def _(g: G) -> DataFrame:
-    return engine(g).module_context("p7").select("id")
+    return engine(g).module_context("p7")["facts"].select("id", "claim")
 
 
-@query("q05_service_contract", "SELECT e.name AS from_name, r.kind FROM relationships r JOIN entities e ON r.from_entity_id = e.id WHERE r.to_entity_id = 'p7'")
+@query("q04_deep_context", f"""
+    WITH w AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY id) AS k FROM ({BOTH_ENDS}) WHERE entity_id = 'p7') WHERE k <= 50)
+    SELECT w.id, direction, w.kind, w.confidence, e.name AS other_name, e.kind AS other_kind, e.path AS other_path, r.name AS other_repo FROM w LEFT JOIN entities e ON e.id = other_id LEFT JOIN repos r ON r.id = e.repo_id""")
 def _(g: G) -> DataFrame:
-    return engine(g).service_contract("p7")[0].select("from_name", "kind")
+    return engine(g).module_context("p7", deep=True)["relationships"].select("id", "direction", "kind", "confidence", "other_name", "other_kind", "other_path", "other_repo")
+
+
+@query("q05_service_contract", "SELECT e.name AS from_name, r.kind FROM (SELECT * FROM relationships WHERE to_entity_id = 'p7' ORDER BY id LIMIT 50) r JOIN entities e ON r.from_entity_id = e.id")
+def _(g: G) -> DataFrame:
+    return engine(g).service_contract("p7")[0].select(F.col("other_name").alias("from_name"), "kind")
+
+
+@query("q05_invariants", f"SELECT id, category, claim FROM ({FIRST_FACTS}) WHERE entity_id = 'p6' AND category IN ('behavior', 'constraint', 'contract')")
+def _(g: G) -> DataFrame:
+    return engine(g).service_contract("p6")[1].select("id", "category", "claim")
 
 
 #: Weak calls stand for tests: both directions of p7 have some.
@@ -85,12 +103,43 @@ def _(g: G) -> DataFrame:
     return engine(g).decisions_of("p9").select("id")
 
 
-@query("q08_task_context", """
-    SELECT e.id, e.path, (SELECT count(*) FROM facts f WHERE f.entity_id = e.id AND f.superseded_by IS NULL) AS facts, (SELECT count(*) FROM relationships r WHERE r.to_entity_id = e.id) AS dependents,
-           (SELECT count(*) FROM relationships r WHERE r.from_entity_id = e.id) AS dependencies, (SELECT count(*) FROM decision_entities l WHERE l.entity_id = e.id) AS decisions
-    FROM entities e WHERE path IN ('pkg/parts/small.go', 'internal/svc/nation_3.go')""")
-def _(g: G) -> DataFrame:
-    return engine(g).task_context(["pkg/parts/small.go", "internal/svc/nation_3.go"]).select("id", "path", "facts", "dependents", "dependencies", "decisions")
+#: Files by their whole path, by the end of it, an entity by its qualified name, and nothing.
+FILES = ("internal/svc/nation_11.go", "svc/nation_16.go", "geo::NATION_6", "small.go", "none.go")
+TASK = f"""
+    WITH a AS (SELECT unnest({list(FILES)!r}) AS asked),
+    rel AS (SELECT id, from_entity_id, to_entity_id, CASE WHEN kind = 'calls' AND strength = 'weak' THEN 'imports' ELSE kind END AS kind, confidence FROM relationships),
+    met AS (SELECT * FROM (SELECT asked, CASE WHEN path = asked THEN 0 WHEN qualified_name = asked THEN 1 WHEN path LIKE '%/' || asked THEN 2 END AS way, e.* FROM entities e, a WHERE repo_id = 'r1') WHERE way IS NOT NULL),
+    prime AS (SELECT asked, id AS entity_id FROM met QUALIFY row_number() OVER (PARTITION BY asked ORDER BY way, start_line NULLS LAST, qualified_name, id) = 1),
+    inside AS (SELECT * FROM met WHERE way <> 1 QUALIFY way = min(way) OVER (PARTITION BY asked)),
+    ends AS (SELECT from_entity_id AS entity_id, to_entity_id AS other_id, id, kind, 'outgoing' AS direction FROM rel UNION ALL SELECT to_entity_id, from_entity_id, id, kind, 'incoming' FROM rel WHERE from_entity_id <> to_entity_id),
+    edge AS (SELECT x.* FROM ends x WHERE entity_id IN (SELECT id FROM inside) QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY id) <= 50),
+    seen AS (SELECT i.asked, x.*, o.name AS other_name, o.qualified_name AS other_qualified, o.path AS other_path FROM edge x JOIN inside i ON i.id = x.entity_id LEFT JOIN entities o ON o.id = x.other_id),
+    rel_files AS (SELECT asked, other_path, arg_min(CASE direction WHEN 'incoming' THEN 'depended on by ' ELSE 'depends on ' END || other_name, {{'id': id, 'd': direction}}) AS reason FROM seen s
+        WHERE NOT (kind = 'imports' AND direction = 'outgoing') AND other_path IS NOT NULL AND other_path <> asked AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.asked = s.asked AND i.id = s.other_id) GROUP BY asked, other_path),
+    ff AS (SELECT p.asked, f.* FROM prime p JOIN ({FIRST_FACTS}) f ON f.entity_id = p.entity_id)
+    SELECT 'modules' AS section, a.asked AS asked, coalesce(entity_id, '-') AS item FROM a LEFT JOIN prime p ON p.asked = a.asked
+    UNION ALL SELECT 'entities', asked, id FROM inside UNION ALL SELECT DISTINCT 'imports', asked, other_qualified FROM seen WHERE kind = 'imports' AND direction = 'outgoing' AND other_qualified IS NOT NULL
+    UNION ALL SELECT 'related', asked, other_path || ': ' || reason FROM rel_files UNION ALL SELECT 'facts', asked, id FROM ff UNION ALL SELECT 'invariants', asked, id FROM ff WHERE category IN ('behavior', 'constraint', 'contract')
+    UNION ALL SELECT 'dependents', asked, x.id FROM prime p JOIN (SELECT * FROM rel QUALIFY row_number() OVER (PARTITION BY to_entity_id ORDER BY id) <= 50) x ON x.to_entity_id = p.entity_id
+    UNION ALL SELECT 'relationships', asked, x.id || ' ' || direction FROM prime p JOIN (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY id) <= 50) x ON x.entity_id = p.entity_id
+    UNION ALL SELECT 'decisions', asked, x.decision_id FROM prime p JOIN (SELECT l.entity_id, l.decision_id FROM decision_entities l JOIN decisions d ON d.id = l.decision_id QUALIFY row_number() OVER (PARTITION BY l.entity_id ORDER BY created_at DESC, l.decision_id) <= 50) x ON x.entity_id = p.entity_id
+    UNION ALL SELECT 'conventions', NULL, id FROM (SELECT id FROM facts WHERE superseded_by IS NULL AND category IN ('convention', 'pattern') AND confidence <> 'low' AND repo_id = 'r1' ORDER BY {DIM}, id LIMIT 20)
+    UNION ALL SELECT 'staleness', NULL, 'commit_drift ' || (SELECT count(*) FROM jobs WHERE repo_id = 'r1' AND status IN ('pending', 'failed'))"""
+
+
+@query("q08_task_context", TASK)
+def _(g: G) -> DataFrame:
+    """All parts of a task's context, as (section, asked, item)."""
+    known = engine(g)
+    known.tables["relationships"] = g.relationships.withColumn("kind", F.when((F.col("kind") == "calls") & (F.col("strength") == "weak"), "imports").otherwise(F.col("kind")))
+    heads = g.repos.select(F.col("id").alias("repo_id"), F.lit("newer").alias("head_sha"))
+    found = known.task_context("r1", FILES, deep=True, heads=heads, now=F.lit("2024-01-31 00:00:00").cast("timestamp"))
+    item = {
+        "modules": F.coalesce("entity_id", F.lit("-")), "imports": F.col("import"), "related": F.concat("other_path", F.lit(": "), "reason"), "decisions": F.col("decision_id"),
+        "relationships": F.concat("id", F.lit(" "), "direction"), "staleness": F.concat("reasons", F.lit(" "), F.col("backlog").cast("string")),
+    }
+    parts = [df.select(F.lit(name).alias("section"), (F.col("asked") if "asked" in df.columns else F.lit(None).cast("string")).alias("asked"), item.get(name, F.col("id") if "id" in df.columns else None).alias("item")) for name, df in found.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query("q09_execution_flows", FLOWS.replace("SELECT seed, label, depth, n_steps FROM r WHERE k = 1 ORDER BY place DESC, seed LIMIT 200", "SELECT seed, label, depth FROM (SELECT * FROM r WHERE k = 1 ORDER BY place DESC, seed LIMIT 200) ORDER BY depth DESC, seed LIMIT 20"))
@@ -123,18 +172,72 @@ def _(g: G) -> DataFrame:
 
 
 CUT = """CASE WHEN strlen({0}) > 120 THEN left({0}, list_max(list_filter(range(0, 118), lambda k: strlen(left({0}, k)) <= 117))) || '...' ELSE {0} END"""
+#: Each repository has an entity of its own, with capabilities, an architecture, and the conventions and risks of its facts; modules without a path have versions.
+REPO_ENTITIES = """e AS (SELECT id, repo_id, kind, name, qualified_name, path, summary FROM entities UNION ALL SELECT 'R' || id, id, 'concept', name, name, NULL, 'All of ' || name FROM repos),
+    fs AS (SELECT id, CASE WHEN category IN ('convention', 'risk') THEN 'R' || repo_id ELSE entity_id END AS entity_id, repo_id, CASE WHEN category = 'convention' AND confidence = 'high' THEN '[' || dimension || '] ' || claim ELSE claim END AS claim, dimension, category FROM facts WHERE superseded_by IS NULL
+           UNION ALL SELECT 'A' || id, 'R' || id, id, 'Architecture: layers of ' || name, 'how', 'pattern' FROM repos
+           UNION ALL SELECT 'V' || id, id, repo_id, 'Required at version 1.' || substr(id, 2), 'what', 'constraint' FROM entities WHERE kind = 'module' AND path IS NULL)"""
+
+
+def described(g: G) -> KnowledgeEngine:
+    known = engine(g)
+    own = g.repos.select(F.concat(F.lit("R"), "id").alias("id"), F.col("id").alias("repo_id"), F.lit("concept").alias("kind"), "name", F.col("name").alias("qualified_name"), F.concat(F.lit("All of "), "name").alias("summary"), F.array(F.lit("trade"), F.concat(F.lit("for "), "name")).alias("capabilities"))
+    e = g.entities.unionByName(own, allowMissingColumns=True)
+    f = g.facts.withColumn("entity_id", F.when(F.col("category").isin("convention", "risk"), F.concat(F.lit("R"), "repo_id")).otherwise(F.col("entity_id")))
+    f = f.withColumn("claim", F.when((F.col("category") == "convention") & (F.col("confidence") == "high"), F.concat(F.lit("["), "dimension", F.lit("] "), "claim")).otherwise(F.col("claim")))
+    row = lambda df, i, e, repo, claim, dimension, category: df.select(i.alias("id"), e.alias("entity_id"), repo.alias("repo_id"), claim.alias("claim"), F.lit(dimension).alias("dimension"), F.lit(category).alias("category"))
+    key = F.concat(F.lit("R"), "id")
+    f = f.unionByName(row(g.repos, F.concat(F.lit("A"), "id"), key, F.col("id"), F.concat(F.lit("Architecture: layers of "), "name"), "how", "pattern"), allowMissingColumns=True)
+    outer = g.entities.where("kind = 'module' and path is null")
+    f = f.unionByName(row(outer, F.concat(F.lit("V"), "id"), F.col("id"), F.col("repo_id"), F.concat(F.lit("Required at version 1."), F.substring("id", 2, 9)), "what", "constraint"), allowMissingColumns=True)
+    known.tables |= {"entities": e, "facts": f, "decisions": g.decisions.withColumn("rationale", F.concat(F.lit("as of "), F.col("nth").cast("string")))}
+    return known
+
+
+RICH = """rf AS (SELECT entity_id AS id, count(*) AS n FROM fs GROUP BY entity_id), rr AS (SELECT id, count(*) AS n FROM (SELECT from_entity_id AS id FROM relationships UNION ALL SELECT to_entity_id FROM relationships WHERE from_entity_id <> to_entity_id) GROUP BY id),
+    core AS (SELECT e.*, row_number() OVER (ORDER BY coalesce(rf.n, 0) + coalesce(rr.n, 0) DESC, e.id) AS place FROM e LEFT JOIN rf ON rf.id = e.id LEFT JOIN rr ON rr.id = e.id WHERE repo_id = 'r1' AND NOT (kind = 'module' AND path IS NULL) {other})"""
 
 
 @query("q18_overview", f"""
-    WITH f AS (SELECT entity_id AS id, count(*) AS n FROM facts WHERE superseded_by IS NULL GROUP BY entity_id),
-    r AS (SELECT id, count(*) AS n FROM (SELECT from_entity_id AS id FROM relationships UNION ALL SELECT to_entity_id FROM relationships WHERE from_entity_id <> to_entity_id) GROUP BY id),
-    l AS (SELECT 'entities' AS section, row_number() OVER (ORDER BY coalesce(f.n, 0) + coalesce(r.n, 0) DESC, e.id) AS place, concat_ws(': ', name, summary) AS line, 15 AS most
-          FROM entities e LEFT JOIN f ON e.id = f.id LEFT JOIN r ON e.id = r.id WHERE repo_id = 'r1'
-          UNION ALL SELECT category || 's', row_number() OVER (PARTITION BY category ORDER BY id), replace(claim, '|', '\\|'), 10 FROM facts WHERE superseded_by IS NULL AND repo_id = 'r1' AND category IN ('convention', 'risk')
-          UNION ALL SELECT 'decisions', row_number() OVER (ORDER BY created_at DESC, id), summary, 10 FROM decisions WHERE repo_id = 'r1' AND still_valid)
-    SELECT section, place, {CUT.format("line")} AS line FROM l WHERE place <= most""")
-def _(g: G) -> DataFrame:
-    return engine(g).overview("r1")
+    WITH {REPO_ENTITIES}, {RICH.format(other="AND e.id <> 'Rr1'")},
+    own AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {DIM}, id) AS place FROM fs WHERE entity_id = 'Rr1'),
+    l AS (SELECT 'summary' AS section, 1 AS place, summary AS line FROM e WHERE id = 'Rr1'
+          UNION ALL SELECT 'capabilities', k, '- ' || CASE k WHEN 1 THEN 'trade' ELSE 'for ' || name END FROM repos, range(1, 3) AS t(k) WHERE id = 'r1'
+          UNION ALL SELECT 'architecture', 1, substr(claim, 15) FROM own WHERE category = 'pattern' AND claim LIKE 'Architecture: %'
+          UNION ALL SELECT 'components', place, '| ' || qualified_name || ' | ' || kind || ' | ' || replace({CUT.format("coalesce(summary, '')")}, '|', '\\|') || ' |' FROM core WHERE place <= 15
+          UNION ALL SELECT 'conventions', place, CASE WHEN regexp_matches(claim, '^\\[[^\\]]+\\] ') THEN '### ' || regexp_extract(claim, '^\\[([^\\]]+)\\] ', 1) || ': ' || substr(claim, strpos(claim, '] ') + 2) ELSE '- ' || claim END FROM own WHERE category = 'convention'
+          UNION ALL SELECT 'dependencies', row_number() OVER (ORDER BY name, id), '- **' || name || '**: 1.' || substr(id, 2) FROM e WHERE repo_id = 'r1' AND kind = 'module' AND path IS NULL
+          UNION ALL SELECT 'decisions', k, '- **' || summary || '**: as of ' || nth FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, id) AS k FROM decisions WHERE repo_id = 'r1' AND still_valid) WHERE k <= 10
+          UNION ALL SELECT 'risks', place, '- ' || claim FROM own WHERE category = 'risk')
+    SELECT section, place, line FROM l""")
+def _(g: G) -> DataFrame:
+    return described(g).overview("r1")
+
+
+@query("q11_repo_overview", """SELECT name, '' AS overview, last_indexed_at, (SELECT count(*) FROM entities WHERE repo_id = 'r1') AS entities, (SELECT count(*) FROM facts WHERE repo_id = 'r1') AS facts,
+    (SELECT count(*) FROM relationships WHERE repo_id = 'r1') AS relationships, (SELECT count(*) FROM decisions WHERE repo_id = 'r1') AS decisions FROM repos WHERE id = 'r1'""")
+def _(g: G) -> DataFrame:
+    return engine(g).repo_overview("r1")
+
+
+@query("ph4_synthesis_input", f"""
+    WITH {REPO_ENTITIES}, {RICH.format(other="")},
+    ff AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY {DIM}, {CAT}, id) AS k FROM fs),
+    t AS (SELECT entity_id, string_agg('- [' || dimension || '/' || category || '] ' || claim || chr(10), '' ORDER BY k) AS lines FROM ff WHERE k <= 5 GROUP BY entity_id)
+    SELECT place, qualified_name, kind, '## ' || qualified_name || ' (' || kind || ')' || chr(10) || 'Summary: ' || coalesce(summary, '') || chr(10) || CASE WHEN core.id = 'Rr1' THEN 'Capabilities: trade, for ' || name || chr(10) ELSE '' END || coalesce(lines, '') AS section
+    FROM core LEFT JOIN t ON t.entity_id = core.id WHERE place <= 60""")
+def _(g: G) -> DataFrame:
+    return described(g).synthesis_input("r1")
+
+
+@query("ph5_summary_input", f"""
+    WITH {REPO_ENTITIES}, {RICH.format(other="")},
+    how AS (SELECT claim, row_number() OVER (ORDER BY place, {DIM}, {CAT}, fs.id) AS k FROM fs JOIN core ON core.id = fs.entity_id WHERE place <= 60 AND (category = 'pattern' OR dimension = 'how'))
+    SELECT 'entities' AS part, place, '- ' || qualified_name || ' (' || kind || '): ' || coalesce(summary, '') AS line FROM core WHERE place <= 60
+    UNION ALL SELECT 'facts', k, '- ' || claim FROM how WHERE k <= 40
+    UNION ALL SELECT 'decisions', k, '- ' || summary || ': as of ' || nth FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, id) AS k FROM decisions WHERE repo_id = 'r1') WHERE k <= 10""")
+def _(g: G) -> DataFrame:
+    return described(g).summary_input("r1")
 
 
 @query("q20_health", "SELECT 'repos' AS what, count(*) AS n FROM repos UNION ALL SELECT 'entities', count(*) FROM entities UNION ALL SELECT 'facts', count(*) FROM facts UNION ALL SELECT 'relationships', count(*) FROM relationships UNION ALL SELECT 'decisions', count(*) FROM decisions")

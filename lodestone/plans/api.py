@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -17,6 +18,12 @@ from lodestone.schemas import ordinal
 from lodestone.session import materialize
 
 
+#: Files that one question may name.
+MOST_FILES = 20
+#: How claims on a repository's architecture and on a dependency's version begin.
+ARCHITECTURE, VERSION = "Architecture: ", "Required at version "
+
+
 def clamp(n: int | None, default: int, most: int) -> int:
     return default if not n or n <= 0 else min(n, most)
 
@@ -69,20 +76,37 @@ class KnowledgeEngine:
         way = F.when(F.col("path") == text, 0).when(F.col("qualified_name") == text, 1).when(F.col("path").endswith("/" + text), 2)
         return own.withColumn("_way", way).where("_way is not null").orderBy("_way", F.col("start_line").asc_nulls_last(), "qualified_name", "id").limit(1).drop("_way")
 
-    def module_context(self, entity_id: str, deep: bool = False) -> DataFrame:
-        """Facts of the entity, and if deep of its neighbours."""
-        ids = self.entities.where(F.col("id") == entity_id).select(F.col("id").alias("entity_id"))
-        if deep:
-            near = R.touching(self.relationships, entity_id).select(F.explode(F.array("from_entity_id", "to_entity_id")).alias("entity_id"))
-            ids = ids.unionByName(near).distinct()
-        return R.facts_of_entities(self.facts.join(ids, "entity_id", "left_semi"), 10)
-
-    def service_contract(self, entity_id: str) -> tuple[DataFrame, DataFrame]:
-        """Who depends on the entity, and its invariants."""
-        dependents = self.relationships.where(F.col("to_entity_id") == entity_id)
-        names_ = self.entities.select(F.col("id").alias("from_entity_id"), F.col("name").alias("from_name"))
-        facts = R.active_facts(self.facts).where((F.col("entity_id") == entity_id) & F.col("category").isin("behavior", "constraint", "contract"))
-        return dependents.join(names_, "from_entity_id"), facts
+    def module_context(self, entity_id: str, deep: bool = False, limit: int | None = None) -> dict[str, DataFrame]:
+        """Facts of the entity, and if deep its edges with what is at the other end."""
+        one = self.entities.where(F.col("id") == entity_id).select(F.col("id").alias("entity_id"))
+        n = clamp(limit, 50, 200)
+        out = {"facts": R.facts_of_entities(self.facts.join(one, "entity_id", "left_semi"), n)}
+        return out | ({"relationships": self.edges_of(one, n)} if deep else {})
+
+    def edges_of(self, ids: DataFrame, n: int) -> DataFrame:
+        """The first ``n`` edges by id of each of the entities in the one column of ``ids``: direction, kind, confidence, and name, kind, path and repository of the other end."""
+        own = ids.select(F.col(ids.columns[0]).alias("entity_id")).distinct()
+        ends = [("from_entity_id", "to_entity_id", "outgoing"), ("to_entity_id", "from_entity_id", "incoming")]
+        each = [self.relationships.select(F.col(a).alias("entity_id"), F.col(b).alias("other_id"), "id", "kind", "confidence", F.lit(d).alias("direction")) for a, b, d in ends]
+        both = each[0].unionByName(each[1].where("entity_id <> other_id")).join(own, "entity_id", "left_semi")  # a loop is outgoing
+        return self._other_end(R.first_n(both, ["entity_id"], ["id"], n))
+
+    def _other_end(self, rows: DataFrame) -> DataFrame:
+        e = self.entities.select(F.col("id").alias("other_id"), F.col("name").alias("other_name"), F.col("qualified_name").alias("other_qualified"), F.col("kind").alias("other_kind"), F.col("path").alias("other_path"), F.col("repo_id").alias("_repo"))
+        return rows.join(e, "other_id", "left").join(self.repos.select(F.col("id").alias("_repo"), F.col("name").alias("other_repo")), "_repo", "left").drop("_repo")
+
+    def service_contract(self, entity_id: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """Who depends on the entity, and its invariants: facts on behaviour, constraints and contracts."""
+        one, n = self.entities.where(F.col("id") == entity_id).select(F.col("id").alias("entity_id")), clamp(limit, 50, 200)
+        return self._dependents(one, n), self._invariants(R.facts_of_entities(self.facts.join(one, "entity_id", "left_semi"), n))
+
+    def _dependents(self, ids: DataFrame, n: int) -> DataFrame:
+        into = self.relationships.select(F.col("to_entity_id").alias("entity_id"), F.col("from_entity_id").alias("other_id"), "id", "kind", "confidence")
+        return self._other_end(R.first_n(into.join(ids, "entity_id", "left_semi"), ["entity_id"], ["id"], n))
+
+    @staticmethod
+    def _invariants(facts: DataFrame) -> DataFrame:
+        return facts.where(F.col("category").isin("behavior", "constraint", "contract"))
 
     def impact(self, entity_id: str, hops: int | None = None, kinds: Sequence[str] = (), min_confidence: float = 0.0, limit: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Direct impacts with their direction, shortest paths to the rest, and the other repositories touched; among the nearest 50 entities, 200 at most."""
@@ -101,12 +125,62 @@ class KnowledgeEngine:
     def decisions_of(self, entity_id: str, limit: int = 50) -> DataFrame:
         return R.decisions_of(self.decisions, self.decision_entities, entity_id, limit)
 
-    def task_context(self, paths: Sequence[str], conventions: int = 20) -> DataFrame:
-        """One row a file and entity: facts, edges and decisions of the entities in up to 20 files, in one plan."""
-        own = self.entities.where(F.col("path").isin(*list(paths)[:20])).select("path", "id", "name", "kind")
-        n = lambda df, key, what: df.groupBy(F.col(key).alias("id")).agg(F.count("*").alias(what))
-        out = own.join(n(R.active_facts(self.facts), "entity_id", "facts"), "id", "left").join(n(self.relationships, "to_entity_id", "dependents"), "id", "left")
-        return out.join(n(self.relationships, "from_entity_id", "dependencies"), "id", "left").join(n(self.decision_entities, "entity_id", "decisions"), "id", "left").fillna(0)
+    def task_context(self, repo_id: str, paths: Sequence[str], deep: bool = False, limit: int | None = None, heads: DataFrame | None = None, now: Column | None = None) -> dict[str, DataFrame]:
+        """What is known of up to MOST_FILES files, all of them in one plan a part.
+
+        modules: each path's own entity, null if nothing is found; entities, imports and related: of the path's file; facts,
+        relationships (if deep), dependents, invariants and decisions: of the own entity; conventions and staleness: of the repository.
+        """
+        wanted = list(dict.fromkeys(paths))
+        if not wanted or len(wanted) > MOST_FILES:
+            raise ValueError(f"one to {MOST_FILES} files, not {len(wanted)}")
+        n = clamp(limit, 50, 200)
+        spark = self.entities.sparkSession
+        asked = F.broadcast(spark.createDataFrame([(p,) for p in wanted], "asked string"))
+        own = self.entities.where(F.col("repo_id") == repo_id)
+        way = F.when(F.col("path") == F.col("asked"), 0).when(F.col("qualified_name") == F.col("asked"), 1).when(F.col("path").endswith(F.concat(F.lit("/"), "asked")), 2)
+        met = own.join(asked, way.isNotNull()).withColumn("way", way)  # MOST_FILES paths against each row, as the scan goes by
+        met = materialize(met.select("asked", "way", "id", "name", "kind", "qualified_name", "path", "start_line"))
+        order = ["way", F.col("start_line").asc_nulls_last(), "qualified_name", "id"]
+        first = R.first_n(met, ["asked"], order, 1)
+        here = met.where("way <> 1")  # the file's entities: of the very path, or else of paths that end in it
+        best = here.groupBy("asked").agg(F.min("way").alias("way"))
+        inside = materialize(here.join(best, ["asked", "way"]).select("asked", "id", "name", "kind", "qualified_name", "path"))
+        primary = materialize(first.select("asked", F.col("id").alias("entity_id")))
+        edges = self.edges_of(inside.select("id"), 50).join(inside.select("asked", F.col("id").alias("entity_id")), "entity_id")
+        outside = edges.join(inside.select("asked", F.col("id").alias("other_id")), ["asked", "other_id"], "left_anti")
+        imports = edges.where("kind = 'imports' and direction = 'outgoing'").select("asked", F.col("other_qualified").alias("import")).where("import is not null").distinct()
+        why = F.concat(F.when(F.col("direction") == "incoming", "depended on by ").otherwise("depends on "), F.col("other_name"))
+        related = outside.where("not (kind = 'imports' and direction = 'outgoing') and other_path is not null and other_path <> asked")
+        related = related.groupBy("asked", "other_path").agg(F.min(F.struct("id", "direction", why.alias("reason"))).alias("x")).select("asked", "other_path", "x.reason")
+        ids = primary.select("entity_id").distinct()
+        of = lambda df: primary.join(df, "entity_id")
+        facts = materialize(R.facts_of_entities(self.facts.join(ids, "entity_id", "left_semi"), n).select("id", "entity_id", "claim", "dimension", "category", "confidence"))
+        decided = self.decision_entities.join(ids, "entity_id", "left_semi").join(self.decisions.withColumnRenamed("id", "decision_id"), "decision_id")
+        out = {
+            "modules": spark.createDataFrame([(p,) for p in wanted], "asked string").join(primary, "asked", "left"),
+            "entities": inside, "imports": imports, "related": related, "facts": of(facts), "invariants": of(self._invariants(facts)), "dependents": of(self._dependents(ids, n)),
+            "decisions": of(R.first_n(decided, ["entity_id"], [F.desc("created_at"), "decision_id"], n)),
+            "conventions": R.facts_of_categories(self.facts, ["convention", "pattern"], min(n, 20), repo_id),
+            "staleness": self.repo_staleness(repo_id, heads, now),
+        }
+        return out | ({"relationships": of(self.edges_of(ids, n))} if deep else {})
+
+    def repo_staleness(self, repo_id: str, heads: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+        """Staleness of a repository, with the number of jobs that are pending or failed."""
+        one = self.repos.where(F.col("id") == repo_id)
+        heads = heads if heads is not None else one.select(F.col("id").alias("repo_id"), F.lit(None).cast("string").alias("head_sha"))
+        open_ = self.jobs.where((F.col("repo_id") == repo_id) & F.col("status").isin("pending", "failed")).agg(F.count("*").alias("backlog"))
+        return R.staleness(one, heads, F.current_timestamp() if now is None else now).crossJoin(F.broadcast(open_))
+
+    def repo_overview(self, repo_id: str) -> DataFrame:
+        """One row: name, stored text, counts and when the repository was indexed."""
+        count = lambda df, what: df.where(F.col("repo_id") == repo_id).agg(F.count("*").alias(what))
+        text = F.col("overview") if "overview" in self.repos.columns else F.lit(None).cast("string")
+        out = self.repos.where(F.col("id") == repo_id).select("name", F.coalesce(text, F.lit("")).alias("overview"), "last_indexed_at")
+        for what in ("entities", "facts", "relationships", "decisions"):
+            out = out.crossJoin(F.broadcast(count(self.tables[what], what)))  # one row
+        return out
 
     def execution_flows(self, through: str | None = None, limit: int | None = None) -> DataFrame:
         """Stored flows, if the engine has them, else flows made now; all or those through an entity."""
@@ -136,23 +210,72 @@ class KnowledgeEngine:
         return R.touching(self.relationships, entity_id).join(a, "from_entity_id").join(b, "to_entity_id")
 
     def overview(self, repo_id: str, top: int = 15) -> DataFrame:
-        """(section, place, line): the richest entities, conventions, risks and decisions of a repository, as markdown lines."""
-        def section(df: DataFrame, name: str, order: Sequence[Column | str], line: Column, n: int) -> DataFrame:
-            return df.orderBy(*order).limit(n).select(F.lit(name).alias("section"), F.row_number().over(_window(order)).alias("place"), names.truncate(line, 120).alias("line"))
-
-        own = self.entities.where(F.col("repo_id") == repo_id)
+        """(section, place, line): a repository described by what is stored of it, as markdown lines.
+
+        The repository's own entity (whose qualified name is the repository's) gives summary, capabilities, architecture,
+        conventions and risks; the others give the richest components, dependencies with their versions, and decisions.
+        """
+        repo = self.repos.where(F.col("id") == repo_id).select(F.col("name").alias("_repo"))
+        all_ = self.entities.where(F.col("repo_id") == repo_id)
+        itself = materialize(all_.join(F.broadcast(repo), F.col("qualified_name") == F.col("_repo")).orderBy("id").limit(1))
         facts = R.active_facts(self.facts).where(F.col("repo_id") == repo_id)
-        rich = R.richness(own, self.facts, self.relationships)
+        own = materialize(facts.join(itself.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").select("id", "claim", "dimension", "category"))
+        external = (F.col("kind") == "module") & F.col("path").isNull()
+        core = all_.where(~external).join(itself.select("id"), "id", "left_anti")
+        rich = R.richness(core, facts, self.relationships).orderBy(F.desc("richness"), "id").limit(top)
+        cells = F.concat(F.lit("| "), "qualified_name", F.lit(" | "), "kind", F.lit(" | "), names.escape_pipes(names.truncate(F.coalesce("summary", F.lit("")), 120)), F.lit(" |"))
+        order = [ordinal("dimension", F.col("dimension")), "id"]
+        tagged = F.regexp_extract("claim", r"^(?s)\[(.+?)\] (.*)$", 1)
+        convention = F.when(tagged != "", F.concat(F.lit("### "), tagged, F.lit(": "), F.regexp_extract("claim", r"^(?s)\[(.+?)\] (.*)$", 2))).otherwise(F.concat(F.lit("- "), "claim"))
+        outer = all_.where(external)
+        versions = facts.join(outer.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").where(F.col("claim").startswith(VERSION))
+        versions = versions.groupBy(F.col("entity_id").alias("id")).agg(F.min(F.struct("id", "claim")).alias("x")).select("id", F.substr("x.claim", F.lit(len(VERSION) + 1)).alias("version"))
+        said = self.decisions.where((F.col("repo_id") == repo_id) & F.col("still_valid")).orderBy(F.desc("created_at"), "id").limit(10)
+        why = F.col("rationale") if "rationale" in self.decisions.columns else F.lit("")
         parts = [
-            section(rich, "entities", [F.desc("richness"), "id"], F.concat_ws(": ", "name", "summary"), top),
-            section(facts.where("category = 'convention'"), "conventions", ["id"], names.escape_pipes(F.col("claim")), 10),
-            section(facts.where("category = 'risk'"), "risks", ["id"], names.escape_pipes(F.col("claim")), 10),
-            section(self.decisions.where((F.col("repo_id") == repo_id) & F.col("still_valid")), "decisions", [F.desc("created_at"), "id"], F.col("summary"), 10),
+            ("summary", itself.where("summary is not null"), ["id"], F.col("summary")),
+            ("capabilities", itself.select(F.posexplode("capabilities").alias("id", "c")) if "capabilities" in itself.columns else None, ["id"], F.concat(F.lit("- "), "c")),
+            ("architecture", own.where((F.col("category") == "pattern") & F.col("claim").startswith(ARCHITECTURE)).orderBy(*order).limit(1), ["id"], F.substr("claim", F.lit(len(ARCHITECTURE) + 1))),
+            ("components", rich, [F.desc("richness"), "id"], cells),
+            ("conventions", own.where("category = 'convention'"), order, convention),
+            ("dependencies", outer.join(versions, "id", "left"), ["name", "id"], F.concat(F.lit("- **"), "name", F.lit("**"), F.coalesce(F.concat(F.lit(": "), "version"), F.lit("")))),
+            ("decisions", said, [F.desc("created_at"), "id"], F.concat(F.lit("- **"), "summary", F.lit("**: "), F.coalesce(why, F.lit("")))),
+            ("risks", own.where("category = 'risk'"), order, F.concat(F.lit("- "), "claim")),
         ]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        out = [df.select(F.lit(name).alias("section"), F.row_number().over(_window(by)).alias("place"), line.alias("line")) for name, df, by, line in parts if df is not None]
+        return functools.reduce(DataFrame.unionByName, out)
+
+    def core_entities(self, repo_id: str, most: int = 60) -> DataFrame:
+        """The richest entities of a repository that are not external modules, with their place."""
+        own = self.entities.where((F.col("repo_id") == repo_id) & ~((F.col("kind") == "module") & F.col("path").isNull()))
+        rich = R.richness(own, self.facts, self.relationships).orderBy(F.desc("richness"), "id").limit(most)
+        return rich.withColumn("place", F.row_number().over(_window([F.desc("richness"), "id"])))
+
+    def synthesis_input(self, repo_id: str, most: int = 60, facts: int = 5) -> DataFrame:
+        """(place, qualified_name, kind, section): what a synthesis of a repository is written from: its richest entities, each with its first facts."""
+        core = materialize(self.core_entities(repo_id, most))
+        own = R.facts_of_entities(self.facts.join(core.select(F.col("id").alias("entity_id")), "entity_id", "left_semi"), facts)
+        nth = F.struct(ordinal("dimension", F.col("dimension")).alias("d"), ordinal("category", F.col("category")).alias("c"), "id", F.format_string("- [%s/%s] %s\n", "dimension", "category", "claim").alias("line"))
+        lines = own.groupBy(F.col("entity_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(nth)), lambda x: x["line"]), "").alias("lines"))
+        can = F.array_join(F.slice("capabilities", 1, 5), ", ") if "capabilities" in core.columns else F.lit("")
+        able = F.when(can != "", F.concat(F.lit("Capabilities: "), can, F.lit("\n"))).otherwise("")
+        text = F.concat(F.format_string("## %s (%s)\nSummary: %s\n", F.col("qualified_name"), F.col("kind"), F.coalesce("summary", F.lit(""))), able, F.coalesce("lines", F.lit("")))
+        return core.join(lines, "id", "left").select("place", "qualified_name", "kind", text.alias("section"))
+
+    def summary_input(self, repo_id: str, most: int = 60, facts: int = 40, decisions: int = 10) -> DataFrame:
+        """(part, place, line): what a summary of a repository is written from: entities, facts on patterns and on how things work, decisions."""
+        core = materialize(self.core_entities(repo_id, most))
+        how = R.active_facts(self.facts).join(core.select(F.col("id").alias("entity_id"), F.col("place").alias("_at")), "entity_id").where("category = 'pattern' or dimension = 'how'")
+        order = ["_at", ordinal("dimension", F.col("dimension")), ordinal("category", F.col("category")), "id"]
+        how = how.orderBy(*order).limit(facts)
+        said = self.decisions.where(F.col("repo_id") == repo_id).orderBy(F.desc("created_at"), "id").limit(decisions)
+        why = F.col("rationale") if "rationale" in self.decisions.columns else F.lit("")
+        parts = [
+            core.select(F.lit("entities").alias("part"), "place", F.format_string("- %s (%s): %s", F.col("qualified_name"), F.col("kind"), F.coalesce("summary", F.lit(""))).alias("line")),
+            how.select(F.lit("facts").alias("part"), F.row_number().over(_window(order)).alias("place"), F.concat(F.lit("- "), "claim").alias("line")),
+            said.select(F.lit("decisions").alias("part"), F.row_number().over(_window([F.desc("created_at"), "id"])).alias("place"), F.format_string("- %s: %s", F.col("summary"), F.coalesce(why, F.lit(""))).alias("line")),
+        ]
+        return functools.reduce(DataFrame.unionByName, parts)
 
     def health(self) -> DataFrame:
         return R.count_all(repos=self.repos, entities=self.entities, facts=self.facts, relationships=self.relationships, decisions=self.decisions)

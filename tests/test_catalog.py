@@ -8,7 +8,7 @@ from lodestone import catalog
 from lodestone.sources.graph import BASE_TABLES
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ("flt4_search_names", "join2_orphans", "join4_with_edges", "join11_match_repos", "agg13_quality", "top4_diversify", "gr3_strongest_neighbours", "gr7_weighted", "sr1_vector_top", "sr9_fuzzy", "dml2_upsert_entities", "dml11_claim_jobs", "dml13_feedback", "js3_extraction", "q16_repo_details")
+CHECKED = ("flt4_search_names", "join10_mentions", "sr6_text_match", "sr19_hybrid_search", "gr2_all_services", "q08_task_context", "q18_overview", "join2_orphans", "join4_with_edges", "join11_match_repos", "agg13_quality", "top4_diversify", "gr3_strongest_neighbours", "gr7_weighted", "sr1_vector_top", "sr9_fuzzy", "dml2_upsert_entities", "dml11_claim_jobs", "dml13_feedback", "js3_extraction", "q16_repo_details")
 
 
 def cell(x):
