@@ -99,7 +99,11 @@ def _(g: G) -> DataFrame:
     return ST.queue_changed(before, now).select("target", "status")
 
 
-@query("dml17_fingerprint")
+FIELDS_OF_ENTITIES = " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("id", "kind", "name", "path", "qualified_name", "repo_id", "start_line", "summary"))
+
+
+@query("dml17_fingerprint", f"""WITH h AS (SELECT sha256({FIELDS_OF_ENTITIES}) AS h FROM entities)
+    SELECT sha256(count(*)::VARCHAR || ':' || (sum(('0x' || substr(h, 1, 15))::HUGEINT) % {ST.PRIMES[0]})::HUGEINT::VARCHAR || ':' || (sum(('0x' || substr(h, 16, 15))::HUGEINT) % {ST.PRIMES[1]})::HUGEINT::VARCHAR) AS etag FROM h""")
 def _(g: G) -> DataFrame:
     return ST.fingerprint(g.entities)
 
@@ -172,6 +176,26 @@ def _(g: G) -> DataFrame:
     return X.repair_owners(g.entities.unionByName(owners, allowMissingColumns=True), g.relationships.where("kind = 'depends_on'"))
 
 
+#: Functions of types within types that are not stored, and references to what exists, to what is made in the first and second round, and to nothing.
+NESTED = "CASE WHEN kind = 'function' THEN regexp_replace(qualified_name, '\\.handle', '.Inner' || CAST(start_line % 7 AS STRING) || '.handle') ELSE qualified_name END"
+REFERRED = "CASE start_line % 5 WHEN 0 THEN 'geo::NATION_1' WHEN 1 THEN 'mkt::MACHINERY.Inner' || CAST(start_line % 7 AS STRING) WHEN 2 THEN 'mkt::MACHINERY' WHEN 3 THEN 'mkt::BUILDING::Inner' || CAST(start_line % 7 AS STRING) ELSE 'nothing::there' END"
+
+
+@query("gr17_backfill", rf"""
+    WITH k AS (SELECT id, repo_id, {NESTED} AS qualified_name FROM entities),
+    alone AS (SELECT * FROM k WHERE id NOT IN (SELECT from_entity_id FROM relationships WHERE kind = 'depends_on') AND id NOT IN (SELECT to_entity_id FROM relationships WHERE kind = 'depends_on')),
+    w AS (SELECT id, repo_id, qualified_name, regexp_replace(qualified_name, '\.[^.]*$', '') AS owner FROM alone WHERE contains(qualified_name, '.')
+          UNION SELECT 'own:' || repo_id || ':' || owner, repo_id, owner, regexp_replace(owner, '\.[^.]*$', '') FROM w WHERE contains(qualified_name, '.') AND NOT EXISTS (SELECT 1 FROM k WHERE k.repo_id = w.repo_id AND k.qualified_name = w.owner)),
+    names AS (SELECT id, repo_id, qualified_name FROM k UNION SELECT id, repo_id, qualified_name FROM w),
+    r AS (SELECT repo_id, qualified_name AS from_name, replace({REFERRED}, 'BUILDING::', 'BUILDING.') AS to_name FROM entities WHERE kind = 'service')
+    SELECT n.id AS from_entity_id, w.id AS to_entity_id, 'owns' AS kind FROM w JOIN names n ON n.repo_id = w.repo_id AND n.qualified_name = w.owner WHERE contains(w.qualified_name, '.')
+    UNION SELECT a.id, b.id, 'calls' FROM r JOIN names a ON a.repo_id = r.repo_id AND a.qualified_name = from_name JOIN names b ON b.repo_id = r.repo_id AND b.qualified_name = to_name WHERE a.id <> b.id""")
+def _(g: G) -> DataFrame:
+    entities = g.entities.withColumn("qualified_name", F.expr(NESTED))
+    references = g.entities.where("kind = 'service'").select("repo_id", F.col("qualified_name").alias("from_name"), F.expr(REFERRED).alias("to_name"), F.lit("calls").alias("kind"), F.lit("moderate").alias("strength"))
+    return X.backfill(entities, g.relationships.where("kind = 'depends_on'"), references)[1].select("from_entity_id", "to_entity_id", "kind")
+
+
 #: Entities and raw calls of every kind, for callers in the package mkt: the entity that a call names, and how surely.
 CALLED = (("x1", "Store", "mkt::Store"), ("x2", "Create", "mkt::Store.Create"), ("x3", "Store", "geo::Store"), ("x4", "Save", "geo::Store.Save"), ("x5", "helper", "mkt::helper"), ("x6", "Dup", "geo::Dup"), ("x7", "Dup", "svc::Dup"), ("x8", "Only", "svc::Only"), ("x9", "Near", "mkt::a.Near"), ("y1", "Near", "alt::Near"))
 CALLS = (("geo::Store.Save", "x4", "strong"), ("Store.Create", "x2", "strong"), ("Store.Save", "x4", "moderate"), ("helper", "x5", "strong"), ("Only", "x8", "moderate"), ("Near", "x9", "moderate"), ("Dup", "x6", "weak"), ("nothing", None, None))

@@ -141,16 +141,22 @@ def backfill_confidence(edges: DataFrame, cross_repo: bool = False) -> DataFrame
     return edges.withColumn("confidence", F.coalesce(known, scoring.strength_to_confidence(F.col("strength"), cross_repo)))
 
 
+#: Primes below 2**60: what the two folds of row hashes are taken modulo.
+PRIMES = ((1 << 60) - 93, (1 << 60) - 107)
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row: a hash that equal tables share, whatever the order of their rows.
 
-    Each row's hash (of its JSON, columns by name) falls into one of 4096 buckets by its first digits; a bucket's hash is that
-    of its rows' hashes in order, the table's that of the buckets' in order.
+    A row's hash is that of its columns by name, each as its byte count, a colon and its text, or ``-`` for null.  Two parts of 60
+    bits of it are added up over all rows, modulo two primes, and counted: a fold that tasks do in part, without order or arrays.
     """
-    row = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
-    buckets = df.select(row.alias("h")).groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    ordered = F.array_sort(F.collect_list(F.struct("b", "h")))  # 4096 rows at most
-    return buckets.groupBy().agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["h"]), ""), 256).alias("etag"))
+    field = lambda c: F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    row = F.sha2(F.concat(*[field(F.col(c).cast("string")) for c in sorted(df.columns)]), 256)
+    part = lambda n: F.conv(F.substring("h", 1 + 15 * n, 15), 16, 10).cast("decimal(38,0)")
+    sums = df.select(row.alias("h")).agg(F.count("*").alias("n"), *[F.coalesce(F.sum(part(i)), F.lit(0)).cast("decimal(38,0)").alias(f"s{i}") for i in range(2)])
+    folds = [(F.col(f"s{i}") % F.lit(p).cast("decimal(38,0)")).cast("decimal(38,0)").cast("string") for i, p in enumerate(PRIMES)]
+    return sums.select(F.sha2(F.concat_ws(":", F.col("n").cast("string"), *folds), 256).alias("etag"))
 
 
 def etag_matches(header: str | None, etag: str) -> bool:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import names, scoring
 from lodestone.operators import relational as R
+from lodestone.session import materialize
 from lodestone.schemas import DOMAINS, in_domain
 from lodestone.sources.files import analyzable, classify, language
 
@@ -199,6 +201,59 @@ def repair_owners(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return alone.withColumn("owner", names.owner_of(F.col("qualified_name"))).join(owners, ["repo_id", "owner"]).select("from_entity_id", F.col("id").alias("to_entity_id"), F.lit("owns").alias("kind"))
 
 
+def backfill(entities: DataFrame, edges: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is missing after an extraction, in rounds until a round makes nothing: (entities, edges), each with its round.
+
+    Methods without an edge get an owns edge from their owner; an owner that is not stored is made, and may lack an owner itself.
+    ``references`` (repo_id, from_name, to_name, kind, strength) become edges as soon as both ends are known, by their names or
+    another spelling of them.  Rounds are semi-naive: what waits is joined with the names of the last round only, and what is new
+    with all names.  A round's work is in proportion to what it makes and to what still waits.
+    """
+    known = materialize(entities.select("repo_id", "qualified_name", "id").dropDuplicates(["repo_id", "qualified_name"]))
+    fresh = known
+    alone = R.entities_without_edges(entities, edges).where(F.contains("qualified_name", F.lit(".")))
+    starting = materialize(alone.select("repo_id", "id", F.col("qualified_name").alias("name"), names.owner_of(F.col("qualified_name")).alias("owner")))
+    waiting = starting.limit(0)
+    none = F.lit(None).cast("string")
+    open_ = materialize(references.select("repo_id", "from_name", "to_name", "kind", "strength", none.alias("from_id"), none.alias("to_id")).distinct())
+    made: list[DataFrame] = []
+    found: list[DataFrame] = []
+    nth = 0
+    while True:
+        nth += 1
+        by_owner = lambda df: df.select("repo_id", F.col("qualified_name").alias("owner"), F.col("id").alias("owner_id"))
+        met = materialize(starting.join(by_owner(known), ["repo_id", "owner"]).unionByName(waiting.join(by_owner(fresh), ["repo_id", "owner"])))
+        found.append(met.select("repo_id", F.col("owner_id").alias("from_entity_id"), F.col("id").alias("to_entity_id"), F.lit("owns").alias("kind"), F.lit("strong").alias("strength"), F.lit(nth).alias("round")))
+        still = starting.unionByName(waiting).join(met.select("id"), "id", "left_anti")
+        for end in ("from", "to"):
+            open_ = _with_end(open_, fresh, end)
+        open_ = materialize(open_)
+        done = open_.where("from_id is not null and to_id is not null")
+        found.append(done.where("from_id <> to_id").select("repo_id", F.col("from_id").alias("from_entity_id"), F.col("to_id").alias("to_entity_id"), "kind", "strength", F.lit(nth).alias("round")))
+        open_ = open_.where("from_id is null or to_id is null")
+        id_ = F.concat_ws(":", F.lit("own"), "repo_id", "owner")
+        created = still.select("repo_id", "owner").distinct().join(by_owner(known), ["repo_id", "owner"], "left_anti").select("repo_id", F.col("owner").alias("qualified_name"), id_.alias("id"))
+        created = materialize(created)
+        waiting = materialize(still)
+        if created.isEmpty():
+            break
+        made.append(created.withColumn("round", F.lit(nth)))
+        known, fresh = materialize(known.unionByName(created)), created
+        starting = created.where(F.contains("qualified_name", F.lit("."))).select("repo_id", "id", F.col("qualified_name").alias("name"), names.owner_of(F.col("qualified_name")).alias("owner"))
+    everything = functools.reduce(DataFrame.unionByName, made) if made else known.limit(0).withColumn("round", F.lit(0))
+    kind = F.when(F.contains("qualified_name", F.lit("::")), "type").otherwise("module")
+    new = everything.select("id", "repo_id", kind.alias("kind"), names.short_name(F.col("qualified_name")).alias("name"), "qualified_name", "round")
+    return new, functools.reduce(DataFrame.unionByName, found).dropDuplicates(["repo_id", "from_entity_id", "to_entity_id", "kind"])
+
+
+def _with_end(open_: DataFrame, fresh: DataFrame, end: str) -> DataFrame:
+    """References with the id of an end that is still unknown, if the new names have it; its own spelling comes before others."""
+    lacking = open_.where(F.col(f"{end}_id").isNull()).select("repo_id", f"{end}_name").distinct()
+    spelt = lacking.select("repo_id", f"{end}_name", F.posexplode(F.concat(F.array(f"{end}_name"), names.name_alternatives(F.col(f"{end}_name")))).alias("n", "qualified_name"))
+    best = spelt.join(fresh, ["repo_id", "qualified_name"]).groupBy("repo_id", f"{end}_name").agg(F.min(F.struct("n", "id")).alias("x")).select("repo_id", f"{end}_name", F.col("x.id").alias("_id"))
+    return open_.join(best, ["repo_id", f"{end}_name"], "left").withColumn(f"{end}_id", F.coalesce(f"{end}_id", "_id")).drop("_id").select(*open_.columns)
+
+
 def batches_of(rows: DataFrame, by: str, order: str, size: int = 10) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(by).orderBy(order))
     return rows.withColumn("batch", F.floor((n - 1) / size))

@@ -112,3 +112,20 @@ def test_too_many_files_are_an_error(spark):
             known.task_context("r", paths)
 
 
+
+
+def test_backfill_goes_on_while_a_round_makes_something(spark):
+    from lodestone.plans.extraction import backfill
+
+    entities = [("m", "r", "p::A.B.C.run"), ("n", "r", "p::A.B.stop"), ("k", "r", "p::K"), ("s", "r", "p::K.go"), ("x", "q", "p::K.go")]
+    e = spark.createDataFrame(entities, "id string, repo_id string, qualified_name string")
+    edges = spark.createDataFrame([("none", "none")], "from_entity_id string, to_entity_id string")
+    refs = [("r", "p::K", "p::A.B"), ("r", "src::p::K", "p::A"), ("r", "p::K", "p::A::B.C"), ("r", "p::K", "p::K"), ("r", "p::K", "gone"), ("q", "p::K.go", "p::K")]
+    made, found = backfill(e, edges, spark.createDataFrame([(*r, "calls", "weak") for r in refs], "repo_id string, from_name string, to_name string, kind string, strength string"))
+    assert {(r.id, r.kind, r["name"], r["round"]) for r in made.collect()} == {
+        ("own:r:p::A.B.C", "type", "C", 1), ("own:r:p::A.B", "type", "B", 1), ("own:q:p::K", "type", "K", 1), ("own:r:p::A", "type", "A", 2)}
+    assert {(r.from_entity_id, r.to_entity_id, r.kind, r["round"]) for r in found.collect()} == {
+        ("k", "s", "owns", 1), ("own:r:p::A.B.C", "m", "owns", 2), ("own:r:p::A.B", "n", "owns", 2), ("own:r:p::A.B", "own:r:p::A.B.C", "owns", 2), ("own:q:p::K", "x", "owns", 2), ("own:r:p::A", "own:r:p::A.B", "owns", 3),
+        ("k", "own:r:p::A.B", "calls", 2), ("k", "own:r:p::A", "calls", 3), ("k", "own:r:p::A.B.C", "calls", 2), ("x", "own:q:p::K", "calls", 2)}
+    nothing, no_edges = backfill(e.limit(0), edges, spark.createDataFrame([], "repo_id string, from_name string, to_name string, kind string, strength string"))
+    assert nothing.count() == no_edges.count() == 0
