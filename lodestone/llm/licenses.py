@@ -12,11 +12,15 @@ well.  For the same reason a unit that matches holds an anchor, so texts and uni
 *gate*) are left out before bigrams are made of them.  A window counts only for a licence that no unit of the document matches.  A unit or window never counts for a template
 if a similar template of another licence fits it better.
 
+A licence whose template lies within one of another licence (two clauses within three) does not count in a document that
+the other licence is found in.
+
 Defined cases: null and blank texts match nothing; every input row gives a row; ties go to the smaller licence id.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -30,9 +34,12 @@ THRESHOLD = 0.85
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -40,13 +47,9 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
-    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
     ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
-    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
     ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
@@ -54,10 +57,8 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
-    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("ISC", "SPDX-License-Identifier: ISC"),
     ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
     ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
@@ -65,10 +66,32 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+#: Licences and the identifiers that an SPDX line may give for each.
+SPDX = (
+    ("AGPL-3.0", ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later")),
+    ("Apache-2.0", ("Apache-2.0",)),
+    ("BSD-2-Clause", ("BSD-2-Clause",)),
+    ("BSD-3-Clause", ("BSD-3-Clause",)),
+    ("BSL-1.0", ("BSL-1.0",)),
+    ("CC-BY-4.0", ("CC-BY-4.0",)),
+    ("CC-BY-NC-4.0", ("CC-BY-NC-4.0",)),
+    ("CC-BY-SA-4.0", ("CC-BY-SA-4.0",)),
+    ("CC0-1.0", ("CC0-1.0",)),
+    ("EPL-2.0", ("EPL-2.0",)),
+    ("GPL-2.0", ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-2.0+")),
+    ("GPL-3.0", ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-3.0+")),
+    ("ISC", ("ISC",)),
+    ("LGPL-2.1", ("LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-2.1+")),
+    ("LGPL-3.0", ("LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "LGPL-3.0+")),
+    ("MIT", ("MIT",)),
+    ("MPL-2.0", ("MPL-2.0",)),
+    ("Unlicense", ("Unlicense",)),
+    ("Zlib", ("Zlib",)),
+)
+TEMPLATES = (*TEMPLATES, *((name, f"SPDX-License-Identifier: {id_}") for name, ids in SPDX for id_ in ids if not id_.endswith("+")))  # a + is no word
 NOT_WORD = r"[^a-z0-9]+"
 WINDOW = "struct<key:string,grams:array<string>,at:int>"
 
@@ -103,6 +126,13 @@ class Templates:
             anchors = sorted(own, key=lambda g: (-len(_gate(g)), g))[: len(own) - low + 1]
             gates += anchors
             self.keys += [(f"#{size}", at) for size in range(low, high + 1)] + [(a, at) for a in anchors if " " in a]
+        holds = lambda small, large: len({*small} & {*large}) >= 0.95 * len(small) and len(large) > 1.5 * len(small)
+        #: Licence -> licences that have all of a template of it within one of theirs.
+        self.above: dict[str, list[str]] = {}
+        for name in sorted({n for n, _ in templates}):
+            over = {other for (n, _), small in zip(templates, grams) for (other, _), large in zip(templates, grams) if n == name != other and holds(small, large)}
+            if over:
+                self.above[name] = sorted(over)
         self.anchors = sorted({key for key, _ in self.keys if not key.startswith("#")})
         self.gates = sorted({_gate(a) for a in gates})
         self.reach = max((high for _, _, _, high, _ in self.rows), default=0)
@@ -180,6 +210,10 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     found = scored.groupBy("_row", "doc_id").agg(F.array_sort(F.collect_set(F.when(F.col("good"), hit))).alias("hits"))
     ids = F.array_distinct(F.transform("hits", lambda h: h["license_id"]))
     firsts = F.transform(ids, lambda i: F.element_at(F.filter("hits", lambda h: h["license_id"] == i), 1))
+    seen = ids
+    within = lambda i: functools.reduce(lambda a, x: a | ((i == x[0]) & F.arrays_overlap(seen, F.lit(x[1]))), made.above.items(), F.lit(False))
+    ids = F.filter(seen, lambda i: ~within(i))
+    firsts = F.filter(firsts, lambda h: ~within(h["license_id"]))
     found = found.select("doc_id", ids.alias("licenses"), F.array_min(F.transform(firsts, lambda h: F.struct(h["d"].alias("d"), h["license_id"].alias("license_id")))).alias("best"))
     return found.select("doc_id", F.col("best.license_id").alias("license_id"), (-F.col("best.d")).alias("dice"), "licenses")
 

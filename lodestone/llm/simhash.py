@@ -272,7 +272,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     nodes = rows.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("bands").alias("bands"), F.first("size").alias("size"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
     keyed = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
-    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # buckets of different bands with the same members, as near copies make them, give the same links: one of them is enough
+    marks = [F.bit_xor(F.xxhash64("node")).alias("_x"), F.sum(F.xxhash64(F.lit(SEED), "node").cast("decimal(38,0)")).alias("_s")]
+    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), *marks).where("n > 1")
+    sizes = sizes.groupBy("n", "_x", "_s").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "n")
     members = materialize(keyed.join(sizes, ["band", "key"]))
     few = members.where(F.col("n") <= PAIR_BUCKET)
     pairs = few.join(few.select("band", "key", F.col("node").alias("other"), F.col("size").alias("other_size")), ["band", "key"]).where("other < node")

@@ -276,3 +276,28 @@ def test_infill_with_other_sentinels_and_no_python_or_shuffle(spark):
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
     wrong = made.where((F.col("form") != "psm") | (infill.restore(F.col("fim"), F.col("form"), rules) != F.col("text")))
     assert wrong.where("text <> ''").count() == 0
+
+
+# ---- licences that contain one another, SPDX lines
+
+
+def test_two_clauses_within_three_and_spdx_lines_by_rule(spark):
+    from lodestone.llm import licenses
+
+    two = next(t for n, t in licenses.TEMPLATES if n == "BSD-2-Clause" and "Redistributions in binary" in t)
+    three = max((t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause"), key=len)
+    assert licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD).above == {"BSD-2-Clause": ["BSD-3-Clause"]}
+    cases = {
+        two: "BSD-2-Clause", three: "BSD-3-Clause", f"some words\n\n{two}\n\nother words": "BSD-2-Clause", f"some words\n\n{three}\n\nother words": "BSD-3-Clause",
+        "SPDX-License-Identifier: MPL-2.0": "MPL-2.0", "// SPDX-License-Identifier: GPL-3.0-only": "GPL-3.0", "# SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1", "SPDX-License-Identifier: CC0-1.0": "CC0-1.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.": "GPL-2.0",
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)": "BSL-1.0",
+        "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "nothing of the kind": None, two.split(": 1.")[0] + ":": "BSD-2-Clause",
+    }
+    frame = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: (r.license_id, r.licenses) for r in licenses.scan_licenses(frame).collect()}
+    for i, (text, want) in enumerate(cases.items()):
+        assert got[i] == (want, [want] if want else []), text
+    again = spark.createDataFrame([(1, two), (1, two), (2, None), (3, "")], "doc_id long, text string").withColumn("license_id", F.lit("x"))
+    assert sorted((r.doc_id, r.license_id or "-") for r in licenses.scan_licenses(again).collect()) == [(1, "BSD-2-Clause"), (1, "BSD-2-Clause"), (2, "-"), (3, "-")]
+    assert licenses.scan_licenses(again.limit(0)).count() == 0
