@@ -12,8 +12,9 @@ well.  For the same reason a unit that matches holds an anchor, so texts and uni
 *gate*) are left out before bigrams are made of them.  A window counts only for a licence that no unit of the document matches.  A unit or window never counts for a template
 if a similar template of another licence fits it better.
 
-A licence whose template lies within one of another licence (two clauses within three) does not count in a document that
-the other licence is found in.
+A window of a document does not count if a licence with a similar template fits another part of the document better, and a
+licence whose template lies within one of another licence (two clauses within three) does not count in a
+document that the other licence is found in.
 
 Defined cases: null and blank texts match nothing; every input row gives a row; ties go to the smaller licence id.
 """
@@ -133,6 +134,11 @@ class Templates:
             over = {other for (n, _), small in zip(templates, grams) for (other, _), large in zip(templates, grams) if n == name != other and holds(small, large)}
             if over:
                 self.above[name] = sorted(over)
+        #: Licence -> licences that have a template similar to one of its own.
+        self.near: dict[str, list[str]] = {}
+        for (name, _), row in zip(templates, self.rows):
+            others = {n for (n, _), g in zip(templates, grams) if g in row[4] and n != name}
+            self.near[name] = sorted({*self.near.get(name, ()), *others})
         self.anchors = sorted({key for key, _ in self.keys if not key.startswith("#")})
         self.gates = sorted({_gate(a) for a in gates})
         self.reach = max((high for _, _, _, high, _ in self.rows), default=0)
@@ -212,8 +218,13 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     firsts = F.transform(ids, lambda i: F.element_at(F.filter("hits", lambda h: h["license_id"] == i), 1))
     seen = ids
     within = lambda i: functools.reduce(lambda a, x: a | ((i == x[0]) & F.arrays_overlap(seen, F.lit(x[1]))), made.above.items(), F.lit(False))
-    ids = F.filter(seen, lambda i: ~within(i))
-    firsts = F.filter(firsts, lambda h: ~within(h["license_id"]))
+    # a window is the best part of a text for its template, so a similar licence that fits some part better is the one meant
+    every = firsts
+    better = lambda h: functools.reduce(
+        lambda a, x: a | ((h["license_id"] == x[0]) & F.exists("hits", lambda o: o["license_id"].isin(x[1]) & (o["d"] < h["d"]))), [x for x in made.near.items() if x[1]], F.lit(False)
+    )
+    firsts = F.filter(every, lambda h: ~within(h["license_id"]) & ~(h["wide"] & better(h)))
+    ids = F.transform(firsts, lambda h: h["license_id"])
     found = found.select("doc_id", ids.alias("licenses"), F.array_min(F.transform(firsts, lambda h: F.struct(h["d"].alias("d"), h["license_id"].alias("license_id")))).alias("best"))
     return found.select("doc_id", F.col("best.license_id").alias("license_id"), (-F.col("best.d")).alias("dice"), "licenses")
 
