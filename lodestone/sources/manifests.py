@@ -63,8 +63,19 @@ def requirements_txt(files: DataFrame) -> DataFrame:
     return _rows(files.where(_base() == "requirements.txt"), _pairs(_text(), pattern), "requirements.txt")
 
 
+#: A Ruby string without interpolation: quoted, or %q with brackets.
+_RUBY_STRING = r"""'[^']*'|"[^"]*"|%[qQ](?:\([^)]*\)|\{[^}]*\}|\[[^\]]*\])"""
+
+
 def gemfile(files: DataFrame) -> DataFrame:
-    return _rows(files.where(_base() == "Gemfile"), _pairs(_text(), r"""(?m)^\s*gem\s+['"]([^'"]+)['"](?:\s*,\s*['"]([^'"]+)['"])?"""), "Gemfile")
+    """Calls of ``gem``, with or without parentheses, over one line or several: the strings before the options are name and requirements."""
+    bare = F.regexp_replace(_text(), r"(?m)(^|\s)#.*$", "")
+    lines = F.split(F.regexp_replace(bare, r",\s*\n", ", "), r"[\n;]")
+    given = F.transform(F.filter(lines, lambda x: F.trim(x).rlike(r"^gem\b")), lambda x: F.regexp_replace(F.trim(x), r"^gem\s*\(?\s*", ""))
+    strings = F.transform(given, lambda x: F.regexp_extract_all(F.regexp_extract(x, rf"^(?:(?:{_RUBY_STRING})\s*(?:,\s*|$|\)|(?=\s)))+", 0), F.lit(_RUBY_STRING), F.lit(0)))
+    plain = F.transform(strings, lambda own: F.transform(own, lambda x: F.regexp_replace(x, r"""^(%[qQ])?.|.$""", "")))
+    found = F.transform(plain, lambda x: F.struct(F.get(x, F.lit(0)).alias("name"), F.array_join(F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), ", ").alias("version"), F.lit(False).alias("dev")))
+    return _rows(files.where(_base() == "Gemfile"), found, "Gemfile")
 
 
 def pom_xml(files: DataFrame) -> DataFrame:
@@ -89,7 +100,13 @@ def pubspec_yaml(files: DataFrame) -> DataFrame:
 
 
 def mix_exs(files: DataFrame) -> DataFrame:
-    return _rows(files.where(_base() == "mix.exs"), _pairs(_text(), r"""\{:(\w+),\s*"([^"]+)\""""), "mix.exs")
+    """Tuples of an atom and a requirement, or an atom and where it comes from (no version), over one line or several."""
+    bare = F.regexp_replace(_text(), r"(?m)(^|\s)#.*$", "")
+    tuple_ = r"(?s)\{\s*:([a-z_][A-Za-z0-9_]*)\s*,([^{}]*)\}"
+    names_, rest = F.regexp_extract_all(bare, F.lit(tuple_), F.lit(1)), F.regexp_extract_all(bare, F.lit(tuple_), F.lit(2))
+    both = F.filter(F.arrays_zip(names_.alias("n"), rest.alias("r")), lambda x: x["r"].rlike(r"""(?s)^\s*("|(\[\s*)?(git|github|path|in_umbrella|hex):)"""))
+    found = F.transform(both, lambda x: F.struct(x["n"].alias("name"), F.regexp_extract(x["r"], r"""^\s*"([^"]*)\"""", 1).alias("version"), F.lit(False).alias("dev")))
+    return _rows(files.where(_base() == "mix.exs"), found, "mix.exs")
 
 
 def package_swift(files: DataFrame) -> DataFrame:

@@ -105,3 +105,23 @@ def test_stream_queue(spark, tmp_path):
     q = changes.queue_stream(changes.file_changes(spark, str(tmp_path / "in")), lambda: state["jobs"], write, str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert {(r.target, r.status) for r in state["jobs"].collect()} == {("a", "completed"), ("b", "pending")}
+
+
+GRAMMAR = {
+    "Gemfile": (
+        "source 'https://x'\n# gem 'no'\n  gem('a', '~> 1.0', '>= 1.0.2') # why\ngem \"b\",\n  '2',\n  require: false\ngem %q{c}\ngem %q(d), git: 'https://d', tag: 'v1'\ngemspec\ngem 'e', group: :test\n",
+        {("a", "~> 1.0, >= 1.0.2", False), ("b", "2", False), ("c", "", False), ("d", "", False), ("e", "", False)},
+    ),
+    "mix.exs": (
+        'defp deps do\n [\n  {:a, "~> 1.0 or ~> 2.0"},\n  # {:no, "1"},\n  {:b,\n   ">= 0.0.0",\n   only: [:dev, :test]},\n  {:c, git: "https://c", tag: "1"},\n  {:d, path: "../d"}\n ]\nend\ndef f, do: {:error, reason}\n',
+        {("a", "~> 1.0 or ~> 2.0", False), ("b", ">= 0.0.0", False), ("c", "", False), ("d", "", False)},
+    ),
+}
+
+
+def test_ruby_and_elixir_manifests_over_several_lines(spark):
+    frame = spark.createDataFrame([(f"a/{k}", bytearray(text.encode())) for k, (text, _) in GRAMMAR.items()], "path string, content binary")
+    got = {k: set() for k in GRAMMAR}
+    for r in manifests.dependencies(frame).collect():
+        got[r.source].add((r.name, r.version, r.dev))
+    assert got == {k: want for k, (_, want) in GRAMMAR.items()}
