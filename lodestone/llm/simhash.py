@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release, table, text_slices
+from .common import broadcast_if_small, materialize, release, table, text_slices
 
 BITS = 64
 SHINGLE = 3
@@ -186,6 +186,8 @@ BANDS, BAND_ROWS = 24, 4
 #: Fixed odd multipliers, from a rule: the permutations of the MinHash sketch.
 _MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"minhash%d" % i, SEED) | 1 for i in range(BANDS * BAND_ROWS)], dtype=np.uint64)
 PAIR_BUCKET, TASK_BUCKET = 32, 4000
+#: Narrow rows (three numbers) that may be broadcast, so that texts are not shuffled.
+FEW = 500_000
 _TEXT_KEY = "xxhash64(text)"
 
 
@@ -283,7 +285,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     pairs = materialize(pairs.where(fits).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct())
     many = members.where(F.col("n") > PAIR_BUCKET)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(many.select("node")).distinct()
-    named = nodes.join(wanted, "node", "left_semi").select("node", "least.*")
+    named = broadcast_if_small(materialize(nodes.join(wanted, "node", "left_semi").select("node", "least.*")), FEW)  # else whole texts are shuffled
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.expr(_TEXT_KEY).alias("_key"), "text")
     texts = texts.join(named, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key"))).select("node", "text")
     sets = materialize(_shingle_sets(texts, shingle).groupBy("node").agg(F.first("grams").alias("grams")))
@@ -310,5 +312,6 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     """``docs`` with one text of each group; rows that repeat its doc_id and text are one document and stay with it."""
     gone = near_duplicates(docs, shingle, similarity).where("not kept")
     gone = materialize(gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")))
+    gone = broadcast_if_small(gone, FEW)
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key"))
     return docs.join(gone, same, "left_anti")
