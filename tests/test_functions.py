@@ -83,12 +83,6 @@ def test_text_queries(spark):
     assert text.candidate_tokens("Who calls UserService, my_func or 'validation'?") == ["UserService", "my_func", "validation"]
 
 
-def test_louvain_and_graph():
-    found = graph.louvain_of([("a", "b", 8.0), ("c", "d", 8.0), ("b", "c", 0.1)])
-    assert found == {"a": "a", "b": "a", "c": "c", "d": "c"}
-    assert graph.louvain_of([]) == {}
-
-
 def test_paths_and_weights(spark):
     edges = spark.createDataFrame([("seed", "mid", "calls"), ("mid", "leaf", "depends_on"), ("mid", "mid", "calls"), ("leaf", "mid", "calls")], "from_entity_id string, to_entity_id string, kind string")
     assert [tuple(r.path) for r in graph.paths(edges, "seed", 3).collect()] == [("seed", "mid", "leaf")]
