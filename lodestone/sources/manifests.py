@@ -94,7 +94,8 @@ def build_gradle(files: DataFrame) -> DataFrame:
 
 
 def pubspec_yaml(files: DataFrame) -> DataFrame:
-    one = lambda key, dev: _pairs(F.regexp_extract(_text(), rf"(?m)^{key}:\s*\n((?:[ \t]+.*\n?|\s*\n)*)", 1), r"(?m)^ {2}(\w[\w-]*):[ \t]*(.*?)[ \t]*$", F.lit(dev))
+    # possessive, so that a block's lines are matched in a loop: otherwise each line nests a call, and long blocks overflow the stack
+    one = lambda key, dev: _pairs(F.regexp_extract(_text(), rf"(?m)^{key}:\s*\n((?:[ \t]+.*\n?|\s*\n)*+)", 1), r"(?m)^ {2}(\w[\w-]*):[ \t]*(.*?)[ \t]*$", F.lit(dev))
     found = F.filter(F.concat(one("dependencies", False), one("dev_dependencies", True)), lambda d: ~d["name"].isin("flutter", "flutter_test"))
     return _rows(files.where(_base() == "pubspec.yaml"), found, "pubspec.yaml")
 

@@ -35,6 +35,14 @@ def test_manifests(spark):
     assert got == {p: want for p, (_, want) in MANIFESTS.items()}
 
 
+def test_manifests_of_very_many_lines(spark):
+    """A block's lines must not nest calls of the pattern matcher."""
+    body = "name: x\ndependencies:\n" + "".join(f"  p{i}: ^{i}\n" + "\n" * (i % 3) for i in range(100_000)) + "dev_dependencies:\n  lints: 2\n"
+    rows = spark.createDataFrame([("x/pubspec.yaml", bytearray(body.encode()))], "path string, content binary")
+    got = {(r.name, r.version, r.dev) for r in manifests.pubspec_yaml(rows).collect()}
+    assert got == {(f"p{i}", f"^{i}", False) for i in range(100_000)} | {("lints", "2", True)}
+
+
 def test_git_log(spark, tmp_path):
     log = "COMMIT_BOUNDARY\nabc\nAnn\n2024-01-02T03:04:05+00:00\nFix it\n\nwith a body\nFILES_BOUNDARY\na.go\nb.go\nCOMMIT_BOUNDARY\ndef\nBob\nbad date\nShort\nFILES_BOUNDARY\n"
     (tmp_path / "log.txt").write_text(log)
