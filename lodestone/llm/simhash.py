@@ -14,9 +14,9 @@ task's memory, still larger ones by a shuffle on the variant.  Every link is kep
 Components come from rounds of alternating star operations on the link table, which is written to the shared folder
 after each round.
 
-Near-duplicates by similarity (``near_duplicates``) are defined on five-word shingles and Jaccard >= 0.8.  At that
-similarity fingerprints differ in 5 to 14 bits, for which pigeonhole blocks would have 4 bits; so candidates there come
-from MinHash bands and are verified by the exact Jaccard coefficient.
+Near-duplicates in the pipeline (``near_duplicates``) are texts that these links join, and beside them texts with a Jaccard
+coefficient of five-word shingles >= 0.8.  At that similarity fingerprints differ in 5 to 14 bits, for which pigeonhole
+blocks would have 4 bits; so the candidates for the coefficient come from MinHash bands and are verified exactly.
 
 Defined cases: a text without words (null, empty, blank) has fingerprint zero and is linked like any other; repeated rows
 give a row each; an empty table gives no rows.
@@ -180,7 +180,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-# Near-duplicates by similarity: five-word shingles, Jaccard >= 0.8.
+# Near-duplicates: close fingerprints, and beside them five-word shingles with Jaccard >= 0.8.
 
 BANDS, BAND_ROWS = 24, 4
 #: Fixed odd multipliers, from a rule: the permutations of the MinHash sketch.
@@ -207,19 +207,20 @@ def band_keys(found: np.ndarray) -> list[int]:
 
 
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text_key, set_key (equal exactly for equal shingle sets), the set's size and band keys."""
+    """doc_id, text_key, fp, set_key (equal exactly for equal shingle sets), the set's size and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                sets = [shingle_set(t, shingle) for t in part.column("text").to_pylist()]
-                columns = [[xxhash.xxh128_digest(s.tobytes()) for s in sets], [len(s) for s in sets], [band_keys(s) for s in sets]]
-                types = [pa.binary(), pa.int32(), pa.list_(pa.int64())]
+                texts = part.column("text").to_pylist()
+                sets = [shingle_set(t, shingle) for t in texts]
+                columns = [[fingerprint(t) for t in texts], [xxhash.xxh128_digest(s.tobytes()) for s in sets], [len(s) for s in sets], [band_keys(s) for s in sets]]
+                types = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64())]
                 made = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), *made], ["doc_id", "text_key", "set_key", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), *made], ["doc_id", "text_key", "fp", "set_key", "size", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(_TEXT_KEY).alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_key long, set_key binary, size int, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_key long, fp long, set_key binary, size int, bands array<long>")
 
 
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -263,15 +264,25 @@ def _forest(similarity: float):
     return run
 
 
+def _alike(nodes: DataFrame) -> DataFrame:
+    """(node, fp) -> links (a, b) from each node to the least one of its fingerprint's component."""
+    found = components(close_links(materialize(nodes.select("fp").distinct()))).withColumnRenamed("node", "_fp")
+    placed = materialize(nodes.join(found, F.col("fp") == F.col("_fp"), "left").select("node", F.coalesce("root", "fp").alias("root")))
+    least = placed.groupBy("root").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return placed.join(least, "root").where("node <> b").select(F.col("node").alias("a"), "b")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, text_key, group_id and kept of every distinct doc_id and text: groups are the components of pairs with Jaccard
-    >= ``similarity``, group_id is a group's least doc_id, and kept is true of one of its texts, the first of that doc_id.
+    """doc_id, text_key, group_id and kept of every distinct doc_id and text: groups are the components of pairs whose
+    fingerprints are within MAX_DISTANCE bits and of pairs with Jaccard >= ``similarity``, group_id is a group's least doc_id,
+    and kept is true of one of its texts, the first of that doc_id.
 
-    Equal shingle sets are one node.  Buckets of up to PAIR_BUCKET nodes give pairs, larger ones are linked inside a task
-    that holds at most two chunks of TASK_BUCKET nodes; both verify by the exact coefficient.
+    Texts with equal fingerprints and shingle sets are one node.  Fingerprints are linked as in ``simhash_components``.  MinHash
+    buckets of up to PAIR_BUCKET nodes give pairs, larger ones are linked inside a task that holds at most two chunks of
+    TASK_BUCKET nodes; both verify by the exact coefficient.
     """
     rows = materialize(_sketches(docs, shingle))
-    nodes = rows.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("bands").alias("bands"), F.first("size").alias("size"))
+    nodes = rows.groupBy("set_key", "fp").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("bands").alias("bands"), F.first("size").alias("size"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
     keyed = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
     # buckets of different bands with the same members, as near copies make them, give the same links: one of them is enough
@@ -298,12 +309,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     against = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("lo"), F.greatest(c, F.col("chunk")).alias("hi")))
     many = many.select("band", "key", "node", "grams", F.explode(against).alias("cell"))
     linked = many.groupBy("band", "key", "cell").applyInPandas(_forest(similarity), "a long, b long")
-    roots = components(close.unionByName(linked)).withColumnRenamed("node", "_node")
-    grouped = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("set_key", "least", F.coalesce("root", "node").alias("root"))
+    links = close.unionByName(linked).unionByName(_alike(nodes.select("node", "fp")))
+    roots = components(links).withColumnRenamed("node", "_node")
+    grouped = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("set_key", "fp", "least", F.coalesce("root", "node").alias("root"))
     grouped = materialize(grouped)
     first = grouped.groupBy("root").agg(F.min("least").alias("first"))
-    named = grouped.join(first, "root").select("set_key", "first")
-    found = rows.select("doc_id", "text_key", "set_key").join(named, "set_key")
+    named = grouped.join(first, "root").select("set_key", "fp", "first")
+    found = rows.select("doc_id", "text_key", "set_key", "fp").join(named, ["set_key", "fp"])
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     return found.select("doc_id", "text_key", F.col("first.doc_id").alias("group_id"), kept.alias("kept")).distinct()
 

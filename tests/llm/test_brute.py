@@ -188,6 +188,19 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept) == sorted(set(want))
 
 
+def test_near_duplicates_have_the_links_of_close_fingerprints(spark):
+    """Texts whose fingerprints agree although few of their shingles do: the pipeline's groups are no finer than op8's."""
+    body = "all rights reserved " * 300
+    tails = [" ".join(f"t{k}x{i}" for i in range(40)) for k in range(3)]
+    texts = [*EDGE, *(body + t for t in tails)]
+    frame = docs(spark, texts)
+    want = {r.doc_id: r.component_id for r in simhash.simhash_components(frame).collect()}
+    n = len(EDGE)
+    assert want[n] == want[n + 1] == want[n + 2] and len({brute_near(texts)[i] for i in range(n, n + 3)}) == 3
+    assert {r.doc_id: r.group_id for r in simhash.near_duplicates(frame).collect()} == want
+    assert {r.doc_id for r in simhash.drop_near_duplicates(frame).collect()} == set(want.values())
+
+
 def test_near_duplicates_tell_rows_of_one_doc_id_apart(spark):
     """A text of its own stays although a row with the same doc_id is a copy; nulls, repeated rows and clashing columns."""
     long = " ".join(f"w{i}" for i in range(50))
